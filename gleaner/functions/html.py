@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # Elements whose whole content is dropped.
 DROPPED = ["script", "style", "noscript", "head", "nav", "header", "footer", "aside", "form"]
 # Elements that end a line of text.
@@ -63,7 +65,7 @@ def decode_entities(text: Column) -> Column:
     """Named and numeric character references, each decoded exactly once."""
     text = F.regexp_replace(text, "&#(?:0*38|[xX]0*26);", "&amp;")
     text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
-    return F.replace(_decode_numeric(text), F.lit("&amp;"), F.lit("&"))
+    return F.replace(let(text, _decode_numeric), F.lit("&amp;"), F.lit("&"))
 
 
 def strip_tags(html: Column) -> Column:

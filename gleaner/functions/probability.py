@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def _total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def sigmoid(logit: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-logit))
 
 
 def softmax(logits: Column) -> Column:
     """Shifted by the largest logit, so no exponent overflows."""
-    powers = _let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
-    return _let(powers, lambda p: _let(_total(p), lambda t: F.transform(p, lambda e: e / t)))
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return let(powers, lambda p: let(_total(p), lambda t: F.transform(p, lambda e: e / t)))
 
 
 def argmax(values: Column) -> Column:
@@ -37,7 +34,7 @@ def label_of(index: Column, labels: dict[int, str]) -> Column:
 
 def topk_mean(values: Column, k: int = 3) -> Column:
     """Mean of the ``k`` largest entries."""
-    return _let(
+    return let(
         F.slice(F.sort_array(values, asc=False), 1, k), lambda top: _total(top) / F.size(top)
     )
 

@@ -15,6 +15,11 @@ REPLACEMENT = "\ufffd"
 _STAND_IN = "\ufdd0"  # a noncharacter, never assigned
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     """Drop Unicode whitespace at both ends (plain ``trim`` drops only spaces)."""
     return F.btrim(text, F.lit(WHITESPACE))

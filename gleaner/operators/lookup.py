@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import BROADCAST_BYTES
 
-_KEY_BYTES = 256  # longer keys never enter the head
-_ROW_BYTES = 96
+_ROW_BYTES = 64  # hash-relation overhead of a row
 
 
 @dataclass(frozen=True)
@@ -25,31 +24,26 @@ class SplitWeights:
     tail: DataFrame | None
 
 
-def _magnitude():
-    """floor(log2(n)) for short keys, -1 for keys too long for the head."""
-    return F.when(F.octet_length("key") <= _KEY_BYTES, F.floor(F.log2(F.col("n").cast("double"))).cast("int")).otherwise(-1)
-
-
 def split_weights(weights: DataFrame, budget: int = BROADCAST_BYTES) -> SplitWeights:
-    """Split ``key, n, <weights>`` rows; ``weights`` should be a stored table.
+    """Split ``key, n, <weights>`` rows by frequency ``n``; ``weights`` should
+    be a stored table.
 
-    The histogram has one row per power of two, so it is read on the driver.
+    Rows and bytes are counted per power of two of ``n``. That histogram has at
+    most 64 rows and is read on the driver; the head takes the most frequent
+    classes that fit the budget.
     """
-    histogram = {r["m"]: r["rows"] for r in weights.groupBy(_magnitude().alias("m")).agg(F.count("*").alias("rows")).collect()}
-    room = budget // (_KEY_BYTES + _ROW_BYTES + 8 * (len(weights.columns) - 2))
-    lowest, used = None, 0
-    for magnitude in sorted((m for m in histogram if m >= 0), reverse=True):
-        used += histogram[magnitude]
-        if used > room:
+    magnitude = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    size = F.sum((F.octet_length("key") + _ROW_BYTES + 8 * (len(weights.columns) - 2)).cast("long"))
+    histogram = {r["m"]: r["bytes"] for r in weights.groupBy(magnitude.alias("m")).agg(size.alias("bytes")).collect()}
+    lowest, used = 64, 0
+    for m in sorted(histogram, reverse=True):
+        used += histogram[m]
+        if used > budget:
             break
-        lowest = magnitude
-    if lowest is None:
-        lowest = 64
+        lowest = m
     if lowest <= min(histogram, default=lowest):
         return SplitWeights(weights.drop("n"), None)
-    return SplitWeights(
-        weights.where(_magnitude() >= lowest).drop("n"), weights.where(_magnitude() < lowest).drop("n")
-    )
+    return SplitWeights(weights.where(magnitude >= lowest).drop("n"), weights.where(magnitude < lowest).drop("n"))
 
 
 def lookup_sums(occurrences: DataFrame, row_id: str, weights: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
@@ -57,22 +51,25 @@ def lookup_sums(occurrences: DataFrame, row_id: str, weights: DataFrame, budget:
 
     ``occurrences`` holds one (``row_id``, ``key``) row per occurrence; a key
     without weights adds nothing. All occurrences of a row come from one task,
-    so the aggregation shuffles about one record per row.
+    so what the head absorbs leaves it as about one record per row.
+
+    With a tail, the same pass keeps the keys the head does not know. Rows the
+    head has absorbed travel under a key of their own that no token can have,
+    so they neither match nor pile up in one task.
     """
     split = split_weights(weights, budget)
     values = [c for c in split.head.columns if c != "key"]
-    zero = F.lit(0).cast("long")
-    found = occurrences.join(F.broadcast(split.head), "key", "left").select(
-        row_id, F.lit(1).cast("long").alias("n_keys"), *[F.coalesce(v, F.lit(0.0)).alias(v) for v in values]
+    sums = [F.sum(v).alias(v) for v in values]
+    found = occurrences.join(F.broadcast(split.head), "key", "left")
+    absorbed = [F.coalesce(v, F.lit(0.0)).alias(v) for v in values]
+    if split.tail is None:
+        return found.select(row_id, *absorbed).groupBy(row_id).agg(F.count("*").alias("n_keys"), *sums)
+    own = F.concat(F.lit(" "), F.col(row_id).cast("string"))
+    open_key = F.when(F.col(values[0]).isNull(), F.col("key")).otherwise(own).alias("key")
+    partial = found.select(row_id, open_key, *absorbed).groupBy(row_id, "key").agg(F.count("*").alias("n_keys"), *sums)
+    rare = split.tail.select("key", *[F.col(v).alias(f"_{v}") for v in values])
+    full = partial.join(rare, "key", "left").select(
+        row_id, "n_keys",
+        *[(F.col(v) + F.col("n_keys") * F.coalesce(f"_{v}", F.lit(0.0))).alias(v) for v in values],
     )
-    if split.tail is not None:
-        rest = (
-            occurrences.join(F.broadcast(split.head.select("key")), "key", "left_anti")
-            .groupBy(row_id, "key")
-            .agg(F.count("*").alias("_times"))
-            .join(split.tail, "key")
-        )
-        found = found.unionByName(
-            rest.select(row_id, zero.alias("n_keys"), *[(F.col(v) * F.col("_times")).alias(v) for v in values])
-        )
-    return found.groupBy(row_id).agg(F.sum("n_keys").alias("n_keys"), *[F.sum(v).alias(v) for v in values])
+    return full.groupBy(row_id).agg(F.sum("n_keys").alias("n_keys"), *sums)

@@ -54,13 +54,21 @@ def fit_bigrams(docs: DataFrame, text: str = "text") -> NgramModel:
     share one weight table, so documents meet a single join.
     """
     pairs = materialise(_count(docs, _pairs(txt.words(F.col(text)))), "bigrams")
-    second = F.substring_index("key", " ", -1)
-    vocabulary = max(pairs.select(second).distinct().count(), 1)
-    contexts = pairs.groupBy(F.substring_index("key", " ", 1).alias("key")).agg(F.sum("n").alias("n"))
-    weights = pairs.select("key", "n", F.ln(F.col("n") + 1.0).alias("w")).unionByName(
-        contexts.select("key", "n", (-F.log1p(F.col("n") / F.lit(float(vocabulary)))).alias("w"))
+    roles = pairs.select(
+        F.inline(
+            F.array(
+                F.struct(F.substring_index("key", " ", 1).alias("key"), F.col("n").alias("n"), F.lit(False).alias("_word")),
+                F.struct(F.substring_index("key", " ", -1).alias("key"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("_word")),
+            )
+        )
     )
-    return NgramModel(2, materialise(weights, "bigram-weights"), -math.log(vocabulary))
+    words = materialise(roles.groupBy("key").agg(F.sum("n").alias("n"), F.bool_or("_word").alias("_word")), "contexts")
+    vocabulary = max(words.agg(F.count_if("_word").alias("v")).first()["v"], 1)
+    contexts = words.where(F.col("n") > 0).select(
+        "key", "n", (-F.log1p(F.col("n") / F.lit(float(vocabulary)))).alias("w")
+    )
+    weights = pairs.select("key", "n", F.ln(F.col("n") + 1.0).alias("w")).unionByName(contexts)
+    return NgramModel(2, weights, -math.log(vocabulary))
 
 
 def perplexity(

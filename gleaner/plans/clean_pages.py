@@ -10,6 +10,7 @@ from ..functions.text import has_text
 from ..operators.boilerplate import drop_boilerplate
 from ..operators.language import LanguageModel, keep_language
 from ..operators.membership import anti_join, drop_blocked
+from ..runtime import computed, materialise
 from ..sources import blocklist as bl
 from ..sources import warc
 
@@ -22,7 +23,7 @@ def page_texts(pages: DataFrame, blocklist: DataFrame, match_parents: bool = Fal
     """
     allowed = drop_blocked(pages, bl.domains(blocklist), bl.blocked_urls(blocklist), match_parents)
     extract = html.article_text if article else html.html_to_text
-    texts = allowed.withColumn("text", extract(F.col("html"))).drop("html")
+    texts = computed(allowed, "text", extract(F.col("html"))).drop("html")
     return texts.where(has_text(F.col("text")))
 
 
@@ -42,7 +43,8 @@ def clean_pages(
     repeats on ``min_pages`` pages.
     """
     novel = pages if curated_urls is None else anti_join(pages, curated_urls, "url")
-    texts = page_texts(novel, blocklist)
+    # Two later steps read the texts; extracting twice would cost more.
+    texts = materialise(page_texts(novel, blocklist), "page-texts")
     if min_pages is not None:
         texts = drop_boilerplate(texts, min_pages, page_id)
     return keep_language(texts, model, language, above, page_id)

@@ -82,6 +82,17 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def computed(df: DataFrame, name: str, column) -> DataFrame:
+    """Add a costly column so that it is evaluated exactly once per row.
+
+    A filter on a plain projection is pushed below it with the expression
+    copied in, which would extract or parse every row twice. A generator's
+    output cannot be inlined.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns if c != name]
+    return df.select(*kept, F.explode(F.array(column)).alias(name))
+
+
 def _width(column, kind: str):
     if kind in ("string", "binary"):
         return F.coalesce(F.octet_length(column), F.lit(0))

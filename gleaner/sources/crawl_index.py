@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import computed
+
 ENTRY = "url STRING, filename STRING, languages STRING, _broken STRING"
 
 
@@ -14,10 +16,8 @@ def parse_index(lines: DataFrame) -> DataFrame:
     A rejected line has no fields, whatever could be read of it.
     """
     body = F.get(F.split("value", " ", 3), F.lit(2))
-    parsed = lines.select(
-        body.isNull().alias("_short"),
-        F.from_json(body, ENTRY, {"columnNameOfCorruptRecord": "_broken"}).alias("e"),
-    )
+    entry = F.from_json(body, ENTRY, {"columnNameOfCorruptRecord": "_broken"})
+    parsed = computed(lines.select("value"), "p", F.struct(body.isNull().alias("_short"), entry.alias("e"))).select("p.*")
     reason = (
         F.when(F.col("_short"), "short line")
         .when(F.col("e._broken").isNotNull() | F.col("e").isNull(), "bad json")

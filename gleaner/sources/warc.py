@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..runtime import computed
 
 # A record ends with a blank line; the next one opens with the version line.
 RECORD_SEPARATOR = "\r\n\r\nWARC/1.0\r\n"
@@ -48,14 +49,15 @@ def parse_records(records: DataFrame) -> DataFrame:
     """
     value = F.col("value")
     head = F.replace(_before_blank_line(value), F.lit("WARC/1.0\r\n"), F.lit(""))
-    parsed = records.select(
-        *[c for c in records.columns if c != "value"],
+    others = [c for c in records.columns if c != "value"]
+    fields = F.struct(
         _header(head, "WARC-Record-ID").alias("record_id"),
         _header(head, "WARC-Type").alias("rec_type"),
         _header(head, "WARC-Target-URI").alias("url"),
         _header(head, "Content-Length").try_cast("bigint").alias("content_length"),
         _after_blank_line(value).alias("_raw"),
     )
+    parsed = computed(records, "_fields", fields).select(*others, "_fields.*")
     size = F.octet_length("_raw")
     is_response = F.col("rec_type") == "response"
     http_head = _before_blank_line(F.col("_raw").cast("string"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import html, urls
+from gleaner.runtime import computed
 from gleaner.sources.blocklist import blocklist_entries
 from gleaner.sources.tables import read_table
 
@@ -28,9 +29,8 @@ def documents(spark, folder, *columns):
 
 def page_texts(spark, folder) -> DataFrame:
     """page_id, url and extracted text of every page."""
-    return pages(spark, folder, "page_id", "url", "html").select(
-        "page_id", "url", html.html_to_text(F.col("html")).alias("text")
-    )
+    scan = pages(spark, folder, "page_id", "url", "html")
+    return computed(scan, "text", html.html_to_text(F.col("html"))).drop("html")
 
 
 def path_lines(spark, folder) -> DataFrame:
