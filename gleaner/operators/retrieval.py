@@ -16,6 +16,9 @@ from ..functions.probability import topk_mean
 
 # Query vectors shipped to every task at a time.
 QUERY_BYTES = 64 << 20
+# Above this many candidate rows from all tasks, a bound is computed first.
+CANDIDATE_ROWS = 1_000_000_000
+PRESCAN_SHARE = 0.001
 _TIE_DIGITS = 12  # similarities equal to this many digits are ties
 
 
@@ -64,7 +67,9 @@ def _best_per_query(shared, k: int, doc_id: str, vector: str):
     return run
 
 
-def _search(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc_id: str, vector: str, prescan: float):
+def _search(
+    queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc_id: str, vector: str, prescan: float | None
+) -> DataFrame:
     import numpy as np
 
     spark = corpus.sparkSession
@@ -82,6 +87,8 @@ def _search(queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc_id
         place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "doc_id"))
         return found.withColumn("rank", place).where(F.col("rank") <= k)
 
+    if prescan is None:
+        prescan = PRESCAN_SHARE if len(corpus.inputFiles()) * len(names) * k > CANDIDATE_ROWS else 0.0
     floor = np.full(len(names), -np.inf)
     if prescan > 0:
         seen = candidates(docs.sample(fraction=prescan, seed=0), floor).where(F.col("rank") == k)
@@ -97,7 +104,7 @@ def dense_topk(
     query_id: str = "query_id",
     doc_id: str = "doc_id",
     vector: str = "embedding",
-    prescan: float = 0.0,
+    prescan: float | None = None,
     query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """query_id, doc_id, sim and rank of the ``k`` most similar documents.
@@ -105,9 +112,10 @@ def dense_topk(
     Exact. The corpus stays where it is: each task multiplies its vectors with
     a block of query vectors and keeps ``k`` per query, so only those are
     shuffled. Queries are measured first; as many blocks are formed as keep
-    each within ``query_bytes``, one corpus pass per block. ``prescan`` > 0
-    first ranks that share of the corpus; its k-th similarity is a lower bound
-    that lets the full pass emit far fewer candidates from many tasks.
+    each within ``query_bytes``, one corpus pass per block. With very many
+    corpus files (or ``prescan`` > 0) that share of the corpus is ranked first;
+    its k-th similarity is a lower bound that lets the tasks of the full pass
+    emit far fewer candidates.
     """
     measured = queries.agg(
         F.coalesce(F.sum(F.size(vector).cast("long") * 8 + 64), F.lit(0)).alias("bytes")

@@ -15,76 +15,87 @@ from ..runtime import broadcast_if_small, materialise
 from .ids import numbered_keys
 from .membership import anti_join
 
-# Up to here a per-task heap is cheaper than counting first.
-HEAP_ROWS = 10_000
-_PREFIX = 5  # hex digits: 16^5 slices of the md5 order
+# Up to here a heap of keys per task is cheaper than numbering all keys.
+HEAP_ROWS = 1_000
+# Hex digits of the md5 order: coarse slices, then fine ones inside the slice
+# that holds the cut, if that slice has more than FINE_ROWS rows.
+_COARSE, _FINE, FINE_ROWS = 3, 8, 50_000
 
 
 def seeded_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def _slice_of(order: Column) -> Column:
-    return F.conv(F.left(order, F.lit(_PREFIX)), 16, 10).cast("int")
+def _find_cuts(marked: DataFrame, quota: int, digits: int, within: DataFrame | None = None) -> DataFrame:
+    """Per class the slice (``_cut``) in which row number ``quota`` falls, the
+    rows before it and in it. ``within`` restricts the search to known slices."""
+    base = F.lit(0).cast("long")
+    if within is not None:
+        inside = broadcast_if_small(within.select("_class", F.col("_cut").alias("_outer"), F.col("_before").alias("_base")))
+        outer = F.left(F.col("_order"), F.lit(_COARSE)) == F.col("_outer")
+        marked = marked.alias("m").join(inside.alias("w"), F.col("m._class").eqNullSafe(F.col("w._class")) & outer)
+        marked = marked.select("m.*", "_base")
+        base = F.col("_base")
+    sizes = marked.groupBy("_class", base.alias("_base"), F.left("_order", F.lit(digits)).alias("_cut")).agg(
+        F.sum("_weight").alias("_rows")
+    )
+    upto = Window.partitionBy("_class").orderBy("_cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = sizes.withColumn("_before", F.col("_base") + F.sum("_rows").over(upto) - F.col("_rows"))
+    cut = running.where((F.col("_before") < quota) & (F.col("_before") + F.col("_rows") >= quota))
+    return materialise(cut.select("_class", "_cut", "_before", "_rows"), "sample-cuts")
 
 
 def exact_sample(
-    rows: DataFrame,
-    n: int | DataFrame,
-    key: str,
-    by: str | None = None,
-    seed: int = 42,
-    copies: str | None = None,
+    rows: DataFrame, n: int, key: str, by: str | None = None, seed: int = 42, copies: str | None = None
 ) -> DataFrame:
     """The first ``n`` rows in seeded order of a unique ``key`` (per ``by`` value).
 
-    ``n`` is a number, or a one-row DataFrame with column ``n``. With ``copies``
-    a row stands for that many equal rows; the column then returns how many of
-    them are taken.
+    With ``copies`` a row stands for that many equal rows; the column then
+    returns how many of them are taken.
 
-    Two passes. The first counts rows per slice of the hash order (key columns
-    only) and finds the slice in which the n-th row falls. The second keeps all
-    rows of earlier slices and ranks inside slices, so no task ever sorts a
-    whole class however large ``n`` or the class is.
+    The first passes read key columns only and count rows per slice of the hash
+    order until the slice with the n-th row is small. The last pass keeps all
+    rows of earlier slices and ranks only inside slices, so no task sorts a
+    whole class however large ``n`` or the class is, and only sampled rows are
+    shuffled.
     """
+    if n <= 0:
+        return rows.where(F.lit(False))
     weight = F.col(copies).cast("long") if copies else F.lit(1).cast("long")
-    group = F.col(by) if by else F.lit(0)
-    order = seeded_key(F.col(key), seed)
-    marked = rows.withColumns({"_class": group, "_order": order}).withColumns(
-        {"_slice": _slice_of(F.col("_order")), "_weight": weight}
-    )
-    sizes = marked.groupBy("_class", "_slice").agg(F.sum("_weight").alias("_in_slice"))
-    upto = Window.partitionBy("_class").orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = sizes.withColumn("_before", F.sum("_in_slice").over(upto) - F.col("_in_slice"))
-    if isinstance(n, DataFrame):
-        quota = n.select(F.col("n").cast("long").alias("_quota")).first()["_quota"]
-    else:
-        quota = int(n)
-    cut = running.where((F.col("_before") < quota) & (F.col("_before") + F.col("_in_slice") >= quota)).select(
-        "_class", F.col("_slice").alias("_cut"), (F.lit(quota) - F.col("_before")).alias("_room")
+    marked = rows.withColumns(
+        {"_class": F.col(by) if by else F.lit(0), "_order": seeded_key(F.col(key), seed), "_weight": weight}
     )
-    cuts = broadcast_if_small(materialise(cut, "sample-cuts"))
-    # A class with no cut is smaller than the quota and is taken whole.
-    near = marked.join(cuts.withColumnRenamed("_class", "_cut_class"), F.col("_class").eqNullSafe(F.col("_cut_class")), "left")
+    digits, cuts = _COARSE, _find_cuts(marked, n, _COARSE)
+    if cuts.where(F.col("_rows") > FINE_ROWS).limit(1).count():
+        digits, cuts = _FINE, _find_cuts(marked, n, _FINE, within=cuts)
+    cut = cuts.select(F.col("_class").alias("_cut_class"), "_cut", (F.lit(n) - F.col("_before")).alias("_room"))
+    # A class without a cut is smaller than the quota and is taken whole.
+    near = marked.join(
+        broadcast_if_small(cut), F.col("_class").eqNullSafe(F.col("_cut_class")), "left"
+    ).withColumn("_slice", F.left("_order", F.lit(digits)))
     near = near.where(F.col("_cut").isNull() | (F.col("_slice") <= F.col("_cut")))
-    if quota <= 0:
-        near = near.where(F.lit(False))
-    ahead = Window.partitionBy("_class", "_slice").orderBy("_order", key).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = near.withColumn("_ahead", F.coalesce(F.sum("_weight").over(ahead), F.lit(0)))
     whole = F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut"))
+    # Rows that are taken anyway are spread over fine slices.
+    near = near.withColumn("_spot", F.when(whole, F.left("_order", F.lit(_FINE))).otherwise(F.col("_slice")))
+    ahead = Window.partitionBy("_class", "_spot").orderBy("_order", key).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = near.withColumn("_ahead", F.coalesce(F.sum("_weight").over(ahead), F.lit(0)))
     taken = F.when(whole, F.col("_weight")).otherwise(F.least(F.col("_weight"), F.col("_room") - F.col("_ahead")))
     kept = ranked.withColumn("_taken", taken).where(F.col("_taken") > 0)
     return kept.select(*[F.col("_taken").alias(c) if c == copies else F.col(c) for c in rows.columns])
 
 
 def head_n(rows: DataFrame, n: int, key: str) -> DataFrame:
-    """The ``n`` smallest rows by the unique ``key``.
+    """The ``n`` smallest rows by the unique, non-null ``key``.
 
-    A small ``n`` is a heap per task. A large one numbers the sorted keys and
-    joins back, as heaps of that size would all meet in one task.
+    The n-th key is found from the key column alone and becomes a filter that
+    the scan can use; then at most ``n`` whole rows are sorted. For a large
+    ``n`` the sorted keys are numbered instead of meeting in one heap.
     """
+    if n <= 0:
+        return rows.limit(0)
     if n <= HEAP_ROWS:
-        return rows.orderBy(key).limit(n)
+        last = rows.select(key).where(F.col(key).isNotNull()).orderBy(key).limit(n).agg(F.max(key).alias("k")).first()["k"]
+        return rows.where(F.col(key) <= F.lit(last)).orderBy(key).limit(n)
     first = numbered_keys(rows.select(key), "_seq").where(F.col("_seq") < n).select(key)
     return rows.join(first, key, "left_semi")
 

@@ -25,11 +25,18 @@ def path_list(lines: DataFrame, match: str = "suffix") -> DataFrame:
 
 
 def path_slice(paths: list[str], first: int = 1, last: int = 5) -> list[str]:
-    """Entries ``first`` to ``last`` (from 0, inclusive) of a list of file names.
+    """Entries ``first`` to ``last`` (from 0, inclusive) of a list of file names."""
+    return paths[first : last + 1]
+
 
-    The list is metadata that the scan needs before it starts.
+def listed_files(spark: SparkSession, list_file: str, folder: str, first: int = 1, last: int = 5) -> list[str]:
+    """Local names in ``folder`` of a slice of a path-list file.
+
+    File names are metadata the scan needs before it starts; the list has one
+    line per crawl file and is read in file order.
     """
-    return paths[first : last + 1]
+    listed = [row["path"] for row in path_list(read_lines(spark, list_file).coalesce(1)).collect()]
+    return [f"{folder.rstrip('/')}/{path.rsplit('/', 1)[-1]}" for path in path_slice(listed, first, last)]
 
 
 def article_list(lines: DataFrame, base: str = "https://en.wikipedia.org") -> DataFrame:

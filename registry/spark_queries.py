@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import functools
-import math
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import html, probability, text, urls
@@ -154,7 +152,7 @@ def host_boilerplate(spark, d):
 
 @query
 def clean_blocks(spark, d):
-    return boilerplate.drop_boilerplate(fx.page_texts(spark, d)).select("page_id", "text")
+    return boilerplate.drop_boilerplate(materialise(fx.page_texts(spark, d), "texts")).select("page_id", "text")
 
 
 def language_model(spark, d) -> language.LanguageModel:
@@ -460,8 +458,6 @@ def _texts_with_label(spark, d):
 def text_features(spark, d):
     docs = _texts_with_label(spark, d)
     made = probe.text_features().fit(docs).transform(docs)
-    from pyspark.ml.functions import vector_to_array
-
     values = vector_to_array("features")
     return made.select(
         "doc_id", F.size(F.filter(values, lambda x: x > 0)).alias("n_features"),
@@ -481,6 +477,18 @@ def linear_probe(spark, d):
     return fitted.transform(rows).select("vec_id", r6("logit", 4).alias("logit"))
 
 
+@query
+def probe_gradient(spark, d):
+    """At the least-squares fit the residuals are orthogonal to every feature
+    and to the constant: the sums below vanish."""
+    rows = _vectors_with_label(spark, d)
+    fitted = probe.linear_probe(64).fit(rows).transform(rows)
+    values = F.array_append(vector_to_array("features"), F.lit(1.0))
+    terms = fitted.select(F.col("label"), F.col("logit"), F.posexplode(values).alias("feature", "x"))
+    gap = F.abs(F.sum((F.col("label") - F.col("logit")) * F.col("x")))
+    return terms.groupBy("feature").agg(r6(gap).alias("gradient"), F.count("*").alias("n"))
+
+
 @query
 def best_probe(spark, d):
     rows = materialise(sampling.train_test_split(_vectors_with_label(spark, d), "vec_id"), "vectors")
