@@ -26,17 +26,24 @@ def seeded_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def _find_cuts(marked: DataFrame, quota: int, digits: int, within: DataFrame | None = None) -> DataFrame:
-    """Per class the slice (``_cut``) in which row number ``quota`` falls, the
-    rows before it and in it. ``within`` restricts the search to known slices."""
-    base = F.lit(0).cast("long")
-    if within is not None:
-        inside = broadcast_if_small(within.select("_class", F.col("_cut").alias("_outer"), F.col("_before").alias("_base")))
-        outer = F.left(F.col("_order"), F.lit(_COARSE)) == F.col("_outer")
-        marked = marked.alias("m").join(inside.alias("w"), F.col("m._class").eqNullSafe(F.col("w._class")) & outer)
-        marked = marked.select("m.*", "_base")
-        base = F.col("_base")
-    sizes = marked.groupBy("_class", base.alias("_base"), F.left("_order", F.lit(digits)).alias("_cut")).agg(
+def _attach(marked: DataFrame, cuts: DataFrame, by: str | None) -> DataFrame:
+    """Add the ``_cut`` and ``_before`` of each row's class, NULL without a cut.
+
+    There is one cut per class; without classes it is a pair of literals.
+    """
+    if by is None:
+        row = cuts.first()
+        cut, before = (row["_cut"], row["_before"]) if row else (None, None)
+        return marked.withColumns({"_cut": F.lit(cut).cast("string"), "_before": F.lit(before).cast("long")})
+    cuts = cuts.select(F.col("_class").alias("_cut_class"), "_cut", "_before")
+    same = F.col("_class").eqNullSafe(F.col("_cut_class"))
+    return marked.join(broadcast_if_small(cuts), same, "left").drop("_cut_class")
+
+
+def _find_cuts(marked: DataFrame, quota: int, digits: int) -> DataFrame:
+    """Per class the slice in which row number ``quota`` falls, the rows before
+    it and in it. ``_base`` rows of the class lie before those of ``marked``."""
+    sizes = marked.groupBy("_class", "_base", F.left("_order", F.lit(digits)).alias("_cut")).agg(
         F.sum("_weight").alias("_rows")
     )
     upto = Window.partitionBy("_class").orderBy("_cut").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -65,21 +72,19 @@ def exact_sample(
     marked = rows.withColumns(
         {"_class": F.col(by) if by else F.lit(0), "_order": seeded_key(F.col(key), seed), "_weight": weight}
     )
-    digits, cuts = _COARSE, _find_cuts(marked, n, _COARSE)
+    digits, cuts = _COARSE, _find_cuts(marked.withColumn("_base", F.lit(0).cast("long")), n, _COARSE)
     if cuts.where(F.col("_rows") > FINE_ROWS).limit(1).count():
-        digits, cuts = _FINE, _find_cuts(marked, n, _FINE, within=cuts)
-    cut = cuts.select(F.col("_class").alias("_cut_class"), "_cut", (F.lit(n) - F.col("_before")).alias("_room"))
+        inside = _attach(marked, cuts, by).where(F.left("_order", F.lit(_COARSE)) == F.col("_cut"))
+        digits, cuts = _FINE, _find_cuts(inside.withColumn("_base", F.col("_before")), n, _FINE)
     # A class without a cut is smaller than the quota and is taken whole.
-    near = marked.join(
-        broadcast_if_small(cut), F.col("_class").eqNullSafe(F.col("_cut_class")), "left"
-    ).withColumn("_slice", F.left("_order", F.lit(digits)))
+    near = _attach(marked, cuts, by).withColumn("_slice", F.left("_order", F.lit(digits)))
     near = near.where(F.col("_cut").isNull() | (F.col("_slice") <= F.col("_cut")))
     whole = F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut"))
     # Rows that are taken anyway are spread over fine slices.
     near = near.withColumn("_spot", F.when(whole, F.left("_order", F.lit(_FINE))).otherwise(F.col("_slice")))
     ahead = Window.partitionBy("_class", "_spot").orderBy("_order", key).rowsBetween(Window.unboundedPreceding, -1)
     ranked = near.withColumn("_ahead", F.coalesce(F.sum("_weight").over(ahead), F.lit(0)))
-    taken = F.when(whole, F.col("_weight")).otherwise(F.least(F.col("_weight"), F.col("_room") - F.col("_ahead")))
+    taken = F.when(whole, F.col("_weight")).otherwise(F.least(F.col("_weight"), F.lit(n) - F.col("_before") - F.col("_ahead")))
     kept = ranked.withColumn("_taken", taken).where(F.col("_taken") > 0)
     return kept.select(*[F.col("_taken").alias(c) if c == copies else F.col(c) for c in rows.columns])
 
