@@ -148,8 +148,13 @@ def shuffled_position(rows: DataFrame, key: str, seed: int = 42) -> DataFrame:
 
 
 def test_side(key: Column, fraction: float = 0.2, seed: int = 42) -> Column:
-    """True for the rows of the test split; depends on the key alone."""
-    draw = F.conv(F.left(seeded_key(key, seed), F.lit(8)), 16, 10).cast("double") / float(1 << 32)
+    """True for the rows of the test split; depends on the key alone.
+
+    The draw is independent of the sample order: a sample is the start of that
+    order, so splitting by the same hash would put all of it on one side.
+    """
+    order = F.md5(F.concat(F.lit(f"{seed}:split:"), key.cast("string")).cast("binary"))
+    draw = F.conv(F.left(order, F.lit(8)), 16, 10).cast("double") / float(1 << 32)
     return draw < fraction
 
 

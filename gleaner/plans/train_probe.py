@@ -26,16 +26,23 @@ class Trained:
     report: DataFrame
 
 
-def labelled_sample(good: DataFrame, bad: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+def labelled_sample(
+    good: DataFrame, bad: DataFrame, key: str, n: int, seed: int = 42, copies: str | None = None
+) -> DataFrame:
     """``n`` seeded rows of each class (1 good, 0 bad) with their split.
 
-    ``key`` must be unique over both inputs.
+    ``key`` must be unique over both inputs. Equal texts may come as one row
+    with their number in ``copies``; they then stay on one side of the split.
     """
+    columns = [key, "text"] + ([copies] if copies else [])
     parts = [
-        exact_sample(rows.select(key, "text"), n, key, seed=seed).withColumn("label", F.lit(float(label)))
+        exact_sample(rows.select(*columns), n, key, seed=seed, copies=copies).withColumn("label", F.lit(float(label)))
         for rows, label in ((good, 1), (bad, 0))
     ]
-    return train_test_split(labelled_union(parts), key, seed=seed)
+    sample = labelled_union(parts)
+    if copies:
+        sample = sample.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop(copies)
+    return train_test_split(sample, key, seed=seed)
 
 
 def train_quality_probe(sample: DataFrame, size: int = 1024, grid=(0.0, 0.01, 0.1)) -> Trained:

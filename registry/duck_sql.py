@@ -58,7 +58,8 @@ def order(key: str, seed: int = 42) -> str:
 
 
 def held_out(key: str) -> str:
-    return f"CAST('0x' || left({order(key)}, 8) AS BIGINT) / 4294967296.0 < 0.2"
+    draw = f"md5('42:split:' || CAST({key} AS VARCHAR))"
+    return f"CAST('0x' || left({draw}, 8) AS BIGINT) / 4294967296.0 < 0.2"
 
 
 NL = "chr(10)"

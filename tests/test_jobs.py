@@ -92,6 +92,16 @@ def test_training_separates_good_from_bad(spark):
     assert trained.model.transform(good.limit(1)).first()["logit"] > 0.5
 
 
+def test_sampled_copies_stay_together(spark):
+    rows = [
+        spark.createDataFrame([(f"{side}{i}", f"{side} {i}", 3) for i in range(30)], "key STRING, text STRING, copies LONG")
+        for side in "gb"
+    ]
+    sample = train_probe.labelled_sample(*rows, "key", 40, copies="copies").collect()
+    assert len(sample) == 80 and sum(r["label"] for r in sample) == 40
+    assert len({(r["key"], r["split"]) for r in sample}) == len({r["key"] for r in sample})
+
+
 def test_scratch(spark):
     table = materialise(spark.range(5), "t")
     assert table.count() == 5 and scratch_root(spark).endswith(spark.sparkContext.applicationId)

@@ -90,7 +90,10 @@ def test_shuffle_split_and_union(spark):
     places = {r["id"]: r["position"] for r in sampling.shuffled_position(rows, "id").collect()}
     assert places == {i: p for p, i in enumerate(order)}
     split = sampling.train_test_split(rows, "id").collect()
-    assert {r["id"] for r in split if r["split"] == "test"} == {i for i in range(1000) if int(md5(i)[:8], 16) / 2**32 < 0.2}
+    assert {r["id"] for r in split if r["split"] == "test"} == {i for i in range(1000) if int(md5(f"split:{i}")[:8], 16) / 2**32 < 0.2}
+    # A sample is split like any other table.
+    part = sampling.train_test_split(sampling.exact_sample(spark.range(20_000), 1000, "id"), "id")
+    assert 150 < part.where("split = 'test'").count() < 250
     exact = sampling.exact_train_test_split(rows, "id", 200).collect()
     assert {r["id"] for r in exact if r["split"] == "test"} == set(order[:200]) and len(exact) == 1000
     assert sampling.labelled_union([rows, rows.select("label", "id")]).count() == 2000
