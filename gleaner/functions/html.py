@@ -51,6 +51,12 @@ def _code_point(code: Column) -> Column:
     return F.when(usable, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("")
 
 
+def _decode_named(text: Column) -> Column:
+    names = "|".join(name[1:-1] for name, _ in ENTITIES)
+    decoded = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
+    return F.when(text.rlike(f"&(?:{names});"), decoded).otherwise(text)
+
+
 def _decode_numeric(text: Column) -> Column:
     codes = F.array_distinct(
         F.regexp_extract_all(text, F.lit("&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1))
@@ -61,11 +67,19 @@ def _decode_numeric(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&#")), decoded).otherwise(text)
 
 
+def _guard_ampersand(text: Column) -> Column:
+    """Spell numeric ampersands by name, so that they are decoded last."""
+    spelled = F.regexp_replace(text, "&#(?:0*38|[xX]0*26);", "&amp;")
+    return F.when(F.contains(text, F.lit("&#")), spelled).otherwise(text)
+
+
 def decode_entities(text: Column) -> Column:
-    """Named and numeric character references, each decoded exactly once."""
-    text = F.regexp_replace(text, "&#(?:0*38|[xX]0*26);", "&amp;")
-    text = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
-    return F.replace(let(text, _decode_numeric), F.lit("&amp;"), F.lit("&"))
+    """Named and numeric character references, each decoded exactly once.
+
+    Every step first looks whether it has anything to do.
+    """
+    text = let(let(let(text, _guard_ampersand), _decode_named), _decode_numeric)
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
 
 
 def strip_tags(html: Column) -> Column:

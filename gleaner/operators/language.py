@@ -74,7 +74,7 @@ def language_probabilities(
     occurrences = docs.select(row_id, F.explode(txt.words(F.col(text))).alias("key"))
     sums = lookup_sums(occurrences, row_id, weights, budget)
     scores = F.array(
-        *[F.col(f"w{i}") / F.col("n_keys") - math.log(model.sizes[i] + model.vocabulary) for i in range(k)]
+        *[F.col(f"w{i}") / F.col("n") - math.log(model.sizes[i] + model.vocabulary) for i in range(k)]
     )
     return sums.select(row_id, softmax(scores).alias("probabilities"))
 

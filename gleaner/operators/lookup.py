@@ -9,6 +9,8 @@ Only occurrences of the rare rest are shuffled, counted per row and key first.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,30 +48,48 @@ def split_weights(weights: DataFrame, budget: int = BROADCAST_BYTES) -> SplitWei
     return SplitWeights(weights.where(magnitude >= lowest).drop("n"), weights.where(magnitude < lowest).drop("n"))
 
 
-def lookup_sums(occurrences: DataFrame, row_id: str, weights: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
-    """Per ``row_id``: ``n_keys`` and the sum of each weight column.
+def lookup_sums(
+    occurrences: DataFrame,
+    row_id: str,
+    weights: DataFrame,
+    budget: int = BROADCAST_BYTES,
+    keys: tuple[str, ...] = ("key",),
+) -> DataFrame:
+    """Per ``row_id``: ``n`` occurrences and the sum of each weight column.
 
-    ``occurrences`` holds one (``row_id``, ``key``) row per occurrence; a key
-    without weights adds nothing. All occurrences of a row come from one task,
-    so what the head absorbs leaves it as about one record per row.
+    ``occurrences`` holds one row per occurrence with one or more ``keys`` to
+    look up; a key without weights adds nothing. All occurrences of a row come
+    from one task, so what the head absorbs leaves it as about one record per
+    row.
 
-    With a tail, the same pass keeps the keys the head does not know. Rows the
-    head has absorbed travel under a key of their own that no token can have,
-    so they neither match nor pile up in one task.
+    With a tail, the same pass hands on the keys the head does not know. What
+    the head has absorbed travels under a key of the row's own that no token
+    can have, so it neither matches nor piles up in one task.
     """
     split = split_weights(weights, budget)
     values = [c for c in split.head.columns if c != "key"]
+    found = occurrences
+    for i, key in enumerate(keys):
+        head = split.head.select(F.col("key").alias(f"_k{i}"), *[F.col(v).alias(f"_{v}_{i}") for v in values])
+        found = found.join(F.broadcast(head), F.col(key) == F.col(f"_k{i}"), "left")
+    absorbed = {
+        v: reduce(add, [F.coalesce(F.col(f"_{v}_{i}"), F.lit(0.0)) for i in range(len(keys))]) for v in values
+    }
     sums = [F.sum(v).alias(v) for v in values]
-    found = occurrences.join(F.broadcast(split.head), "key", "left")
-    absorbed = [F.coalesce(v, F.lit(0.0)).alias(v) for v in values]
     if split.tail is None:
-        return found.select(row_id, *absorbed).groupBy(row_id).agg(F.count("*").alias("n_keys"), *sums)
-    own = F.concat(F.lit(" "), F.col(row_id).cast("string"))
-    open_key = F.when(F.col(values[0]).isNull(), F.col("key")).otherwise(own).alias("key")
-    partial = found.select(row_id, open_key, *absorbed).groupBy(row_id, "key").agg(F.count("*").alias("n_keys"), *sums)
+        flat = found.select(row_id, *[c.alias(v) for v, c in absorbed.items()])
+        return flat.groupBy(row_id).agg(F.count("*").alias("n"), *sums)
+
+    def entry(key, n, amounts):
+        return F.struct(key.alias("key"), F.lit(n).cast("long").alias("n"), *[amounts[v].alias(v) for v in values])
+
+    own = entry(F.concat(F.lit(" "), F.col(row_id).cast("string")), 1, absorbed)
+    zero = {v: F.lit(0.0) for v in values}
+    unknown = [entry(F.when(F.col(f"_k{i}").isNull(), F.col(k)), 0, zero) for i, k in enumerate(keys)]
+    entries = found.select(row_id, F.inline(F.array(own, *unknown))).where(F.col("key").isNotNull())
+    partial = entries.groupBy(row_id, "key").agg(F.sum("n").alias("n"), F.count("*").alias("_times"), *sums)
     rare = split.tail.select("key", *[F.col(v).alias(f"_{v}") for v in values])
     full = partial.join(rare, "key", "left").select(
-        row_id, "n_keys",
-        *[(F.col(v) + F.col("n_keys") * F.coalesce(f"_{v}", F.lit(0.0))).alias(v) for v in values],
+        row_id, "n", *[(F.col(v) + F.col("_times") * F.coalesce(f"_{v}", F.lit(0.0))).alias(v) for v in values]
     )
-    return full.groupBy(row_id).agg(F.sum("n_keys").alias("n_keys"), *sums)
+    return full.groupBy(row_id).agg(F.sum("n").alias("n"), *sums)

@@ -5,11 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as txt
-from ..runtime import BROADCAST_BYTES, materialise
+from ..runtime import BROADCAST_BYTES, computed, materialise
 from .lookup import lookup_sums
 
 START = "<s>"
@@ -25,22 +25,27 @@ class NgramModel:
     base: float
 
 
-def _previous(words: Column) -> Column:
-    """The word before each word; the first follows the start mark."""
-    return F.slice(F.concat(F.array(F.lit(START)), words), F.lit(1), F.size(words))
+def _words(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per word."""
+    return docs.select(*keep, F.explode(txt.words(F.col(text))).alias("key"))
 
 
-def _pairs(words: Column) -> Column:
-    return F.zip_with(_previous(words), words, lambda u, t: F.concat(u, F.lit(" "), t))
+def _pairs(docs: DataFrame, text: str, *keep: str) -> DataFrame:
+    """One row per word with the word ``before`` it (the first follows the
+    start mark) and the two as ``key``."""
+    listed = computed(docs.select(*keep, text), "_words", txt.words(F.col(text)))
+    before = F.slice(F.concat(F.array(F.lit(START)), F.col("_words")), F.lit(1), F.size("_words"))
+    zipped = listed.select(*keep, F.inline(F.arrays_zip(before.alias("before"), F.col("_words").alias("word"))))
+    return zipped.select(*keep, "before", F.concat("before", F.lit(" "), "word").alias("key"))
 
 
-def _count(docs: DataFrame, keys: Column) -> DataFrame:
-    return docs.select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+def _count(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("key").agg(F.count("*").alias("n"))
 
 
 def fit_unigrams(docs: DataFrame, text: str = "text") -> NgramModel:
     """p(t) = (n(t) + 1) / (N + V); only seen tokens carry a weight."""
-    counts = materialise(_count(docs, txt.words(F.col(text))), "unigrams")
+    counts = materialise(_count(_words(docs, text)), "unigrams")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     weights = counts.select("key", "n", F.ln(F.col("n") + 1.0).alias("w"))
     return NgramModel(1, weights, -math.log(max(size["n"] + size["v"], 1)))
@@ -53,7 +58,7 @@ def fit_bigrams(docs: DataFrame, text: str = "text") -> NgramModel:
     -ln(1 + n(u)/V) - ln V, constant for unseen contexts. Pairs and contexts
     share one weight table, so documents meet a single join.
     """
-    pairs = materialise(_count(docs, _pairs(txt.words(F.col(text)))), "bigrams")
+    pairs = materialise(_count(_pairs(docs, text)), "bigrams")
     roles = pairs.select(
         F.inline(
             F.array(
@@ -76,9 +81,9 @@ def perplexity(
 ) -> DataFrame:
     """``row_id``, n_tokens, mean negative log-likelihood, its exponential and
     the quality 1 / (1 + perplexity). Rows without tokens are absent."""
-    words = txt.words(F.col(text))
-    keys = words if model.order == 1 else F.concat(_previous(words), _pairs(words))
-    sums = lookup_sums(docs.select(row_id, F.explode(keys).alias("key")), row_id, model.weights, budget)
-    tokens = (F.col("n_keys") / model.order).cast("long")
-    scored = sums.select(row_id, tokens.alias("n_tokens"), (-F.col("w") / tokens - model.base).alias("nll"))
+    if model.order == 1:
+        sums = lookup_sums(_words(docs, text, row_id), row_id, model.weights, budget)
+    else:
+        sums = lookup_sums(_pairs(docs, text, row_id), row_id, model.weights, budget, ("before", "key"))
+    scored = sums.select(row_id, F.col("n").alias("n_tokens"), (-F.col("w") / F.col("n") - model.base).alias("nll"))
     return scored.withColumn("perplexity", F.exp("nll")).withColumn("quality", 1.0 / (1.0 + F.col("perplexity")))
