@@ -40,7 +40,10 @@ DROP_PATTERN = (
 BREAK_PATTERN = r"(?i)</?(?:" + "|".join(BREAKING) + r")(?:\s[^>]*)?/?>"
 TAG_PATTERN = r"<[A-Za-z/!?][^>]*(?:>|\z)"
 ARTICLE_PATTERN = r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article\s*>|\z)"
-ANCHOR_PATTERN = r"""(?is)<a\s(?:[^>]*\s)?href="([^"]*)"[^>]*>(.*?)</a>"""
+ANCHOR_START = r"(?i)<a\s"
+# What follows the start of an anchor: its link target and its content.
+HREF_PATTERN = r"""(?is)^(?:[^>]*\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+ANCHOR_CONTENT = r"(?is)^[^>]*>(.*?)(?:</a\s*>|\z)"
 
 
 def _code_point(code: Column) -> Column:
@@ -108,16 +111,26 @@ def blocks(text: Column) -> Column:
 
 def container_pattern(tag: str, css_class: str | None = None) -> str:
     """Pattern whose group 1 is the content of ``tag`` elements (of one class)."""
-    attributes = r"(?:\s[^>]*)?" if css_class is None else rf'\s[^>]*class="(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"[^>]*'
+    attributes = r"(?:\s[^>]*)?"
+    if css_class is not None:
+        named = rf"""(?:[^"'>]*\s)?{css_class}(?:\s[^"'>]*)?"""
+        attributes = rf"""\s(?:[^>]*\s)?class\s*=\s*(?:"{named}"|'{named}')[^>]*"""
     return rf"(?is)<{tag}{attributes}>(.*?)(?:</{tag}\s*>|\z)"
 
 
 def anchors(html: Column, container: str) -> Column:
-    """Array of (href, anchor) for the links inside matching containers."""
+    """Array of (href, anchor) for the links inside matching containers.
+
+    The content is cut where anchors start, as anchors do not nest: one left
+    open ends at the next.
+    """
     inside = F.array_join(F.regexp_extract_all(html, F.lit(container), F.lit(1)), " ")
-    href = F.regexp_extract_all(inside, F.lit(ANCHOR_PATTERN), F.lit(1))
-    label = F.transform(
-        F.regexp_extract_all(inside, F.lit(ANCHOR_PATTERN), F.lit(2)),
-        lambda x: decode_entities(strip_tags(x)),
+    pieces = F.split(inside, ANCHOR_START)
+    linked = F.filter(F.slice(pieces, F.lit(2), F.size(pieces)), lambda x: x.rlike(HREF_PATTERN))
+    return F.transform(
+        linked,
+        lambda x: F.struct(
+            F.btrim(F.regexp_extract(x, HREF_PATTERN, 1), F.lit("\"'")).alias("href"),
+            decode_entities(strip_tags(F.regexp_extract(x, ANCHOR_CONTENT, 1))).alias("anchor"),
+        ),
     )
-    return F.arrays_zip(href.alias("href"), label.alias("anchor"))

@@ -30,7 +30,8 @@ def drop_boilerplate(pages: DataFrame, min_pages: int = 2, page_id: str = "page_
     """Pages without the blocks their host repeats; a page left empty is dropped.
 
     Blocks travel as 16-byte digests. The pages themselves are joined once, by
-    their unique id, to the list of their own repeated blocks.
+    their id, to the set of their own repeated blocks. Pages with one id
+    must be copies of each other.
     """
     digest = lambda b: F.unhex(F.md5(b.cast("binary")))
     seen = pages.select(
@@ -45,7 +46,7 @@ def drop_boilerplate(pages: DataFrame, min_pages: int = 2, page_id: str = "page_
     hits = (
         seen.join(broadcast_if_small(repeated), ["host", "digest"], "left_semi")
         .groupBy(page_id)
-        .agg(F.collect_list("digest").alias("_repeated"))
+        .agg(F.collect_set("digest").alias("_repeated"))
     )
     kept = F.filter(html.blocks(F.col("text")), lambda b: ~F.array_contains("_repeated", digest(b)))
     cleaned = F.when(F.col("_repeated").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))

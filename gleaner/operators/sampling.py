@@ -53,12 +53,20 @@ def _find_cuts(marked: DataFrame, quota: int, digits: int) -> DataFrame:
 
 
 def exact_sample(
-    rows: DataFrame, n: int, key: str, by: str | None = None, seed: int = 42, copies: str | None = None
+    rows: DataFrame,
+    n: int,
+    key: str,
+    by: str | None = None,
+    seed: int = 42,
+    copies: str | None = None,
+    merge: bool = False,
 ) -> DataFrame:
     """The first ``n`` rows in seeded order of a unique ``key`` (per ``by`` value).
 
     With ``copies`` a row stands for that many equal rows; the column then
-    returns how many of them are taken.
+    returns how many of them are taken. With ``merge`` the input has no such
+    column but may hold equal rows: those that can be sampled are merged into
+    one row and its ``copies``, map-side first, so a hot row does no harm.
 
     The first passes read key columns only and count rows per slice of the hash
     order until the slice with the n-th row is small. The last pass keeps all
@@ -67,8 +75,9 @@ def exact_sample(
     shuffled.
     """
     if n <= 0:
-        return rows.where(F.lit(False))
-    weight = F.col(copies).cast("long") if copies else F.lit(1).cast("long")
+        none = rows.where(F.lit(False))
+        return none.withColumn(copies, F.lit(0).cast("long")) if merge else none
+    weight = F.col(copies).cast("long") if copies and not merge else F.lit(1).cast("long")
     marked = rows.withColumns(
         {"_class": F.col(by) if by else F.lit(0), "_order": seeded_key(F.col(key), seed), "_weight": weight}
     )
@@ -79,6 +88,8 @@ def exact_sample(
     # A class without a cut is smaller than the quota and is taken whole.
     near = _attach(marked, cuts, by).withColumn("_slice", F.left("_order", F.lit(digits)))
     near = near.where(F.col("_cut").isNull() | (F.col("_slice") <= F.col("_cut")))
+    if merge:
+        near = near.groupBy(*[c for c in near.columns if c != "_weight"]).agg(F.sum("_weight").alias("_weight"))
     whole = F.col("_cut").isNull() | (F.col("_slice") < F.col("_cut"))
     # Rows that are taken anyway are spread over fine slices.
     near = near.withColumn("_spot", F.when(whole, F.left("_order", F.lit(_FINE))).otherwise(F.col("_slice")))
@@ -86,7 +97,8 @@ def exact_sample(
     ranked = near.withColumn("_ahead", F.coalesce(F.sum("_weight").over(ahead), F.lit(0)))
     taken = F.when(whole, F.col("_weight")).otherwise(F.least(F.col("_weight"), F.lit(n) - F.col("_before") - F.col("_ahead")))
     kept = ranked.withColumn("_taken", taken).where(F.col("_taken") > 0)
-    return kept.select(*[F.col("_taken").alias(c) if c == copies else F.col(c) for c in rows.columns])
+    columns = [*rows.columns, copies] if merge else rows.columns
+    return kept.select(*[F.col("_taken").alias(c) if c == copies else F.col(c) for c in columns])
 
 
 def head_n(rows: DataFrame, n: int, key: str) -> DataFrame:
@@ -108,15 +120,10 @@ def head_n(rows: DataFrame, n: int, key: str) -> DataFrame:
 def crawl_pick(entries: DataFrame, quota: int, seed: int = 42) -> DataFrame:
     """As many crawl entries as the quota asks, in seeded order; 0 gives none.
 
-    Equal (url, filename) rows are counted first, so a hot entry is one row
-    until the quota has been met; the copies taken are then written out again.
+    The copies taken of an equal (url, filename) entry are written out again.
     """
-    counted = (
-        entries.groupBy("url", "filename")
-        .agg(F.count("*").alias("copies"))
-        .withColumn("entry", F.concat("url", F.lit(" "), "filename"))
-    )
-    picked = exact_sample(counted, quota, "entry", seed=seed, copies="copies")
+    named = entries.select("url", "filename", F.concat("url", F.lit(" "), "filename").alias("entry"))
+    picked = exact_sample(named, quota, "entry", seed=seed, copies="copies", merge=True)
     return picked.select("url", "filename", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
 
 

@@ -91,9 +91,10 @@ blocked AS (SELECT url FROM pages WHERE url LIKE '%#top')"""
 ALLOWED = f"""allowed AS (SELECT p.* FROM pages p WHERE {authority('p.url')} NOT IN (SELECT host FROM domains)
   AND p.url NOT IN (SELECT url FROM blocked))"""
 ANCHORS = f"""inside AS (SELECT page_id, url, array_to_string(regexp_extract_all(html, {lit(NAV)}, 1), ' ') AS nav FROM pages),
-found AS (SELECT page_id, url, unnest(regexp_extract_all(nav, {lit(html.ANCHOR_PATTERN)}, 1)) AS href,
-  unnest(regexp_extract_all(nav, {lit(html.ANCHOR_PATTERN)}, 2)) AS raw FROM inside),
-anchors AS (SELECT page_id, url, href, {entities(tags('raw'))} AS anchor FROM found)"""
+pieces AS (SELECT page_id, url, unnest(string_split_regex(nav, {lit(html.ANCHOR_START)})[2:]) AS piece FROM inside),
+anchors AS (SELECT page_id, url, trim(regexp_extract(piece, {lit(html.HREF_PATTERN)}, 1), chr(34) || chr(39)) AS href,
+  {entities(tags(f'regexp_extract(piece, {lit(html.ANCHOR_CONTENT)}, 1)'))} AS anchor
+  FROM pieces WHERE regexp_matches(piece, {lit(html.HREF_PATTERN)}))"""
 HREFS = """hrefs AS (SELECT '/wiki/' || CASE WHEN anchor LIKE '%,' THEN replace(anchor, ' ', '_') ELSE url_encode(anchor) END
   || '_100%_a+b' AS href, replace(anchor, '_', ' ') || ' 100% a+b' AS title FROM anchors)"""
 LABELLED = "labelled AS (SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id))"

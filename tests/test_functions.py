@@ -95,8 +95,10 @@ def test_anchors_inside_a_class(column):
         '<a href="/c">c &amp; d</a></div>'
     )
     pattern = html.container_pattern("div", "mw-collapsible-content")
-    got = column([page, "none"], lambda c: html.anchors(c, pattern))
+    loose = "<div class='mw-collapsible-content'><a id=x href='/s'>s<a href=/t >t</a><a name=n>no</a><abbr>b</abbr>"
+    got = column([page, "none", loose], lambda c: html.anchors(c, pattern))
     assert [tuple(a) for a in got[0]] == [("/wiki/A_b", "A b"), ("/c", "c & d")] and got[1] == []
+    assert [tuple(a) for a in got[2]] == [("/s", "s"), ("/t", "t")]
 
 
 def test_probabilities_equal_numpy(column):
