@@ -17,13 +17,17 @@ NORMAL_LIMIT = 4096  # the normal-equation solver takes no more features
 MAX_DOMAINS = 1000
 
 
-def text_features(text: str = "text", max_tokens: int = 512, size: int = 1024) -> Pipeline:
-    """Words, cut to ``max_tokens``, hashed and weighted by inverse document
-    frequency. Vectors are sparse, so nothing is padded."""
+def text_features(text: str = "text", size: int = 1024, max_tokens: int | None = None) -> Pipeline:
+    """Words hashed and weighted by inverse document frequency.
+
+    Whole texts by default; ``max_tokens`` truncates as an encoder with a
+    length limit would. Vectors are sparse, so nothing is padded.
+    """
+    cut = "_words" if max_tokens is None else f"slice(_words, 1, {int(max_tokens)})"
     return Pipeline(
         stages=[
             RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\p{L}+", gaps=False),
-            SQLTransformer(statement=f"SELECT *, slice(_words, 1, {int(max_tokens)}) AS _cut FROM __THIS__"),
+            SQLTransformer(statement=f"SELECT *, {cut} AS _cut FROM __THIS__"),
             HashingTF(inputCol="_cut", outputCol="_counts", numFeatures=size),
             IDF(inputCol="_counts", outputCol="features"),
             SQLTransformer(statement="SELECT * EXCEPT (_words, _cut, _counts) FROM __THIS__"),
@@ -80,9 +84,12 @@ def score_corpus(rows: DataFrame, model) -> DataFrame:
     return model.transform(rows).withColumn("score", sigmoid(F.col("logit")))
 
 
-def text_probe(train: DataFrame, size: int = 1024, reg: float = 0.0, text: str = "text") -> PipelineModel:
+def text_probe(
+    train: DataFrame, size: int = 1024, reg: float = 0.0, text: str = "text", max_tokens: int | None = None
+) -> PipelineModel:
     """Features and probe as one model that can be saved and loaded."""
-    return Pipeline(stages=[*text_features(text, size=size).getStages(), linear_probe(size, reg)]).fit(train)
+    stages = text_features(text, size, max_tokens).getStages()
+    return Pipeline(stages=[*stages, linear_probe(size, reg)]).fit(train)
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -1,8 +1,7 @@
 """Dense retrieval, quality re-ranking and ranking metrics.
 
-How the reference blends similarity and quality lies in a dependency that is
-not part of it, so the blend and the normalisation here are stated assumptions
-and stay parameters.
+How similarity and quality are blended, and how quality is normalised, are
+stated assumptions; both stay parameters.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ QUERY_BYTES = 64 << 20
 CANDIDATE_ROWS = 1_000_000_000
 PRESCAN_SHARE = 0.001
 _TIE_DIGITS = 12  # similarities equal to this many digits are ties
+_QUERY_ROWS = 256  # queries multiplied with one batch of documents at a time
 
 
 def _best_per_query(shared, k: int, doc_id: str, vector: str):
@@ -40,15 +40,15 @@ def _best_per_query(shared, k: int, doc_id: str, vector: str):
             ids = batch.column(batch.schema.get_field_index(doc_id)).to_numpy(zero_copy_only=False)
             if d is None:
                 d = ids[:0]
-            for start in range(0, len(matrix), 1024):
-                block = np.round(matrix[start : start + 1024] @ docs.T, _TIE_DIGITS)
-                bound = floor[start : start + 1024]
+            parts = [(q, d, s)]
+            for start in range(0, len(matrix), _QUERY_ROWS):
+                block = np.round(matrix[start : start + _QUERY_ROWS] @ docs.T, _TIE_DIGITS)
+                bound = floor[start : start + _QUERY_ROWS]
                 if block.shape[1] > k:
                     bound = np.maximum(bound, -np.partition(-block, k - 1, axis=1)[:, k - 1])
                 rows, cols = np.nonzero(block >= bound[:, None])
-                q = np.concatenate([q, rows + start])
-                d = np.concatenate([d, ids[cols]])
-                s = np.concatenate([s, block[rows, cols]])
+                parts.append((rows + start, ids[cols], block[rows, cols]))
+            q, d, s = (np.concatenate(column) for column in zip(*parts))
             # Keep the best k per query (smaller id first among ties).
             order = np.lexsort((d.astype(str) if d.dtype == object else d, -s, q))
             q, d, s = q[order], d[order], s[order]

@@ -45,12 +45,14 @@ def labelled_sample(
     return train_test_split(sample, key, seed=seed)
 
 
-def train_quality_probe(sample: DataFrame, size: int = 1024, grid=(0.0, 0.01, 0.1)) -> Trained:
+def train_quality_probe(
+    sample: DataFrame, size: int = 1024, grid=(0.0, 0.01, 0.1), max_tokens: int | None = None
+) -> Trained:
     """Fit features on the training rows, probes on stored features, keep the
     best by macro F1 on the test rows."""
     stored = materialise(sample, "labelled-sample")
     train, test = stored.where(F.col("split") == "train"), stored.where(F.col("split") == "test")
-    features = text_features(size=size).fit(train)
+    features = text_features(size=size, max_tokens=max_tokens).fit(train)
     fitted = materialise(features.transform(train).select("label", "features"), "train-features")
     held_out = materialise(features.transform(test).select("label", "features"), "test-features")
     probe, reg, scores = best_probe(fitted, held_out, size, grid)

@@ -101,6 +101,8 @@ def computed(df: DataFrame, name: str, column) -> DataFrame:
 
 
 def _width(column, kind: str):
+    if kind.startswith(("array", "map", "struct")):
+        raise ValueError("only flat columns can be measured")
     if kind in ("string", "binary"):
         return F.coalesce(F.octet_length(column), F.lit(0))
     return F.lit(16)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import language
 from gleaner.plans import clean_pages, crawl_picks, train_probe
 from gleaner.runtime import clear_scratch, fits_broadcast, materialise, scratch_root, session
-from gleaner.sources import blocklist, warc
+from gleaner.sources import blocklist, crawl_index, warc
 from gleaner.streaming import ingest
 
 HTTP = "HTTP/1.1 200 OK\r\n\r\n"
@@ -70,6 +70,27 @@ def test_streams_take_each_file_once(spark, folders):
     assert run() == ["http://new.example/"] + first
 
 
+def test_index_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with gzip.open(tmp_path / "in" / "cdx.gz", "wt") as f:
+        f.write('k 1 {"url":"http://a/","filename":"f","languages":"eng"}\nbroken\nk 1 {"url":"http://b/","filename":"f"}\n')
+    entries = crawl_index.english_entries(crawl_index.parse_index(spark.readStream.text(str(tmp_path / "in"))))
+    query = entries.writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    query.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("http://a/", "f")]
+
+
+def test_boilerplate_is_dropped_on_request(spark, folders, model):
+    write_warc(
+        folders / "warc" / "c.warc.gz",
+        [(f"http://many.example/{i}", f"<p>the dog {'x' * (i + 1)}</p><p>the cat on the mat</p>") for i in range(3)],
+    )
+    records = warc.read_warc(spark, str(folders / "warc" / "c.warc.gz"))
+    listed = blocklist.read_blocklist(spark, str(folders / "lists"))
+    kept = clean_pages.clean_warc(records, listed, model, above=0.0, min_pages=3)
+    assert sorted(r["text"] for r in kept.collect()) == ["the dog x", "the dog xx", "the dog xxx"]
+
+
 def test_pick_crawl_urls(spark):
     index = [f'k 1 {{"url":"http://s/{i}","filename":"f{i}","languages":"eng"}}' for i in range(9)]
     index += ['k 1 {"url":"http://s/fr","filename":"f","languages":"fra"}', "broken"]

@@ -190,6 +190,17 @@ def test_text_probe_survives_saving(spark, docs, tmp_path):
     assert a == b and len(a) == len(DOCS)
 
 
+def test_truncation_is_an_option(spark):
+    rows = spark.createDataFrame([(1, "a b c d"), (2, "A b")], "id INT, text STRING")
+
+    def used(**options):
+        made = probe.text_features(size=1 << 16, **options).fit(rows).transform(rows.union(rows)).orderBy("id").collect()
+        return made[0]["features"].indices.size, made[-1]["features"].indices.size
+
+    assert used() == (4, 2) and used(max_tokens=2) == (2, 2)
+    assert probe.text_features().fit(rows).transform(rows).columns == ["id", "text", "features"]
+
+
 def test_domains_by_centroid(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.8, 0.2], "x"), (3, [0.0, 1.0], "y")], "id INT, embedding ARRAY<FLOAT>, label STRING")
     centroids = pooling.mean_pool(rows, "label", "embedding")
