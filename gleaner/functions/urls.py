@@ -31,10 +31,8 @@ def safe_file_name(url: Column, width: int = 150) -> Column:
 
 
 def percent_decode(text: Column) -> Column:
-    """Decode ``%XX`` escapes; stray ``%`` and ``+`` stay as they are.
-
-    An escape that is not valid UTF-8 keeps the text undecoded.
-    """
+    """Decode ``%XX`` escapes as UTF-8, malformed sequences to U+FFFD; stray
+    ``%`` and ``+`` stay as they are."""
     guarded = F.replace(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"), F.lit("+"), F.lit("%2B"))
     return F.coalesce(F.try_url_decode(guarded), text)
 

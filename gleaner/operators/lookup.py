@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..runtime import BROADCAST_BYTES
 
 _ROW_BYTES = 64  # hash-relation overhead of a row
+_NEVER = 62  # no key occurs 2^62 times
 
 
 @dataclass(frozen=True)
@@ -34,10 +35,10 @@ def split_weights(weights: DataFrame, budget: int = BROADCAST_BYTES) -> SplitWei
     most 64 rows and is read on the driver; the head takes the most frequent
     classes that fit the budget.
     """
-    magnitude = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
+    magnitude = F.length(F.bin("n")) - 1
     size = F.sum((F.octet_length("key") + _ROW_BYTES + 8 * (len(weights.columns) - 2)).cast("long"))
     histogram = {r["m"]: r["bytes"] for r in weights.groupBy(magnitude.alias("m")).agg(size.alias("bytes")).collect()}
-    lowest, used = 64, 0
+    lowest, used = _NEVER, 0
     for m in sorted(histogram, reverse=True):
         used += histogram[m]
         if used > budget:
@@ -45,7 +46,8 @@ def split_weights(weights: DataFrame, budget: int = BROADCAST_BYTES) -> SplitWei
         lowest = m
     if lowest <= min(histogram, default=lowest):
         return SplitWeights(weights.drop("n"), None)
-    return SplitWeights(weights.where(magnitude >= lowest).drop("n"), weights.where(magnitude < lowest).drop("n"))
+    frequent = F.col("n") >= F.lit(1 << lowest)
+    return SplitWeights(weights.where(frequent).drop("n"), weights.where(~frequent).drop("n"))
 
 
 def lookup_sums(

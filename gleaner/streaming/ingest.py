@@ -11,14 +11,9 @@ from ..sources import warc
 PAGES = "page_id BIGINT, url STRING, html STRING"
 
 
-def page_stream(spark: SparkSession, folder: str, glob: str = "*.parquet", files_per_batch: int = 1000) -> DataFrame:
-    """Pages from Parquet files as they appear in ``folder``."""
-    return (
-        spark.readStream.schema(PAGES)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .parquet(folder)
-    )
+def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Pages from Parquet files as they appear under ``path`` (folder or glob)."""
+    return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def warc_stream(spark: SparkSession, folder: str, glob: str = "*.warc.gz", files_per_batch: int = 1000) -> DataFrame:

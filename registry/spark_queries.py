@@ -128,7 +128,7 @@ def incremental_pages(spark, d):
     out, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint")
     blocked = materialise(fx.blocklist(spark, d), "blocklist")
     for _ in range(2):
-        ingest.ingest(ingest.page_stream(spark, d, "pages.parquet"), blocked, out, checkpoint)
+        ingest.ingest(ingest.page_stream(spark, f"{d}/pages.parquet*"), blocked, out, checkpoint)
     return spark.read.schema("page_id BIGINT, url STRING, text STRING").parquet(out)
 
 

@@ -33,7 +33,7 @@ def test_authority_equals_urlparse(column):
 
 
 def test_percent_decode_equals_unquote(column):
-    values = ["a%20b", "100%_x", "a+b", "%zz", "%E9t%C3%A9"[3:], "x%2", "%", "%2Fa%2fb", "plain"]
+    values = ["a%20b", "100%_x", "a+b", "%zz", "%E9t%C3%A9"[3:], "x%2", "%", "%2Fa%2fb", "plain", "%E9x", "%ff%FE", "a%C3", "%E2%82x"]
     assert column(values, urls.percent_decode) == [unquote(v) for v in values]
 
 
