@@ -147,7 +147,7 @@ def article_text(spark, d):
 
 @query
 def host_boilerplate(spark, d):
-    return boilerplate.host_boilerplate(fx.page_texts(spark, d))
+    return boilerplate.host_boilerplate(materialise(fx.page_texts(spark, d), "texts"))
 
 
 @query

@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from check import canonical, connect
+from gleaner.operators import language, sampling
+from registry import fixtures
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
@@ -36,6 +38,16 @@ def test_query(spark, duck, name):
     assert types[0] == types[1]
 
 
+def test_languages_of_unseen_documents(spark):
+    rows = fixtures.documents(spark, "/root/testdata/sf0.01", "doc_id", "text", "lang")
+    split = sampling.train_test_split(rows, "doc_id")
+    model = language.fit_language_model(split.where("split = 'train'"))
+    held_out = split.where("split = 'test'")
+    top = language.top_language(held_out, model).withColumnRenamed("lang", "found")
+    found = held_out.join(top, "doc_id").selectExpr("count(*) AS n", "count_if(lang = found) AS good").first()
+    assert found["n"] > 150 and found["good"] == found["n"]
+
+
 def test_entry(spark):
     frame = entry.entry(spark)
     assert frame.columns == ["url", "text"] and frame.count() > 0
