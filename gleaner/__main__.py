@@ -38,7 +38,11 @@ def clean_warcs(spark, a):
 
 def ingest_warcs(spark, a):
     listed = blocklist.read_blocklist(spark, a.blocklist)
-    ingest.ingest(ingest.warc_stream(spark, a.warcs), listed, a.out, a.checkpoint)
+    pages = ingest.warc_stream(spark, a.warcs)
+    if a.model:
+        ingest.ingest_clean(pages, listed, language.load_language_model(spark, a.model), a.out, a.checkpoint)
+    else:
+        ingest.ingest(pages, listed, a.out, a.checkpoint)
 
 
 def extract_links(spark, a):
@@ -49,7 +53,7 @@ def extract_links(spark, a):
 
 def pick_urls(spark, a):
     picks = crawl_picks.pick_crawl_urls(spark.read.text(a.index), spark.read.text(a.links), a.seed)
-    tables.append_picks(picks, a.out)
+    tables.write_picks(picks, a.out, "append" if a.append else "overwrite")
 
 
 def train(spark, a):
@@ -100,9 +104,9 @@ def parser() -> argparse.ArgumentParser:
         ("min-pages", {"type": int}), ("csv", {"action": "store_true"}), ("list", {}),
         ("first", {"type": int, "default": 1}), ("last", {"type": int, "default": 5}),
     )
-    job(ingest_warcs, ("warcs", need), ("blocklist", need), ("out", need), ("checkpoint", need))
+    job(ingest_warcs, ("warcs", need), ("blocklist", need), ("out", need), ("checkpoint", need), ("model", {}))
     job(extract_links, ("responses", need), ("out", need))
-    job(pick_urls, ("index", need), ("links", need), ("out", need), seed)
+    job(pick_urls, ("index", need), ("links", need), ("out", need), ("append", {"action": "store_true"}), seed)
     job(
         train, ("good", need), ("bad", need), ("model", need), ("rows", {"type": int, "default": train_probe.CURATED_AGAINST_CRAWL}),
         ("features", {"type": int, "default": 4096}), seed,

@@ -52,10 +52,14 @@ def clean_pages(
     return keep_language(texts, model, language, above, page_id)
 
 
-def clean_warc(records: DataFrame, blocklist: DataFrame, model: LanguageModel, **options) -> DataFrame:
-    """WARC records to clean pages. The record id identifies a page; a record
-    without one is identified by its content, so that equal pages share an id."""
-    pages = warc.responses(warc.parse_records(records))
+def with_page_id(pages: DataFrame) -> DataFrame:
+    """Identify WARC pages by record id; a page without one is identified by
+    its content, so that equal pages share an id."""
     content = F.sha2(F.concat_ws(" ", F.lit("content"), "url", "html"), 256)
-    keyed = pages.withColumn("page_id", F.coalesce("record_id", content)).drop("record_id")
-    return clean_pages(keyed, blocklist, model, **options).drop("page_id")
+    return pages.withColumn("page_id", F.coalesce("record_id", content)).drop("record_id")
+
+
+def clean_warc(records: DataFrame, blocklist: DataFrame, model: LanguageModel, **options) -> DataFrame:
+    """WARC records to clean pages."""
+    pages = with_page_id(warc.responses(warc.parse_records(records)))
+    return clean_pages(pages, blocklist, model, **options).drop("page_id")

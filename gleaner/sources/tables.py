@@ -67,9 +67,9 @@ def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("title STRING, text STRING, label INT").parquet(path)
 
 
-def append_picks(picks: DataFrame, path: str) -> None:
+def write_picks(picks: DataFrame, path: str, mode: str = "append") -> None:
     """url, filename pairs as columns: a comma in a URL does no harm."""
-    picks.select("url", "filename").write.mode("append").parquet(path)
+    picks.select("url", "filename").write.mode(mode).parquet(path)
 
 
 def write_predictions(runs: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.clean_pages import page_texts
+from ..operators.language import LanguageModel
+from ..plans.clean_pages import clean_pages, page_texts, with_page_id
 from ..sources import warc
 
 PAGES = "page_id BIGINT, url STRING, html STRING"
@@ -17,7 +18,7 @@ def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def warc_stream(spark: SparkSession, folder: str, glob: str = "*.warc.gz", files_per_batch: int = 1000) -> DataFrame:
-    """Sound response records from WARC files as they appear in ``folder``."""
+    """Pages of sound responses from WARC files as they appear in ``folder``."""
     records = (
         spark.readStream.option("pathGlobFilter", glob)
         .option("lineSep", warc.RECORD_SEPARATOR)
@@ -25,7 +26,7 @@ def warc_stream(spark: SparkSession, folder: str, glob: str = "*.warc.gz", files
         .text(folder)
         .select("value", F.col("_metadata.file_path").alias("warc_file"))
     )
-    return warc.responses(warc.parse_records(records))
+    return with_page_id(warc.responses(warc.parse_records(records)))
 
 
 def ingest(pages: DataFrame, blocklist: DataFrame, out: str, checkpoint: str) -> None:
@@ -44,3 +45,26 @@ def ingest(pages: DataFrame, blocklist: DataFrame, out: str, checkpoint: str) ->
         .start()
     )
     query.awaitTermination()
+
+
+def ingest_clean(
+    pages: DataFrame, blocklist: DataFrame, model: LanguageModel, out: str, checkpoint: str, **options
+) -> None:
+    """The whole cleaning job, language filter included, for files not yet seen.
+
+    The language score aggregates over a page, so each micro-batch is cleaned
+    as a batch. Its folder carries the batch number and is overwritten when the
+    batch is retried, so no page is written twice.
+    """
+
+    def clean(batch: DataFrame, number: int) -> None:
+        cleaned = clean_pages(batch, blocklist, model, **options)
+        cleaned.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    query = (
+        pages.writeStream.foreachBatch(clean)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()

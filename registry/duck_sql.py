@@ -194,6 +194,10 @@ def statements() -> dict[str, str]:
         "curated_scan": "SELECT url FROM pages",
         "incremental_pages": f"""WITH {LISTS}, {ALLOWED} SELECT page_id, url, {to_text('html')} AS text FROM allowed
             WHERE length({to_text('html')}) > 0""",
+        "incremental_clean": f"""WITH {LISTS}, {ALLOWED}, clean AS (SELECT page_id, url, {to_text('html')} AS text FROM allowed),
+            {language_ctes('clean', 'page_id')}
+            SELECT page_id, url, text FROM clean SEMI JOIN (SELECT page_id FROM best WHERE lang = 'en' AND p > 0.6) USING (page_id)
+            WHERE length(text) > 0""",
         "extract_text": f"WITH {TEXTS} SELECT page_id, text FROM texts",
         "article_text": f"""WITH a AS (SELECT page_id, html, regexp_extract_all(html, {lit(html.ARTICLE_PATTERN)}, 1) AS parts FROM pages),
             b AS (SELECT page_id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, {NL}) ELSE html END AS html FROM a)

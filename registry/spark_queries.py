@@ -132,6 +132,17 @@ def incremental_pages(spark, d):
     return spark.read.schema("page_id BIGINT, url STRING, text STRING").parquet(out)
 
 
+@query
+def incremental_clean(spark, d):
+    """As above with the language filter, cleaned batch by batch."""
+    out, checkpoint = scratch_path(spark, "cleaned"), scratch_path(spark, "clean-checkpoint")
+    blocked = materialise(fx.blocklist(spark, d), "blocklist")
+    model = language_model(spark, d)
+    for _ in range(2):
+        ingest.ingest_clean(ingest.page_stream(spark, f"{d}/pages.parquet*"), blocked, model, out, checkpoint)
+    return spark.read.schema("page_id BIGINT, url STRING, text STRING").parquet(f"{out}/batch=*")
+
+
 # --- expressions and filters -----------------------------------------------
 
 
@@ -333,7 +344,7 @@ def funnel_counts(spark, d):
 def crawl_pick(spark, d):
     path = scratch_path(spark, "picks")
     picks = crawl_picks.pick_crawl_urls(fx.index_lines(spark, d), fx.link_lines(spark, d))
-    tables.append_picks(picks, path)
+    tables.write_picks(picks, path)
     return spark.read.schema("url STRING, filename STRING").parquet(path)
 
 

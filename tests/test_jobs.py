@@ -70,6 +70,19 @@ def test_streams_take_each_file_once(spark, folders):
     assert run() == ["http://new.example/"] + first
 
 
+def test_stream_with_language_filter(spark, folders, model):
+    listed = materialise(blocklist.read_blocklist(spark, str(folders / "lists")), "lists")
+
+    def run():
+        pages = ingest.warc_stream(spark, str(folders / "warc"))
+        ingest.ingest_clean(pages, listed, model, str(folders / "out"), str(folders / "checkpoint"))
+        return sorted(r["url"] for r in spark.read.parquet(str(folders / "out")).collect())
+
+    assert run() == run() == ["http://ok.example/en"] * 2
+    write_warc(folders / "warc" / "b.warc.gz", [("http://new.example/", "<p>the mat</p>"), ("http://fr/", "<p>la maison</p>")])
+    assert run() == ["http://new.example/"] + ["http://ok.example/en"] * 2
+
+
 def test_index_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     with gzip.open(tmp_path / "in" / "cdx.gz", "wt") as f:

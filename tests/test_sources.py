@@ -151,7 +151,7 @@ def test_page_csv_round_trip(spark, tmp_path):
 def test_picks_keep_commas_and_append(spark, tmp_path):
     picks = spark.createDataFrame([("http://a/x,y", "f,1")], "url STRING, filename STRING")
     for _ in range(2):
-        tables.append_picks(picks, str(tmp_path / "picks"))
+        tables.write_picks(picks, str(tmp_path / "picks"))
     assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "picks")).collect()] == [("http://a/x,y", "f,1")] * 2
 
 
