@@ -52,6 +52,8 @@ def drop_blocked(
 def drop_blocked_with_parents(pages: DataFrame, domains: DataFrame, blocked: DataFrame) -> DataFrame:
     """As above for sub-domains: hosts are few against pages, so the listed
     hosts are found first and the pages meet only those."""
+    if pages.isStreaming:
+        raise ValueError("match_parents needs the hosts of all pages, so it does not run on a stream")
     lowered = domains.select(F.lower("domain").alias("domain")).distinct()
     hosts = pages.select(urls.authority(F.col("url")).alias("host")).distinct()
     listed = (

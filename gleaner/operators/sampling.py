@@ -20,6 +20,7 @@ HEAP_ROWS = 1_000
 # Hex digits of the md5 order: coarse slices, then fine ones inside the slice
 # that holds the cut, if that slice has more than FINE_ROWS rows.
 _COARSE, _FINE, FINE_ROWS = 3, 8, 50_000
+COPY_BLOCK = 10_000
 
 
 def seeded_key(key: Column, seed: int) -> Column:
@@ -101,6 +102,25 @@ def exact_sample(
     return kept.select(*[F.col("_taken").alias(c) if c == copies else F.col(c) for c in columns])
 
 
+def write_out_copies(rows: DataFrame, copies: str = "copies") -> DataFrame:
+    """One row per copy. A row with very many is first split into blocks that
+    are spread over the tasks, so neither an array nor a task grows with it."""
+    stored = materialise(rows, "copies")
+    kept = [c for c in rows.columns if c != copies]
+    one, size = F.lit(1).cast("long"), F.lit(COPY_BLOCK).cast("long")
+
+    def expand(frame: DataFrame) -> DataFrame:
+        return frame.withColumn("_copy", F.explode(F.sequence(one, F.col(copies)))).select(*kept)
+
+    blocks = (
+        stored.where(F.col(copies) > size)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({copies} - 1) div {COPY_BLOCK}"))))
+        .withColumn(copies, F.least(size, F.col(copies) - F.col("_block") * size))
+        .repartition(*kept, "_block")
+    )
+    return expand(stored.where(F.col(copies) <= size)).unionByName(expand(blocks))
+
+
 def head_n(rows: DataFrame, n: int, key: str) -> DataFrame:
     """The ``n`` smallest rows by the unique, non-null ``key``.
 
@@ -124,7 +144,7 @@ def crawl_pick(entries: DataFrame, quota: int, seed: int = 42) -> DataFrame:
     """
     named = entries.select("url", "filename", F.concat("url", F.lit(" "), "filename").alias("entry"))
     picked = exact_sample(named, quota, "entry", seed=seed, copies="copies", merge=True)
-    return picked.select("url", "filename", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).drop("col")
+    return write_out_copies(picked).select("url", "filename")
 
 
 def balanced_negatives(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.probe import best_probe, decide, text_features
-from ..operators.sampling import exact_sample, labelled_union, train_test_split
+from ..operators.sampling import exact_sample, labelled_union, train_test_split, write_out_copies
 from ..operators.scores import classification_report
 from ..runtime import materialise
 
@@ -41,7 +41,7 @@ def labelled_sample(
     ]
     sample = labelled_union(parts)
     if copies:
-        sample = sample.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), copies))).drop(copies)
+        sample = write_out_copies(sample, copies)
     return train_test_split(sample, key, seed=seed)
 
 

@@ -68,6 +68,13 @@ def test_crawl_pick_with_a_hot_entry(spark):
         assert got == sorted(ordered[:quota])
 
 
+def test_copies_are_written_out_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "COPY_BLOCK", 7)
+    rows = spark.createDataFrame([("a", 1), ("b", 7), ("c", 8), ("d", 700)], "k STRING, copies LONG")
+    got = sampling.write_out_copies(rows).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in got} == {"a": 1, "b": 7, "c": 8, "d": 700}
+
+
 @pytest.mark.parametrize("n", [0, 1, 20, 500, 2000])
 def test_head_n(spark, monkeypatch, n):
     monkeypatch.setattr(sampling, "HEAP_ROWS", 100)
