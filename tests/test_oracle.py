@@ -1,6 +1,8 @@
 """Every registered query against its SQL on the smallest tables, and the shape
 of its plan."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -10,6 +12,7 @@ from registry import fixtures
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
+NAMES = [name for name in entry.queries() if not re.match(r"op\d+_|pipeline$", name)]
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +24,7 @@ def test_names():
     assert set(SQL) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query(spark, duck, name):
     frame = entry.queries()[name](spark, FOLDER)
     plan = frame._jdf.queryExecution().executedPlan().toString()
