@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, token_counts
+from . import byte_bpe, mixing, quality_classifier, quality_rules, token_counts
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT = 512
@@ -33,6 +33,15 @@ def op1_token_counts(spark, folder):
     return token_counts.token_counts(documents(spark, folder, "doc_id", "text"), path, TOKEN_LIMIT)
 
 
+@query
+def op2_quality_trees(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    held_out = quality_classifier.remainder(F.col("doc_id"), 4) == 2
+    model = quality_classifier.fit(docs, labels(spark, folder, "doc_id", "quality").where(~held_out), label="quality")
+    scores = quality_classifier.scored(docs, model)
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 @query
 def op5_source_mix(spark, folder):
     plan = mixing.mix_plan(documents(spark, folder, "doc_id", "text", "source"))
@@ -44,3 +53,10 @@ def op5_source_mix(spark, folder):
 def op6_byte_bpe(spark, folder):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return byte_bpe.round_trip(documents(spark, folder, "doc_id", "text"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op7_robust_outliers(spark, folder):
+    rows = quality_rules.quality_rules(documents(spark, folder, "doc_id", "text", "lang", "source"))
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+    return rows.select("doc_id", *names)
