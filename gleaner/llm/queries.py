@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, quality_classifier, quality_rules, token_counts
+from . import byte_bpe, mixing, pii, quality_classifier, quality_rules, token_counts
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT = 512
@@ -60,3 +60,8 @@ def op7_robust_outliers(spark, folder):
     rows = quality_rules.quality_rules(documents(spark, folder, "doc_id", "text", "lang", "source"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
     return rows.select("doc_id", *names)
+
+
+@query
+def op9_weak_pii(spark, folder):
+    return pii.personal_data(documents(spark, folder, "doc_id", "text"))
