@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, pii, quality_classifier, quality_rules, token_counts
+from . import byte_bpe, mixing, pii, quality_classifier, quality_rules, token_counts, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT = 512
@@ -65,3 +65,12 @@ def op7_robust_outliers(spark, folder):
 @query
 def op9_weak_pii(spark, folder):
     return pii.personal_data(documents(spark, folder, "doc_id", "text"))
+
+
+@query
+def op8_toxic_strings(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text")
+    held_out = quality_classifier.remainder(F.col("doc_id"), 5) == 0
+    machine = toxicity.fit(docs, labels(spark, folder, "doc_id", "toxic").where(~held_out), label="toxic")
+    scores = toxicity.scored(docs, machine)
+    return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
