@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, mixing, pii, quality_classifier, quality_rules, token_counts, toxicity
+from . import byte_bpe, fingerprints, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT = 512
@@ -42,6 +42,11 @@ def op2_quality_trees(spark, folder):
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+@query
+def op3_super_kmers(spark, folder):
+    return substring_dedup.digests(documents(spark, folder, "doc_id", "text"))
+
+
 @query
 def op4_content_chunks(spark, folder):
     return fingerprints.compared(documents(spark, folder, "doc_id", "text"))
