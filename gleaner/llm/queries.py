@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from . import byte_bpe, fingerprints, jaccard_join, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT = 512
@@ -84,3 +84,8 @@ def op8_toxic_strings(spark, folder):
     machine = toxicity.fit(docs, labels(spark, folder, "doc_id", "toxic").where(~held_out), label="toxic")
     scores = toxicity.scored(docs, machine)
     return scores.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op10_fragment_join(spark, folder):
+    return jaccard_join.jaccard_components(documents(spark, folder, "doc_id", "text"))
