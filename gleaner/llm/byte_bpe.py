@@ -274,17 +274,19 @@ def decoded(rows: DataFrame, path: str, pattern: str, key: str = "doc_id", ids:
     return _with_codec(rows, path, pattern, key, ids, make, "text string")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The key, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``: every text is
-    encoded, its ids hashed, decoded again in a stream and the text hashed, so
-    that ids and text of a document exist only while it is worked on. Edge cases
-    as for ``encoded``."""
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """The key, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256``, with ``ids``
+    also the ids: every text is encoded, its ids hashed, decoded again in a stream
+    and the text hashed, so that both exist only while a document is worked on.
+    Edge cases as for ``encoded``."""
 
     def make(own: Codec, value):
-        ids = own.encode(value or "")
+        found = own.encode(value or "")
         back = hashlib.sha256()
-        for part in own.decode(ids):
+        for part in own.decode(found):
             back.update(part.encode())
-        return len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), back.hexdigest()
+        digests = hashlib.sha256(found.tobytes()).hexdigest(), back.hexdigest()
+        return (len(found), found.tobytes(), *digests) if ids else (len(found), *digests)
 
-    return _with_codec(docs, path, pattern, key, text, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    extra = "ids binary, " if ids else ""
+    return _with_codec(docs, path, pattern, key, text, make, f"n_tokens long, {extra}ids_sha256 string, decoded_sha256 string")
