@@ -112,7 +112,8 @@ class Words:
         out = np.zeros(len(h), np.uint64)
         for i in range(n):
             part = np.zeros_like(h)
-            part[: len(h) - i] = h[i:]
+            if i < len(h):
+                part[: len(h) - i] = h[i:]
             out = out * np.uint64(0xD6E8FEB86659FD93) + part
         left = np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(h))
         return mixed(out), left >= n
