@@ -18,17 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
 from .hot import frequent, is_in
-from .words import Words, cut, gathered, mixed, sliding_min, slices
+from .words import Words, cut, gathered, mixed, sliding_min, slices, strings, text_bytes
 
 WINDOW, GRAM = 20, 4
 _HOT = np.uint64(1 << 63)
-_LEVEL = 1
+_LEVEL = 3
+SLICE_BYTES = 4 << 20
 
 
 @dataclass
@@ -58,23 +60,22 @@ def super_kmers(words: Words, hot: np.ndarray) -> Runs:
     begin = np.concatenate([[True], (least[1:] != least[:-1]) | (docs[1:] != docs[:-1])])
     first = np.flatnonzero(begin)
     windows = np.diff(np.append(first, len(at)))
-    spans = windows + WINDOW - GRAM
-    bounds = np.concatenate([[0], np.cumsum(spans)])
-    places = np.arange(bounds[-1]) + np.repeat(at[first] - bounds[:-1], spans)
-    times = np.add.reduceat((key[places] == np.repeat(least[first], spans)).astype(np.int64), bounds[:-1])
+    begin, spans = at[first], windows + WINDOW - GRAM
+    found, _ = gathered(key, begin, spans)
+    bounds = np.cumsum(spans) - spans
+    times = np.add.reduceat((found == np.repeat(least[first], spans)).astype(np.int32), bounds)
     return Runs(docs[first], at[first] - words.first[docs[first]], windows, least[first], (times > 1).astype(np.int64))
 
 
 def _order_key(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``_key`` with null last, ``_hash`` of the text to tell rows with one key
-    apart, ``_text``."""
+    """``_key``, ``_place`` (the key, null as the largest), ``_text`` and ``_hash``
+    of the text, which tells rows of one place apart and is 0 where there are
+    none such."""
     own = F.col(f"`{key}`").cast("long")
-    return docs.select(
-        own.alias("_key"),
-        F.coalesce(own, F.lit((1 << 63) - 1)).alias("_place"),
-        F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_hash"),
-        F.col(f"`{text}`").alias("_text"),
-    )
+    place = F.coalesce(own, F.lit((1 << 63) - 1))
+    unique = docs.groupBy(place.alias("p")).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    code = F.lit(0).cast("long") if unique else F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit("")))
+    return docs.select(own.alias("_key"), place.alias("_place"), code.alias("_hash"), F.col(f"`{text}`").alias("_text"))
 
 
 def _packed(words: Words, runs: Runs, place: np.ndarray, code: np.ndarray, buckets: int):
@@ -107,22 +108,24 @@ def _packed(words: Words, runs: Runs, place: np.ndarray, code: np.ndarray, bucke
         if not len(part):
             continue
         text, text_offsets = gathered(data, offsets[part], length[part])
-        head = np.stack(
-            [place[runs.text[part]], code[runs.text[part]], runs.start[part], runs.windows[part], np.diff(text_offsets), runs.twice[part]], axis=1
-        ).astype(np.int64)
-        block = press.compress(np.int64(len(part)).tobytes() + head.tobytes() + runs.key[part].tobytes() + text.tobytes())
+        wide = np.stack([place[runs.text[part]], code[runs.text[part]]]).astype(np.int64)
+        narrow = np.stack([runs.start[part], runs.windows[part], np.diff(text_offsets), runs.twice[part]]).astype(np.int32)
+        # 32 bits of the minimiser tell those of one bucket apart well enough: windows are compared by their words
+        low = runs.key[part].astype(np.uint32)
+        block = press.compress(np.int64(len(part)).tobytes() + wide.tobytes() + narrow.tobytes() + low.tobytes() + text.tobytes())
         out.append((int(bucket[part[0]]), block))
     own = np.flatnonzero(local)
     repeats = np.stack([place[runs.text[own]], code[runs.text[own]], runs.start[own], runs.windows[own]], axis=1).astype(np.int64)
-    return out, repeats
+    return out, _merged(repeats)
 
 
 def _unpacked(block: bytes):
     raw = zstandard.ZstdDecompressor().decompress(block)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    head = np.frombuffer(raw, np.int64, 6 * n, 8).reshape(n, 6)
-    keys = np.frombuffer(raw, np.uint64, n, 8 + 48 * n)
-    return head, keys, raw[8 + 56 * n :]
+    wide = np.frombuffer(raw, np.int64, 2 * n, 8).reshape(2, n)
+    narrow = np.frombuffer(raw, np.int32, 4 * n, 8 + 16 * n).reshape(4, n)
+    keys = np.frombuffer(raw, np.uint32, n, 8 + 32 * n)
+    return np.concatenate([wide, narrow]).T, keys, raw[8 + 36 * n :]
 
 
 def _repeats(blocks: list[bytes]) -> np.ndarray:
@@ -154,7 +157,16 @@ def _repeats(blocks: list[bytes]) -> np.ndarray:
     leaders = leaders[several]
     if len(leaders):
         found.append(_equal_windows(data, offsets, head, key, leaders))
-    return np.concatenate(found) if found else np.zeros((0, 4), np.int64)
+    return _merged(np.concatenate(found)) if found else np.zeros((0, 4), np.int64)
+
+
+def _merged(rows: np.ndarray) -> np.ndarray:
+    """Runs of windows that follow on one another as one row each."""
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    joins = np.zeros(len(rows), bool)
+    joins[1:] = (rows[1:, :2] == rows[:-1, :2]).all(1) & (rows[1:, 2] == rows[:-1, 2] + rows[:-1, 3])
+    first = np.flatnonzero(~joins)
+    return np.concatenate([rows[first, :3], np.add.reduceat(rows[:, 3], first)[:, None]], axis=1) if len(rows) else rows
 
 
 def _equal_windows(data: bytes, offsets, head, key, leaders) -> np.ndarray:
@@ -217,8 +229,11 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     many from there on. ``buckets`` defaults to four times the scan's tasks or
     the shuffle partitions, whichever is more: a bucket holds a task's fourth.
     """
-    rows = _order_key(docs, key, text)
-    spark = docs.sparkSession
+    return _repeated_windows(_order_key(docs, key, text), buckets)
+
+
+def _repeated_windows(rows: DataFrame, buckets: int | None = None) -> DataFrame:
+    spark = rows.sparkSession
     parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = buckets or 4 * parts
 
@@ -227,11 +242,11 @@ def repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", b
         found, inside = words.grams(GRAM)
         return found[inside]
 
-    hot = frequent(rows, "_text", grams, 1 / (2 * buckets), "grams")
+    hot = frequent(rows, "_text", grams, 1 / (2 * buckets))
 
     def send(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", SLICE_BYTES):
                 words = cut(part.column(3))
                 runs = super_kmers(words, hot)
                 place = part.column(1).to_numpy(zero_copy_only=False)
@@ -269,12 +284,38 @@ def _found(repeats: np.ndarray):
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_key``, ``_text`` of ``docs`` with ``_spans``, the repeated windows of
-    each text as ``start`` and ``windows``."""
-    found = materialise(repeated_windows(docs, key, text), "repeated-windows")
-    spans = found.groupBy("place", "hash").agg(F.collect_list(F.struct("start", "windows")).alias("_spans"))
+    """``_key``, ``_packed`` (the compressed text) and ``_spans``, the repeated
+    windows of each row as ``start`` and ``windows``."""
     rows = _order_key(docs, key, text)
-    return rows.join(spans, (F.col("_place") == F.col("place")) & (F.col("_hash") == F.col("hash")), "left").select("_key", "_text", "_spans")
+    found = materialise(_repeated_windows(rows), "repeated-windows")
+    spans = found.groupBy("place", "hash").agg(F.collect_list(F.struct("start", "windows")).alias("_spans"))
+
+    def pack(batches):
+        press = zstandard.ZstdCompressor(level=_LEVEL)
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(3))
+            whole = memoryview(data)
+            texts = [press.compress(whole[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], ["a", "b", "c", "d"])
+
+    packed = rows.mapInArrow(pack, "_key long, _place long, _hash long, _packed binary")
+    return packed.join(spans, (F.col("_place") == F.col("place")) & (F.col("_hash") == F.col("hash")), "left").select("_key", "_packed", "_spans")
+
+
+def _unpack(batch: pa.RecordBatch):
+    """The batch with its texts, in parts of bounded size."""
+    press, start = zstandard.ZstdDecompressor(), 0
+    packed = batch.column(1).to_pylist()
+    while start < batch.num_rows:
+        texts, size = [], 0
+        while start + len(texts) < batch.num_rows and size < SLICE_BYTES:
+            texts.append(press.decompress(packed[start + len(texts)]))
+            size += len(texts[-1])
+        part = batch.slice(start, len(texts))
+        bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        column = strings(np.frombuffer(b"".join(texts), np.uint8), bounds)
+        yield pa.RecordBatch.from_arrays([part.column(0), column, part.column(2)], ["_key", "_text", "_spans"])
+        start += len(texts)
 
 
 def _kept(part: pa.RecordBatch):
@@ -282,9 +323,8 @@ def _kept(part: pa.RecordBatch):
     words = cut(part.column(1))
     change = np.zeros(len(words.starts) + 1, np.int64)
     spans = part.column(2)
-    lists = pa.ListArray.from_arrays(spans.offsets, spans.values) if isinstance(spans, pa.ListArray) else spans
-    number = np.repeat(np.arange(len(part)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    flat = lists.flatten()
+    number = np.repeat(np.arange(len(part)), pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
     start = words.first[number] + flat.field("start").to_numpy(zero_copy_only=False)
     end = start + flat.field("windows").to_numpy(zero_copy_only=False) + WINDOW - 1
     np.add.at(change, start, 1)
@@ -322,7 +362,7 @@ def _finished(docs, key, text, last, make):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in _unpack(batch):
                 words, removed, texts = _kept(part)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), make(texts)], ["k", "w", "r", "t"])
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+GATHER_BYTES = 1 << 20
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -154,10 +155,18 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The given byte ranges one after another, and their n + 1 offsets."""
+    """The given byte ranges one after another, and their n + 1 offsets. The index
+    of bytes is built for a part of the ranges at a time."""
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    index = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
-    return data[index], offsets
+    out = np.empty(int(offsets[-1]), data.dtype)
+    at = 0
+    while at < len(lengths):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + GATHER_BYTES, "right")) - 1)
+        index = np.arange(offsets[at], offsets[end])
+        index += np.repeat(starts[at:end] - offsets[at:end], lengths[at:end])
+        out[offsets[at] : offsets[end]] = data[index]
+        at = end
+    return out, offsets
 
 
 def strings(data: np.ndarray, offsets: np.ndarray, kind=None) -> pa.Array:

@@ -71,9 +71,11 @@ def test_frequent_grams(spark):
         found, inside = cut.grams(4)
         return found[inside]
 
-    common = hot.frequent(docs, "text", grams, 0.1, "grams")
-    one = words.cut(docs.limit(1).toArrow().column(0))
-    assert one.grams(4)[0][0] in common and len(common) <= 20
+    common = hot.frequent(docs, "text", grams, 0.1)
+    one = words.cut(docs.limit(1).toArrow().column(0)).grams(4)[0]
+    assert one[0] in common and len(common) <= 20
+    wide = hot.widespread(docs, "text", grams, 150, 8, 3)
+    assert wide.has(one).tolist()[0] and len(wide.codes) == 1
 
 
 def scalar_chunks(data):
