@@ -102,7 +102,7 @@ def parser() -> argparse.ArgumentParser:
     job(
         clean_warcs, ("warcs", need), ("blocklist", need), ("model", need), ("out", need), ("curated", {}),
         ("min-pages", {"type": int}), ("csv", {"action": "store_true"}), ("list", {}),
-        ("first", {"type": int, "default": 1}), ("last", {"type": int, "default": 5}),
+        ("first", {"type": int, "default": 0}), ("last", {"type": int}),
     )
     job(ingest_warcs, ("warcs", need), ("blocklist", need), ("out", need), ("checkpoint", need), ("model", {}))
     job(extract_links, ("responses", need), ("out", need))

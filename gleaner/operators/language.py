@@ -13,8 +13,6 @@ from ..functions.probability import argmax, softmax
 from ..runtime import BROADCAST_BYTES, broadcast_if_small, materialise
 from .lookup import lookup_sums
 
-MAX_LANGUAGES = 500
-
 
 @dataclass(frozen=True)
 class LanguageModel:
@@ -49,9 +47,7 @@ def fit_language_model(labelled: DataFrame, text: str = "text", lang: str = "lan
     """Count tokens per language: one shuffle of (token, counts), combined
     map-side so that frequent tokens collapse before it."""
     known = labelled.where(F.col(lang).isNotNull())
-    languages = sorted(r[0] for r in known.select(lang).distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages in column {lang!r}")
+    languages = sorted(r[0] for r in known.select(lang).distinct().collect())  # the model's columns
     tokens = known.select(F.col(lang).alias("_lang"), F.explode(txt.words(F.col(text))).alias("key"))
     counts = tokens.groupBy("key").agg(
         F.count("*").alias("n"), *[F.count_if(F.col("_lang") == l).alias(f"c{i}") for i, l in enumerate(languages)]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.probability import argmax, label_of, sigmoid, softmax
 from .scores import binary_decision, macro_metrics
 
-NORMAL_LIMIT = 4096  # the normal-equation solver takes no more features
+ITERATIONS = 500  # of the iterative solvers; a fit that needs more fails
 MAX_DOMAINS = 1000
 
 
@@ -40,15 +40,28 @@ def vector_features(rows: DataFrame, vector: str = "embedding") -> DataFrame:
     return rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))
 
 
-def linear_probe(size: int, reg: float = 0.0) -> LinearRegression:
-    """One linear output under squared loss on frozen features."""
+def converged(model, limit: int = ITERATIONS):
+    """``model``, or an error if its solver stopped at the iteration limit."""
+    if model.hasSummary and model.summary.totalIterations >= limit:
+        raise RuntimeError(f"no convergence within {limit} iterations; use a penalty or another solver")
+    return model
+
+
+def linear_probe(reg: float = 0.0, solver: str = "normal") -> LinearRegression:
+    """One linear output under squared loss on frozen features.
+
+    The caller picks the solver: ``normal`` solves the normal equations (at most
+    4,096 features, refused beyond), ``l-bfgs`` iterates; pass its fit to
+    ``converged``.
+    """
     return LinearRegression(
         featuresCol="features",
         labelCol="label",
         predictionCol="logit",
         regParam=reg,
         standardization=False,
-        solver="normal" if size <= NORMAL_LIMIT else "l-bfgs",
+        solver=solver,
+        maxIter=ITERATIONS,
     )
 
 
@@ -58,13 +71,13 @@ def decide(scored: DataFrame) -> DataFrame:
     return scored.withColumn("pred", binary_decision(F.col("logit")))
 
 
-def best_probe(train: DataFrame, held_out: DataFrame, size: int, grid=(0.0, 0.01, 0.1)):
+def best_probe(train: DataFrame, held_out: DataFrame, grid=(0.0, 0.01, 0.1), solver: str = "normal"):
     """The probe with the best macro F1 on the held-out rows, and all scores.
 
     One fit per grid value; ties go to the smaller penalty. Features should be
     stored, as every fit reads them. All models are scored in one pass.
     """
-    models = {reg: linear_probe(size, reg).fit(train) for reg in sorted(grid)}
+    models = {reg: converged(linear_probe(reg, solver).fit(train)) for reg in sorted(grid)}
     scored = held_out.select("label", "features")
     for i, (reg, model) in enumerate(models.items()):
         scored = model.setPredictionCol(f"_logit{i}").transform(scored)
@@ -85,11 +98,13 @@ def score_corpus(rows: DataFrame, model) -> DataFrame:
 
 
 def text_probe(
-    train: DataFrame, size: int = 1024, reg: float = 0.0, text: str = "text", max_tokens: int | None = None
+    train: DataFrame, size: int = 1024, reg: float = 0.0, text: str = "text", max_tokens: int | None = None, solver: str = "normal"
 ) -> PipelineModel:
     """Features and probe as one model that can be saved and loaded."""
     stages = text_features(text, size, max_tokens).getStages()
-    return Pipeline(stages=[*stages, linear_probe(size, reg)]).fit(train)
+    model = Pipeline(stages=[*stages, linear_probe(reg, solver)]).fit(train)
+    converged(model.stages[-1])
+    return model
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -100,12 +115,13 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def domain_model(train: DataFrame, label: str = "domain", max_iter: int = 50) -> LogisticRegression:
+def domain_model(train: DataFrame, label: str = "domain", max_iter: int = ITERATIONS, reg: float = 0.0):
     """Multinomial classifier over ``features``; ``label`` is a class number."""
-    return LogisticRegression(
-        featuresCol="features", labelCol=label, family="multinomial", maxIter=max_iter,
+    model = LogisticRegression(
+        featuresCol="features", labelCol=label, family="multinomial", maxIter=max_iter, regParam=reg,
         probabilityCol="probabilities", predictionCol="class",
     ).fit(train)
+    return converged(model, max_iter)
 
 
 def dot(vector: Column, weights: Column) -> Column:

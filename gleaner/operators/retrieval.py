@@ -67,6 +67,12 @@ def _best_per_query(shared, k: int, doc_id: str, vector: str):
     return run
 
 
+def _unit(vector):
+    wide = F.transform(vector, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(wide, F.lit(0.0), lambda acc, x: acc + x * x))
+    return F.transform(wide, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+
+
 def _search(
     queries: DataFrame, corpus: DataFrame, k: int, query_id: str, doc_id: str, vector: str, prescan: float | None
 ) -> DataFrame:
@@ -76,7 +82,8 @@ def _search(
     held = queries.select(query_id, F.col(vector).cast("array<double>").alias(vector)).toArrow()
     names = held.column(0).combine_chunks()
     vectors = held.column(1).combine_chunks()
-    matrix = np.asarray(vectors.flatten(), dtype=np.float64).reshape(len(names), -1) if len(names) else np.empty((0, 1))
+    flat = np.asarray(vectors.flatten(), dtype=np.float64)
+    matrix = flat.reshape(len(names), -1) if len(names) else np.empty((0, 1))
     kinds = dict(queries.dtypes), dict(corpus.dtypes)
     schema = f"query_id {kinds[0][query_id]}, doc_id {kinds[1][doc_id]}, sim DOUBLE"
     docs = corpus.select(doc_id, F.col(vector).cast("array<double>").alias(vector)).where(F.col(vector).isNotNull())
@@ -106,9 +113,14 @@ def dense_topk(
     vector: str = "embedding",
     prescan: float | None = None,
     query_bytes: int = QUERY_BYTES,
+    metric: str = "dot",
 ) -> DataFrame:
     """query_id, doc_id, sim and rank of the ``k`` most similar documents.
 
+    ``metric`` is ``dot`` or ``cosine`` (a zero vector is similar to nothing: 0).
+    Rows without a vector are left out on both sides; vectors of different
+    lengths are an error that names the lengths.
+
     Exact. The corpus stays where it is: each task multiplies its vectors with
     a block of query vectors and keeps ``k`` per query, so only those are
     shuffled. Queries are measured first; as many blocks are formed as keep
@@ -117,6 +129,14 @@ def dense_topk(
     its k-th similarity is a lower bound that lets the tasks of the full pass
     emit far fewer candidates.
     """
+    if metric not in ("dot", "cosine"):
+        raise ValueError(f"metric must be 'dot' or 'cosine', not {metric!r}")
+    queries, corpus = (rows.where(F.col(vector).isNotNull()) for rows in (queries, corpus))
+    sizes = queries.select(F.size(vector).alias("n")).union(corpus.select(F.size(vector).alias("n"))).distinct().limit(2).collect()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of lengths {sorted(r['n'] for r in sizes)}")
+    if metric == "cosine":
+        queries, corpus = (rows.withColumn(vector, _unit(F.col(vector))) for rows in (queries, corpus))
     measured = queries.agg(
         F.coalesce(F.sum(F.size(vector).cast("long") * 8 + 64), F.lit(0)).alias("bytes")
     ).first()["bytes"]

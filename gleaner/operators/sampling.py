@@ -122,7 +122,8 @@ def write_out_copies(rows: DataFrame, copies: str = "copies") -> DataFrame:
 
 
 def head_n(rows: DataFrame, n: int, key: str) -> DataFrame:
-    """The ``n`` smallest rows by the unique, non-null ``key``.
+    """The ``n`` smallest rows by the unique ``key``, sorted; rows with a null key
+    are left out, whatever ``n``.
 
     The n-th key is found from the key column alone and becomes a filter that
     the scan can use; then at most ``n`` whole rows are sorted. For a large
@@ -130,11 +131,12 @@ def head_n(rows: DataFrame, n: int, key: str) -> DataFrame:
     """
     if n <= 0:
         return rows.limit(0)
+    keys = rows.select(key).where(F.col(key).isNotNull())
     if n <= HEAP_ROWS:
-        last = rows.select(key).where(F.col(key).isNotNull()).orderBy(key).limit(n).agg(F.max(key).alias("k")).first()["k"]
+        last = keys.orderBy(key).limit(n).agg(F.max(key).alias("k")).first()["k"]
         return rows.where(F.col(key) <= F.lit(last)).orderBy(key).limit(n)
-    first = numbered_keys(rows.select(key), "_seq").where(F.col("_seq") < n).select(key)
-    return rows.join(first, key, "left_semi")
+    last = numbered_keys(keys, "_seq").where(F.col("_seq") < n).agg(F.max(key).alias("k")).first()["k"]
+    return rows.where(F.col(key) <= F.lit(last)).orderBy(key)
 
 
 def crawl_pick(entries: DataFrame, quota: int, seed: int = 42) -> DataFrame:

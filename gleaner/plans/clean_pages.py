@@ -42,11 +42,12 @@ def clean_pages(
     Optional: leave out the URLs of a curated corpus, drop blocks that a host
     repeats on ``min_pages`` pages.
     """
+    # Only the URL decides here: before extraction, the costly step.
+    if curated_urls is not None:
+        pages = anti_join(pages, curated_urls, "url")
     # Later steps read the texts or their URLs again; reading and extracting
     # the raw pages twice would cost far more than this table.
     texts = materialise(page_texts(pages, blocklist), "page-texts")
-    if curated_urls is not None:
-        texts = anti_join(texts, curated_urls, "url")
     if min_pages is not None:
         texts = drop_boilerplate(texts, min_pages, page_id)
     return keep_language(texts, model, language, above, page_id)

@@ -46,7 +46,7 @@ def labelled_sample(
 
 
 def train_quality_probe(
-    sample: DataFrame, size: int = 1024, grid=(0.0, 0.01, 0.1), max_tokens: int | None = None
+    sample: DataFrame, size: int = 1024, grid=(0.0, 0.01, 0.1), max_tokens: int | None = None, solver: str = "normal"
 ) -> Trained:
     """Fit features on the training rows, probes on stored features, keep the
     best by macro F1 on the test rows."""
@@ -55,6 +55,6 @@ def train_quality_probe(
     features = text_features(size=size, max_tokens=max_tokens).fit(train)
     fitted = materialise(features.transform(train).select("label", "features"), "train-features")
     held_out = materialise(features.transform(test).select("label", "features"), "test-features")
-    probe, reg, scores = best_probe(fitted, held_out, size, grid)
+    probe, reg, scores = best_probe(fitted, held_out, grid, solver)
     predictions = decide(probe.transform(held_out)).select(F.col("label").cast("int").alias("label"), "pred")
     return Trained(PipelineModel([*features.stages, probe]), reg, scores, classification_report(predictions))

@@ -24,13 +24,14 @@ def path_list(lines: DataFrame, match: str = "suffix") -> DataFrame:
     raise ValueError(f"match must be 'suffix' or 'contains', not {match!r}")
 
 
-def path_slice(paths: list[str], first: int = 1, last: int = 5) -> list[str]:
-    """Entries ``first`` to ``last`` (from 0, inclusive) of a list of file names."""
-    return paths[first : last + 1]
+def path_slice(paths: list[str], first: int = 0, last: int | None = None) -> list[str]:
+    """Entries ``first`` to ``last`` (from 0, inclusive) of a list of file names;
+    without bounds the whole list."""
+    return paths[first:] if last is None else paths[first : last + 1]
 
 
-def listed_files(spark: SparkSession, list_file: str, folder: str, first: int = 1, last: int = 5) -> list[str]:
-    """Local names in ``folder`` of a slice of a path-list file.
+def listed_files(spark: SparkSession, list_file: str, folder: str, first: int = 0, last: int | None = None) -> list[str]:
+    """Local names in ``folder`` of a path-list file, or of a slice of it.
 
     File names are metadata the scan needs before it starts; the list has one
     line per crawl file and is read in file order.

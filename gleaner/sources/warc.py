@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..runtime import computed
 
-# A record ends with a blank line; the next one opens with the version line.
-RECORD_SEPARATOR = "\r\n\r\nWARC/1.0\r\n"
+# A record ends with a blank line; the next one opens with the version line,
+# of which any minor version is read.
+RECORD_SEPARATOR = "\r\n\r\nWARC/1."
 BLANK_LINE = "\r\n\r\n"
 
 
@@ -45,10 +46,11 @@ def parse_records(records: DataFrame) -> DataFrame:
 
     The payload is cut to ``Content-Length`` bytes, which also drops the blank
     line that closes a file. Rejected: no type, no target on a response, fewer
-    bytes than announced, a body in a transfer or content encoding.
+    bytes than announced, more than announced besides line ends (a record that
+    opens otherwise, say), a body in a transfer or content encoding.
     """
     value = F.col("value")
-    head = F.replace(_before_blank_line(value), F.lit("WARC/1.0\r\n"), F.lit(""))
+    head = F.regexp_replace(_before_blank_line(value), r"^(?:WARC/1\.)?[0-9]+\r\n", "")
     others = [c for c in records.columns if c != "value"]
     fields = F.struct(
         _header(head, "WARC-Record-ID").alias("record_id"),
@@ -64,10 +66,12 @@ def parse_records(records: DataFrame) -> DataFrame:
     encoded = F.startswith(http_head, F.lit("HTTP/")) & http_head.rlike(
         r"(?i)\n(?:Transfer-Encoding:[^\r\n]*chunked|Content-Encoding:[ \t]*(?:gzip|br|deflate|zstd))"
     )
+    beyond = F.substring("_raw", F.least(F.col("content_length"), size).cast("int") + 1, size)
     reason = (
         F.when(F.col("rec_type").isNull(), "no record type")
         .when(is_response & F.col("url").isNull(), "no target")
         .when(F.col("content_length") > size, "truncated")
+        .when(beyond.cast("string").rlike(r"[^\r\n]"), "leftover bytes")
         .when(is_response & encoded, "encoded body")
     )
     payload = F.when(

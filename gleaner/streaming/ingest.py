@@ -54,8 +54,11 @@ def ingest_clean(
 
     The language score aggregates over a page, so each micro-batch is cleaned
     as a batch. Its folder carries the batch number and is overwritten when the
-    batch is retried, so no page is written twice.
+    batch is retried, so no page is written twice. ``min_pages`` is refused: what
+    a host repeats would depend on which files share a batch.
     """
+    if options.get("min_pages") is not None:
+        raise ValueError("min_pages counts over a whole corpus; drop boilerplate from the ingested pages instead")
 
     def clean(batch: DataFrame, number: int) -> None:
         cleaned = clean_pages(batch, blocklist, model, **options)

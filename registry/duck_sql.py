@@ -57,6 +57,10 @@ def order(key: str, seed: int = 42) -> str:
     return f"md5('{seed}:' || CAST({key} AS VARCHAR))"
 
 
+def weighted(vector: str, model: str) -> str:
+    return f"list_sum(list_transform({vector}, lambda x, i: CAST(x AS DOUBLE) * CAST((i * ({model} + 2)) % 5 - 2 AS DOUBLE)))"
+
+
 def held_out(key: str) -> str:
     draw = f"md5('42:split:' || CAST({key} AS VARCHAR))"
     return f"CAST('0x' || left({draw}, 8) AS BIGINT) / 4294967296.0 < 0.2"
@@ -98,10 +102,10 @@ anchors AS (SELECT page_id, url, trim(regexp_extract(piece, {lit(html.HREF_PATTE
 HREFS = """hrefs AS (SELECT '/wiki/' || CASE WHEN anchor LIKE '%,' THEN replace(anchor, ' ', '_') ELSE url_encode(anchor) END
   || '_100%_a+b' AS href, replace(anchor, '_', ' ') || ' 100% a+b' AS title FROM anchors)"""
 LABELLED = "labelled AS (SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id))"
-LOGITS = "logits AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)"
-PROBS = f"""{LOGITS}, ex AS (SELECT vec_id, i, exp(x[i]) AS e FROM logits, range(1, 9) r(i)),
+LOGITS = "logits AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings)"
+PROBS = f"""{LOGITS}, ex AS (SELECT vec_id, i, exp(x[i]) AS e FROM logits, range(1, 65) r(i)),
 probs AS (SELECT vec_id, i - 1 AS class, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM ex)"""
-OUTPUT = """output AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 + 0.5 AS logit,
+OUTPUT = f"""output AS (SELECT vec_id, {weighted('embedding', '1')} + 0.5 AS logit,
   CAST(label < 5 AS INTEGER) AS label FROM embeddings),
 preds AS (SELECT label, CAST(logit > 0.5 AS INTEGER) AS pred FROM output)"""
 CLASSES = f"""{OUTPUT}, classes AS (SELECT label AS c FROM preds UNION SELECT pred FROM preds),
@@ -135,8 +139,8 @@ run AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, do
 totals AS (SELECT label, count(*) AS n_relevant FROM c GROUP BY label),
 judged AS (SELECT run.*, ql % 3 AS task, CAST(ql = dl AS INTEGER) AS rel, coalesce(n_relevant, 0) AS n_relevant
   FROM run LEFT JOIN totals ON totals.label = run.ql)"""
-QUALITY = """models AS (SELECT unnest([1, 2, 3]) AS m),
-quality AS (SELECT judged.*, 'm' || m AS model, 1 / (1 + exp(-4 * CAST(e[m] AS DOUBLE))) AS raw FROM judged, models),
+QUALITY = f"""models AS (SELECT unnest([1, 2, 3]) AS m),
+quality AS (SELECT judged.*, 'm' || m AS model, 1 / (1 + exp(-{weighted('e', 'm')})) AS raw FROM judged, models),
 scaled AS (SELECT *, CASE WHEN max(raw) OVER w > min(raw) OVER w THEN (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w)
   ELSE 0 END AS quality FROM quality WINDOW w AS (PARTITION BY model, query_id))"""
 SWEEP = f"""{QUALITY},
@@ -282,10 +286,10 @@ def statements() -> dict[str, str]:
         "topk_confidence": f"""WITH {PROBS}, t AS (SELECT vec_id, p FROM probs
             QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC) <= 3)
             SELECT vec_id, round(avg(p), 6) AS confidence FROM t GROUP BY vec_id""",
-        "threshold_confidence": f"""WITH {PROBS} SELECT vec_id, round(CASE WHEN max(p) > 0.14 THEN max(p) ELSE 0.05 END, 6) AS confidence
+        "threshold_confidence": f"""WITH {PROBS} SELECT vec_id, round(CASE WHEN max(p) > 0.022 THEN max(p) ELSE 0.005 END, 6) AS confidence
             FROM probs GROUP BY vec_id""",
         "entropy_confidence": f"""WITH {PROBS} SELECT vec_id,
-            round((1 - (-sum(p * ln(p + 1e-12))) / ln(8)) * max(p), 6) AS confidence FROM probs GROUP BY vec_id""",
+            round((1 - (-sum(p * ln(p + 1e-12))) / ln(64)) * max(p), 6) AS confidence FROM probs GROUP BY vec_id""",
         "unigram_perplexity": f"""WITH occ AS (SELECT doc_id, unnest({words('text')}) AS t FROM documents),
             n AS (SELECT t, count(*) AS n FROM occ GROUP BY t), z AS (SELECT sum(n) AS total, count(*) AS v FROM n),
             nll AS (SELECT doc_id, count(*) AS n_tokens, -avg(ln((n.n + 1) / (z.total + z.v))) AS nll

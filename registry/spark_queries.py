@@ -420,7 +420,7 @@ def softmax(spark, d):
 @query
 def argmax_label(spark, d):
     index = probability.argmax(F.col("p"))
-    names = {i: f"c{i}" for i in range(8)}
+    names = {i: f"c{i}" for i in range(64)}
     return class_probabilities(spark, d).select("vec_id", index.alias("class"), probability.label_of(index, names).alias("label"))
 
 
@@ -431,7 +431,7 @@ def topk_confidence(spark, d):
 
 @query
 def threshold_confidence(spark, d):
-    found = probability.max_or_default(F.col("p"), 0.14, 0.05)
+    found = probability.max_or_default(F.col("p"), 0.022, 0.005)
     return class_probabilities(spark, d).select("vec_id", r6(found).alias("confidence"))
 
 
@@ -484,7 +484,7 @@ def _vectors_with_label(spark, d):
 @query
 def linear_probe(spark, d):
     rows = _vectors_with_label(spark, d)
-    fitted = probe.linear_probe(64).fit(rows)
+    fitted = probe.linear_probe().fit(rows)
     return fitted.transform(rows).select("vec_id", r6("logit", 4).alias("logit"))
 
 
@@ -493,7 +493,7 @@ def probe_gradient(spark, d):
     """At the least-squares fit the residuals are orthogonal to every feature
     and to the constant: the sums below vanish."""
     rows = _vectors_with_label(spark, d)
-    fitted = probe.linear_probe(64).fit(rows).transform(rows)
+    fitted = probe.linear_probe().fit(rows).transform(rows)
     values = F.array_append(vector_to_array("features"), F.lit(1.0))
     terms = fitted.select(F.col("label"), F.col("logit"), F.posexplode(values).alias("feature", "x"))
     gap = F.abs(F.sum((F.col("label") - F.col("logit")) * F.col("x")))
@@ -503,7 +503,7 @@ def probe_gradient(spark, d):
 @query
 def best_probe(spark, d):
     rows = materialise(sampling.train_test_split(_vectors_with_label(spark, d), "vec_id"), "vectors")
-    _, _, found = probe.best_probe(rows.where("split = 'train'"), rows.where("split = 'test'"), 64)
+    _, _, found = probe.best_probe(rows.where("split = 'train'"), rows.where("split = 'test'"))
     return found
 
 
@@ -561,7 +561,7 @@ def judged_run(spark, d, k: int = 50) -> DataFrame:
         per_label, F.col("query_label") == F.col("label"), "left"
     )
     logits = [
-        probability.sigmoid(F.element_at("embedding", i + 1).cast("double") * 4.0).alias(f"q_{m}")
+        probability.sigmoid(fx.fixed_logit(i + 1)).alias(f"q_{m}")
         for i, m in enumerate(QUALITY_MODELS)
     ]
     docs = corpus.select("doc_id", F.col("label").alias("doc_label"), *logits)

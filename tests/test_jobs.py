@@ -143,3 +143,8 @@ def test_scratch(spark):
     clear_scratch(spark)
     with pytest.raises(Exception):
         table.count()
+
+
+def test_ingest_refuses_counts_per_batch():
+    with pytest.raises(ValueError, match="min_pages"):
+        ingest.ingest_clean(None, None, None, "out", "checkpoint", min_pages=2)

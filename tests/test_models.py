@@ -162,7 +162,7 @@ def vectors(spark, n=300, size=6):
 
 def test_probe_equals_least_squares(spark):
     x, y, rows = vectors(spark)
-    model = probe.linear_probe(6).fit(rows)
+    model = probe.linear_probe().fit(rows)
     want, *_ = np.linalg.lstsq(np.c_[x, np.ones(len(x))], y, rcond=None)
     np.testing.assert_allclose([*model.coefficients, model.intercept], want, atol=1e-10)
     scored = probe.score_corpus(rows, model).first()
@@ -172,7 +172,7 @@ def test_probe_equals_least_squares(spark):
 def test_best_probe_prefers_the_smaller_penalty_among_ties(spark):
     _, _, rows = vectors(spark)
     train, test = rows.where("id < 200"), rows.where("id >= 200")
-    model, reg, found = probe.best_probe(train, test, 6, grid=(1e-9, 0.0, 50.0))
+    model, reg, found = probe.best_probe(train, test, grid=(1e-9, 0.0, 50.0))
     scores = {r["reg"]: r["f1_macro"] for r in found.collect()}
     assert reg == 0.0 and scores[0.0] == scores[1e-9] >= scores[50.0]
     decided = probe.decide(model.transform(test)).select(F.col("label").cast("int").alias("label"), "pred")

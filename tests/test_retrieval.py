@@ -42,6 +42,25 @@ def test_blocks_and_prescan_change_nothing(spark, option):
     assert ranks(retrieval.dense_topk(queries, corpus, 5, **option)) == brute(q, c, 5)
 
 
+def test_cosine_ignores_lengths(spark):
+    q, queries = vectors(spark, 9, 1, "query_id")
+    c, corpus = vectors(spark, 300, 2, "doc_id", copies=[(7, 250)])
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert ranks(retrieval.dense_topk(queries, corpus, 10, metric="cosine")) == brute(unit(q), unit(c), 10)
+    with pytest.raises(ValueError):
+        retrieval.dense_topk(queries, corpus, 10, metric="euclid")
+
+
+def test_missing_and_ragged_vectors(spark):
+    q, queries = vectors(spark, 3, 1, "query_id")
+    c, corpus = vectors(spark, 30, 2, "doc_id")
+    nothing = spark.createDataFrame([(99, None)], "query_id BIGINT, embedding ARRAY<DOUBLE>")
+    assert ranks(retrieval.dense_topk(queries.union(nothing), corpus, 4)) == brute(q, c, 4)
+    short = spark.createDataFrame([(99, [1.0])], "doc_id BIGINT, embedding ARRAY<DOUBLE>")
+    with pytest.raises(ValueError, match="lengths"):
+        retrieval.dense_topk(queries, corpus.union(short), 4)
+
+
 def test_small_batches_and_empty_sides(spark):
     q, queries = vectors(spark, 5, 5, "query_id")
     c, corpus = vectors(spark, 100, 6, "doc_id", tasks=2)

@@ -79,7 +79,14 @@ def test_copies_are_written_out_in_blocks(spark, monkeypatch):
 def test_head_n(spark, monkeypatch, n):
     monkeypatch.setattr(sampling, "HEAP_ROWS", 100)
     got = sampling.head_n(table(spark), n, "id").collect()
-    assert sorted(r["id"] for r in got) == list(range(min(n, 1000)))
+    assert [r["id"] for r in got] == list(range(min(n, 1000)))
+
+
+@pytest.mark.parametrize("heap", [2, 100])
+def test_head_n_leaves_null_keys_out(spark, monkeypatch, heap):
+    monkeypatch.setattr(sampling, "HEAP_ROWS", heap)
+    rows = spark.createDataFrame([(3,), (None,), (1,), (None,), (2,)], "id INT")
+    assert [r["id"] for r in sampling.head_n(rows, 3, "id").collect()] == [1, 2, 3]
 
 
 def test_balanced_negatives(spark):

@@ -62,6 +62,17 @@ def test_warc_file(spark, warc_file):
     assert {r["record_id"] for r in warc.responses(parsed).collect()} == {"<urn:1>", None}
 
 
+def test_warc_of_another_version(spark, tmp_path):
+    bodies = [record(b"response", b"http://%d/" % i, HTTP + b"<p>%d</p>" % i) for i in range(5)]
+    (tmp_path / "y.warc").write_bytes(b"".join(bodies).replace(b"WARC/1.0", b"WARC/1.1"))
+    parsed = warc.parse_records(warc.read_warc(spark, str(tmp_path / "y.warc")))
+    assert {r["url"]: r["html"] for r in warc.responses(parsed).collect()} == {f"http://{i}/": f"<p>{i}</p>" for i in range(5)}
+    # what is not split off is counted, not cut off unseen
+    (tmp_path / "z.warc").write_bytes(bodies[0] + bodies[1].replace(b"WARC/1.0", b"WARC/0.18"))
+    odd = warc.parse_records(warc.read_warc(spark, str(tmp_path / "z.warc"))).collect()
+    assert [r["reject"] for r in odd] == ["leftover bytes"]
+
+
 def values(spark, rows):
     return spark.createDataFrame([(r,) for r in rows], "value STRING")
 
@@ -76,7 +87,9 @@ def test_path_list(spark, tmp_path):
     with gzip.open(tmp_path / "paths.gz", "wt") as f:
         f.write("".join(f"crawl/x/{i}.warc.gz\n" for i in range(8)))
     listed = lines.listed_files(spark, str(tmp_path / "paths.gz"), "/data/")
-    assert listed == [f"/data/{i}.warc.gz" for i in range(1, 6)]
+    assert listed == [f"/data/{i}.warc.gz" for i in range(8)]
+    some = lines.listed_files(spark, str(tmp_path / "paths.gz"), "/data/", first=1, last=5)
+    assert some == [f"/data/{i}.warc.gz" for i in range(1, 6)]
 
 
 def test_article_list(spark):
