@@ -15,6 +15,8 @@ worst string.
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,10 +27,11 @@ from pyspark.sql import functions as F
 from .quality_classifier import bounded_sample
 
 ORDER, DECAY = 4, 0.7
-TOXIC_SAMPLE, CLEAN_SAMPLE = 1_500, 3_000  # documents that a model is fitted on, at most
+TOXIC_SAMPLE, CLEAN_SAMPLE = 1_200, 2_400  # documents that a model is fitted on, at most
 LANDMARKS = 40
 NEGATIVES = 15_000  # strings of clean documents in each fit, besides the worst ones of each
 ROUNDS = 4
+VARIANTS = 6  # of a sure string, with a character put in
 SURE_LIFT = 8.0  # log-likelihood gain over the classes' common rate
 UNIT = 24  # longer strings are cut into overlapping windows
 CACHED = 400_000
@@ -206,30 +209,37 @@ def sentences(docs: DataFrame, labels: DataFrame, key="doc_id", text="text", lab
 
 def fit(docs: DataFrame, labels: DataFrame, **columns) -> Machine:
     """Fit on the sample (see ``train``)."""
-    rows = sentences(docs, labels, **columns).distinct().orderBy("doc", "strings").toPandas()
-    return train(rows["doc"].tolist(), rows["toxic"].tolist(), [s.split(" ") for s in rows["strings"]])
+    rows = sentences(docs, labels, **columns).distinct().orderBy("doc", "strings").toArrow()
+    return train(rows.column("doc").to_pylist(), rows.column("toxic").to_pylist(), rows.column("strings").to_pylist())
 
 
-def train(docs: list[str], toxic: list[int], bags: list[list[str]]) -> Machine:
-    """A machine from sentences given as lists of strings. Without sentences of
+def train(docs: list[str], toxic: list[int], bags: list[str]) -> Machine:
+    """A machine from sentences, each given as its strings joined by spaces. Without sentences of
     both classes it is constant: the smoothed share of toxic documents."""
-    # equal sentences count once, and as clean if a clean document has one
-    seen: dict[tuple, tuple[int, str]] = {}
-    for d, mark, bag in zip(docs, toxic, bags, strict=True):
-        seen[tuple(bag)] = min(seen.get(tuple(bag), (mark, d)), (mark, d))
     number = {d: i for i, d in enumerate(dict.fromkeys(docs))}
     y = np.zeros(len(number), np.int64)
     y[[number[d] for d in docs]] = toxic
     if len(number) == 0 or y.min() == y.max():
         odds = float(np.log((y.sum() + 1) / ((1 - y).sum() + 1)))
         return Machine([], np.zeros(0), 0.0, 0.0, odds)
+    # equal sentences count once, and as clean if a clean document has one
+    seen: dict[str, tuple[int, str]] = {}
+    for d, mark, bag in zip(docs, toxic, bags, strict=True):
+        seen[bag] = min(seen.get(bag, (mark, d)), (mark, d))
     vocabulary: dict[str, int] = {}
-    table = [(number[d], mark, vocabulary.setdefault(s, len(vocabulary))) for bag, (mark, d) in seen.items() for s in bag]
-    table = np.array(table, np.int64)
+    of, marks, string = array("i"), array("b"), array("i")
+    for bag, (mark, d) in seen.items():
+        own = [vocabulary.setdefault(s, len(vocabulary)) for s in bag.split(" ")]
+        string.extend(own)
+        of.extend([number[d]] * len(own))
+        marks.extend([mark] * len(own))
+    del seen
+    of, marks, string = (np.frombuffer(c, t) for c, t in ((of, np.int32), (marks, np.int8), (string, np.int32)))
     names = np.array(list(vocabulary), object)
-    in_toxic = np.bincount(table[table[:, 1] == 1, 2], minlength=len(names))
-    in_clean = np.bincount(table[table[:, 1] == 0, 2], minlength=len(names))
-    pairs = np.unique(table[:, [0, 2]], axis=0)
+    in_toxic = np.bincount(string[marks == 1], minlength=len(names))
+    in_clean = np.bincount(string[marks == 0], minlength=len(names))
+    codes = np.unique(of.astype(np.int64) << 32 | string)
+    pairs = np.stack([codes >> 32, codes & 0xFFFFFFFF], axis=1)
     expected = (in_toxic + in_clean) * in_toxic.sum() / max((in_toxic + in_clean).sum(), 1)
     lift = np.where(in_toxic > expected, in_toxic * np.log((in_toxic + 0.1) / (expected + 0.1)) - (in_toxic - expected), 0)
     suspects = np.flatnonzero((lift > 3) & (in_toxic >= 3))
@@ -245,15 +255,17 @@ def train(docs: list[str], toxic: list[int], bags: list[list[str]]) -> Machine:
     root = vectors @ np.diag(np.maximum(values, 1e-6) ** -0.5) @ vectors.T
 
     def mapped(strings) -> np.ndarray:
-        x = kernel(list(strings), landmarks).astype(np.float32) @ root.astype(np.float32)
-        return np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+        x = np.ones((len(strings), len(landmarks) + 1), np.float32)
+        for i in range(0, len(strings), 20_000):
+            x[i : i + 20_000, :-1] = kernel(list(strings[i : i + 20_000]), landmarks) @ root.astype(np.float32)
+        return x
 
     x = mapped(names)
     bad, good = pairs[y[pairs[:, 0]] == 1], pairs[y[pairs[:, 0]] == 0]
     values = lift.copy()  # who speaks for a document: at first the largest lift, then the largest margin
     # strings that hardly any clean sentence has stand for themselves, plain and with characters put in
     sure = np.flatnonzero((lift > SURE_LIFT) & (in_clean <= 0.05 * in_toxic))
-    fixed = np.concatenate([x[sure], *[mapped([_inserted(names[i], 5 * i + k) for i in sure]) for k in range(3)]])
+    fixed = np.concatenate([x[sure], *[mapped([_inserted(names[i], 7 * i + k) for i in sure]) for k in range(VARIANTS)]])
     hard = np.zeros(0, np.int64)
     for turn in range(ROUNDS):
         best = _best(bad, values, len(y))
@@ -265,7 +277,7 @@ def train(docs: list[str], toxic: list[int], bags: list[list[str]]) -> Machine:
         rows = np.concatenate([x[witness], extra, x[calm]]).astype(float)
         sign = np.concatenate([np.ones(len(witness) + len(extra)), -np.ones(len(calm))])
         weight = np.concatenate(
-            [np.full(2 * len(witness), 200 / max(len(witness), 1)), np.full(len(fixed), 300 / max(len(fixed), 1)), np.full(len(calm) - len(hard), 200 / NEGATIVES), np.full(len(hard), 600 / max(len(hard), 1))]
+            [np.full(2 * len(witness), 200 / max(len(witness), 1)), np.full(len(fixed), 600 / max(len(fixed), 1)), np.full(len(calm) - len(hard), 200 / NEGATIVES), np.full(len(hard), 600 / max(len(hard), 1))]
         )
         w = _squared_hinge(rows, sign, weight)
         values = x @ w
@@ -287,15 +299,13 @@ def _best(pairs: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
 
 
 def hash_of(string: str) -> int:
-    import zlib
-
     return zlib.crc32(string.encode())
 
 
 def _inserted(string: str, seed: int) -> str:
     """The string with one character put in, so that the machine learns to bear it."""
     at = 2 + (seed * 7919) % max(len(string) - 3, 1)
-    return string[:at] + "x-.1e*"[seed % 6] + string[at:]
+    return string[:at] + "aehirstu"[seed % 8] + string[at:]
 
 
 def _cover(names, suspects, pairs, y, lift, size: int) -> list[str]:
