@@ -1,11 +1,14 @@
 """HTML to text with regular expressions only.
 
-Every pattern is free of look-around and back-references and ends its matches
-at the end of the text too, so that an unclosed element costs one pass.
+Every pattern is free of look-around and back-references. An element that is left
+open loses its tag and nothing else, and costs one pass: containers are cut off
+by splitting at their start tags, not by searching for an end from each.
 """
 
 from __future__ import annotations
 
+import html.entities
+import json
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,30 +16,30 @@ from pyspark.sql import functions as F
 
 from .text import let
 
-# Elements whose whole content is dropped.
-DROPPED = ["script", "style", "noscript", "head", "nav", "header", "footer", "aside", "form"]
+# Elements without text for the reader; in HTML the first two take all that
+# follows if they are left open, and a title holds no tags.
+SILENT_PATTERN = (
+    r"(?is)<(?:script(?:\s[^>]*)?(?:>|\z).*?(?:</script\s*>|\z)|style(?:\s[^>]*)?(?:>|\z).*?(?:</style\s*>|\z)"
+    r"|!--.*?(?:-->|\z)|title(?:\s[^>]*)?>[^<]*(?:</title\s*>)?)"
+)
+# Containers that are dropped with their content if they are closed.
+CONTAINERS = ["noscript", "template", "nav", "footer", "aside", "select", "button"]
+# A division of the class "ad", whatever the quotes and other classes.
+AD_PATTERN = (
+    r"""(?i)<div\s(?:[^>]*\s)?class\s*=\s*(?:"(?:[^">]*\s)?ad(?:\s[^">]*)?"|'(?:[^'>]*\s)?ad(?:\s[^'>]*)?'|ad[\s>])(?:[^>]*>)?"""
+)
 # Elements that end a line of text.
 BREAKING = [
     "p", "br", "h[1-6]", "div", "section", "article", "main", "ul", "ol", "li", "dl", "dt", "dd",
     "table", "tr", "td", "th", "blockquote", "pre", "hr", "title",
 ]
-# Fixed value: entity names and the character each stands for; "&amp;" is last.
-ENTITIES = [
-    ("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&copy;", "©"), ("&reg;", "®"),
-    ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&hellip;", "…"),
-    ("&lt;", "<"), ("&gt;", ">"),
-]
+# Names of characters by the HTML standard, without the ampersand's own, which
+# are decoded last; a no-break space reads as a space.
+NAMED = {
+    n[:-1]: v.replace("\xa0", " ") for n, v in html.entities.html5.items() if n.endswith(";") and n not in ("amp;", "AMP;")
+}
 
 
-def _element(name: str, attributes: str = r"(?:\s[^>]*)?") -> str:
-    return rf"{name}{attributes}(?:>|\z).*?(?:</{name}\s*>|\z)"
-
-
-DROP_PATTERN = (
-    "(?is)<(?:"
-    + "|".join([_element(n) for n in DROPPED] + [_element("div", ' class="ad"'), r"!--.*?(?:-->|\z)"])
-    + ")"
-)
 BREAK_PATTERN = r"(?i)</?(?:" + "|".join(BREAKING) + r")(?:\s[^>]*)?/?>"
 TAG_PATTERN = r"<[A-Za-z/!?][^>]*(?:>|\z)"
 ARTICLE_PATTERN = r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article\s*>|\z)"
@@ -55,9 +58,14 @@ def _code_point(code: Column) -> Column:
 
 
 def _decode_named(text: Column) -> Column:
-    names = "|".join(name[1:-1] for name, _ in ENTITIES)
-    decoded = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
-    return F.when(text.rlike(f"&(?:{names});"), decoded).otherwise(text)
+    """Only names that occur are looked up, each once."""
+    table = F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>")
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit("&([A-Za-z][A-Za-z0-9]*);"), F.lit(1)))
+    known = F.filter(found, lambda n: F.try_element_at(table, n).isNotNull())
+    decoded = F.aggregate(
+        known, text, lambda acc, n: F.replace(acc, F.concat(F.lit("&"), n, F.lit(";")), F.try_element_at(table, n))
+    )
+    return F.when(text.rlike("&[A-Za-z][A-Za-z0-9]*;"), decoded).otherwise(text)
 
 
 def _decode_numeric(text: Column) -> Column:
@@ -82,17 +90,73 @@ def decode_entities(text: Column) -> Column:
     Every step first looks whether it has anything to do.
     """
     text = let(let(let(text, _guard_ampersand), _decode_named), _decode_numeric)
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    return F.replace(F.replace(text, F.lit("&AMP;"), F.lit("&")), F.lit("&amp;"), F.lit("&"))
 
 
 def strip_tags(html: Column) -> Column:
     return F.regexp_replace(html, TAG_PATTERN, "")
 
 
+def _drop_closed(page: Column, name: str) -> Column:
+    """``page`` without the elements ``name`` up to their first end tag; one that
+    is not closed loses its tag."""
+    pieces = F.split(page, rf"(?i)<{name}(?:\s[^>]*)?>")
+    ended = F.transform(
+        pieces, lambda p, i: F.when(i > 0, F.regexp_replace(p, rf"(?is)^.*?</{name}\s*>", " ")).otherwise(p)
+    )
+    return F.when(page.rlike(f"(?i)<{name}"), F.array_join(ended, " ")).otherwise(page)
+
+
+def _closed_dropper(name: str):
+    return lambda page: _drop_closed(page, name)
+
+
+def _drop_outer_headers(page: Column) -> Column:
+    """Headers go, but those of articles, which hold headlines, stay."""
+    pieces = F.split(page, r"(?i)<article(?:\s[^>]*)?>")
+
+    def cut(piece: Column, i: Column) -> Column:
+        ends = F.split(piece, r"(?i)</article\s*>", 2)
+        after = F.when(F.size(ends) > 1, F.concat(F.lit("</article>"), _drop_closed(F.get(ends, F.lit(1)), "header")))
+        inside = F.concat(F.lit("<article>"), F.get(ends, F.lit(0)), F.coalesce(after, F.lit("")))
+        return F.when(i > 0, inside).otherwise(_drop_closed(piece, "header"))
+
+    return F.when(page.rlike("(?i)<header"), F.array_join(F.transform(pieces, cut), "")).otherwise(page)
+
+
+def _drop_ads(page: Column) -> Column:
+    """Advertising divisions go with all that is nested in them; one whose end is
+    missing loses its tag."""
+    pieces = F.split(page, AD_PATTERN)
+
+    def cut(piece: Column, i: Column) -> Column:
+        parts = F.split(piece, r"(?i)</div\s*>")
+        # the end is the first at which as many divisions were closed as opened, and one more
+        state = F.aggregate(
+            F.transform(parts, lambda p: F.regexp_count(p, F.lit(r"(?i)<div[\s>]"))),
+            F.struct(F.lit(1).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end")),
+            lambda acc, opened: F.struct(
+                (acc["depth"] + opened - 1).alias("depth"),
+                (acc["at"] + 1).alias("at"),
+                F.when((acc["end"] == 0) & (acc["depth"] + opened - 1 <= 0), acc["at"] + 1).otherwise(acc["end"]).alias("end"),
+            ),
+        )
+        rest = let(
+            F.when(state["end"] < F.size(parts), state["end"]).otherwise(0),
+            lambda end: F.when(end > 0, F.concat(F.lit(" "), F.array_join(F.slice(parts, end + 1, F.size(parts)), "</div>"))).otherwise(piece),
+        )
+        return F.when(i > 0, rest).otherwise(piece)
+
+    return F.when(page.rlike(AD_PATTERN), F.array_join(F.transform(pieces, cut), " ")).otherwise(page)
+
+
 def html_to_text(html: Column) -> Column:
     """Readable text, one block per line, without navigation, scripts and ads."""
-    text = F.regexp_replace(html, DROP_PATTERN, " ")
-    text = strip_tags(F.regexp_replace(text, BREAK_PATTERN, "\n"))
+    page = F.regexp_replace(html, SILENT_PATTERN, " ")
+    page = let(let(page, lambda p: _drop_ads(p)), lambda p: _drop_outer_headers(p))
+    for name in CONTAINERS:
+        page = let(page, _closed_dropper(name))
+    text = strip_tags(F.regexp_replace(page, BREAK_PATTERN, "\n"))
     text = F.regexp_replace(decode_entities(text), r"[ \t\r\f]+", " ")
     text = F.regexp_replace(text, r" ?\n[ \n]*", "\n")
     return F.btrim(text, F.lit(" \n"))

@@ -1,16 +1,21 @@
 """The same results in DuckDB SQL, written independently of the Spark plans.
 
-Patterns and word lists that define an operator are shared as constants; joins,
-samples, models and metrics are spelled out in their plain textbook form.
+Nothing is shared with the Spark side but the list of white space characters:
+patterns, joins, samples, models and metrics are spelled out once more.
 """
 
 from __future__ import annotations
 
-from gleaner.functions import html
+from html import entities as standard_names
+
 from gleaner.functions.text import WHITESPACE
 
 from .fixtures import BAD_HOSTS, NAV
 
+ANCHOR = r"(?i)<a\s"
+HREF = r"""(?is)^([^>]*\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
+CONTENT = r"(?is)^[^>]*>(.*?)(</a\s*>|$)"
+ARTICLE = r"(?is)<article(?:\s[^>]*)?>(.*?)(?:</article\s*>|$)"
 MODELS = ("m1", "m2", "m3")
 WEIGHTS = (0.96, 0.97, 0.98, 0.99)
 
@@ -28,19 +33,75 @@ def strip(x: str) -> str:
 
 
 def tags(x: str) -> str:
-    return sub(x, html.TAG_PATTERN, "''")
+    return sub(x, r"<[A-Za-z/!?][^>]*(?:>|$)", "''")
+
+
+def names() -> str:
+    """The standard's table."""
+    table = {k[:-1]: v.replace("\xa0", " ") for k, v in standard_names.html5.items() if k.endswith(";") and k not in ("amp;", "AMP;")}
+    return f"MAP([{', '.join(map(lit, table))}], [{', '.join(map(lit, table.values()))}])"
 
 
 def entities(x: str) -> str:
+    """Numeric ampersands by name, then every name once, ampersands last; a few
+    frequent names go first, as looking them up in the table is slow."""
     x = sub(x, "&#(?:0*38|[xX]0*26);", "'&amp;'")
-    for name, char in html.ENTITIES:
-        x = f"replace({x}, {lit(name)}, {lit(char)})"
-    return f"replace({x}, '&amp;', '&')"
+    for name in ("nbsp", "quot", "copy", "middot", "lt", "gt"):
+        x = f"replace({x}, '&{name};', {lit(standard_names.html5[name + ';'].replace(chr(160), ' '))})"
+    found = "list_distinct(regexp_extract_all(acc, '&([A-Za-z][A-Za-z0-9]*);', 1))"
+    done = f"list_reduce(list_concat([acc], {found}), lambda a, n: replace(a, '&' || n || ';', coalesce(({names()})[n], '&' || n || ';')))"
+    x = f"list_transform([{x}], lambda acc: CASE WHEN regexp_matches(replace(acc, '&amp;', ''), '&[A-Za-z][A-Za-z0-9]*;') THEN {done} ELSE acc END)[1]"
+    return f"replace(replace({x}, '&AMP;', '&'), '&amp;', '&')"
+
+
+def without(x: str, name: str) -> str:
+    """Elements up to their first end tag."""
+    pieces = f"string_split_regex({x}, '(?i)<{name}(\\s[^>]*)?>')"
+    return (
+        f"array_to_string(list_transform({pieces}, lambda p, i: "
+        f"CASE WHEN i > 1 THEN regexp_replace(p, '(?is)^.*?</{name}\\s*>', ' ') ELSE p END), ' ')"
+    )
+
+
+def outer_headers(x: str) -> str:
+    end = "(?i)</article\\s*>"
+    inside = f"string_split_regex(q, '{end}')[1]"
+    after = f"substr(q, length({inside}) + length(regexp_extract(q, '{end}')) + 1)"
+    kept = f"'<article>' || {inside} || CASE WHEN regexp_matches(q, '{end}') THEN '</article>' || {without(after, 'header')} ELSE '' END"
+    return (
+        f"array_to_string(list_transform(string_split_regex({x}, '(?i)<article(\\s[^>]*)?>'), lambda q, k: "
+        f"CASE WHEN k > 1 THEN {kept} ELSE {without('q', 'header')} END), '')"
+    )
+
+
+def ads(x: str) -> str:
+    start = (
+        r"""(?i)<div\s([^>]*\s)?class\s*=\s*("([^">]*\s)?ad(\s[^">]*)?"|''([^''>]*\s)?ad(\s[^''>]*)?''|ad[\s>])([^>]*>)?"""
+    )
+    parts = "string_split_regex(q, '(?i)</div\\s*>')"
+    opened = f"list_transform({parts}, lambda d: len(regexp_extract_all(d, '(?i)<div[\\s>]')))"
+    ends = f"list_transform([{opened}], lambda o: list_filter(range(1, len(o)), lambda n: list_sum(o[1:n]) - n + 1 <= 0))[1]"
+    rest = (
+        f"list_transform([{ends}], lambda z: CASE WHEN len(z) > 0 THEN ' ' || array_to_string({parts}[z[1] + 1:], '</div>') ELSE q END)[1]"
+    )
+    return (
+        f"array_to_string(list_transform(string_split_regex({x}, '{start}'), lambda q, k: CASE WHEN k > 1 THEN {rest} ELSE q END), ' ')"
+    )
 
 
 def to_text(x: str) -> str:
-    x = sub(x, html.DROP_PATTERN, "' '")
-    x = entities(tags(sub(x, html.BREAK_PATTERN, "chr(10)")))
+    """Spelled out apart from the Spark expressions: the silent elements, ads,
+    headers outside articles, containers, then lines, tags, names and spaces."""
+    x = sub(
+        x,
+        r"(?is)<(script(\s[^>]*)?(>|$).*?(</script\s*>|$)|style(\s[^>]*)?(>|$).*?(</style\s*>|$)|!--.*?(-->|$)|title(\s[^>]*)?>[^<]*(</title\s*>)?)",
+        "' '",
+    )
+    x = outer_headers(ads(x))
+    for name in ("noscript", "template", "nav", "footer", "aside", "select", "button"):
+        x = without(x, name)
+    lines = "p|br|h[1-6]|div|section|article|main|ul|ol|li|dl|dt|dd|table|tr|td|th|blockquote|pre|hr|title"
+    x = entities(tags(sub(x, rf"(?i)</?({lines})(\s[^>]*)?/?>", "chr(10)")))
     x = sub(sub(x, r"[ \t\r\f]+", "' '"), r" ?\n[ \n]*", "chr(10)")
     return f"trim({x}, ' ' || chr(10))"
 
@@ -95,10 +156,10 @@ blocked AS (SELECT url FROM pages WHERE url LIKE '%#top')"""
 ALLOWED = f"""allowed AS (SELECT p.* FROM pages p WHERE {authority('p.url')} NOT IN (SELECT host FROM domains)
   AND p.url NOT IN (SELECT url FROM blocked))"""
 ANCHORS = f"""inside AS (SELECT page_id, url, array_to_string(regexp_extract_all(html, {lit(NAV)}, 1), ' ') AS nav FROM pages),
-pieces AS (SELECT page_id, url, unnest(string_split_regex(nav, {lit(html.ANCHOR_START)})[2:]) AS piece FROM inside),
-anchors AS (SELECT page_id, url, trim(regexp_extract(piece, {lit(html.HREF_PATTERN)}, 1), chr(34) || chr(39)) AS href,
-  {entities(tags(f'regexp_extract(piece, {lit(html.ANCHOR_CONTENT)}, 1)'))} AS anchor
-  FROM pieces WHERE regexp_matches(piece, {lit(html.HREF_PATTERN)}))"""
+pieces AS (SELECT page_id, url, unnest(string_split_regex(nav, {lit(ANCHOR)})[2:]) AS piece FROM inside),
+anchors AS (SELECT page_id, url, trim(regexp_extract(piece, {lit(HREF)}, 2), chr(34) || chr(39)) AS href,
+  {entities(tags(f'regexp_extract(piece, {lit(CONTENT)}, 1)'))} AS anchor
+  FROM pieces WHERE regexp_matches(piece, {lit(HREF)}))"""
 HREFS = """hrefs AS (SELECT '/wiki/' || CASE WHEN anchor LIKE '%,' THEN replace(anchor, ' ', '_') ELSE url_encode(anchor) END
   || '_100%_a+b' AS href, replace(anchor, '_', ' ') || ' 100% a+b' AS title FROM anchors)"""
 LABELLED = "labelled AS (SELECT doc_id, text, quality FROM documents JOIN labels USING (doc_id))"
@@ -203,7 +264,7 @@ def statements() -> dict[str, str]:
             SELECT page_id, url, text FROM clean SEMI JOIN (SELECT page_id FROM best WHERE lang = 'en' AND p > 0.6) USING (page_id)
             WHERE length(text) > 0""",
         "extract_text": f"WITH {TEXTS} SELECT page_id, text FROM texts",
-        "article_text": f"""WITH a AS (SELECT page_id, html, regexp_extract_all(html, {lit(html.ARTICLE_PATTERN)}, 1) AS parts FROM pages),
+        "article_text": f"""WITH a AS (SELECT page_id, html, regexp_extract_all(html, {lit(ARTICLE)}, 1) AS parts FROM pages),
             b AS (SELECT page_id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, {NL}) ELSE html END AS html FROM a)
             SELECT page_id, {to_text('html')} AS text FROM b""",
         "host_boilerplate": f"""WITH {TEXTS}, b AS (SELECT page_id, {authority('url')} AS host, unnest(string_split(text, {NL})) AS block FROM texts)

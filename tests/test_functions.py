@@ -43,7 +43,7 @@ def test_titles_and_names(column):
     ]
     assert column(["A b"], lambda c: urls.url_from_title(c, "https://e/wiki/")) == ["https://e/wiki/A_b"]
     long = "https://é.example/ü?a=1&b=" + "x" * 200
-    assert column([long], urls.safe_file_name) == [re.sub(r"[^\w\-_.]", "_", long)[:150] + ".txt"]
+    assert column([long], urls.safe_file_name) == ["https___é.example_ü_a_1_b_" + "x" * 124 + ".txt"]
     path = "crawl-data/CC-MAIN-2024/segments/1/warc/CC-MAIN-0262.warc.gz"
     assert column([path], urls.file_stem) == ["CC-MAIN-0262"]
     assert column([path], urls.tail) == [path[-12:]]
@@ -66,6 +66,20 @@ def test_html_traps(column):
         "<navigation>kept</navigation>": "kept",
         '<div class="ad">buy</div><div class="main">read</div>': "read",
         "": "",
+        # optional or missing end tags lose nothing but the tag
+        "<html><head><title>t</title><body><p>Main text": "Main text",
+        "<html><head><title>t</title><p>Main text": "Main text",
+        "<nav><a>menu</a><p>Main text": "menu\nMain text",
+        "<aside><p>Main <footer>text": "Main text",
+        "<form action='x'><p>Main text<input><button>Go</button></form>": "Main text",
+        "<header>site</header><article><header><h1>Headline</h1></header>body</article><header>x</header>": "Headline\nbody",
+        "<article><header>Open": "Open",
+        # advertising, whatever the quotes, other classes and what is nested
+        "<div class='ad'>buy</div><p>read": "read",
+        '<div id=x class="ad top">buy</div>read': "read",
+        '<div class="top ad"><div>a<div>b</div></div>buy</div><div>read</div>': "read",
+        '<div class="ad">never closed <div>x</div>read': "never closed\nx\nread",
+        '<div class="add">read</div><div class=ad>buy</div>': "read",
     }
     assert column(list(cases), html.html_to_text) == list(cases.values())
 
@@ -75,6 +89,7 @@ def test_entities_are_decoded_once(column):
         "&lt;b&gt; &quot;x&quot; &amp; &copy;&middot;&nbsp;y": '<b> "x" & ©· y',
         "&amp;lt;": "&lt;", "&amp;amp;": "&amp;", "&#38;lt;": "&lt;", "&#x26;amp;": "&amp;",
         "&#233;&#xE9;&#128512;": "éé😀", "&#0;&#xD800;&#1114112;x": "x", "&unknown; &": "&unknown; &",
+        "caf&eacute; &rsquo;&euro;&uuml; &amp;eacute; &AMP;euro;": "café ’€ü &eacute; &euro;",
     }
     assert column(list(cases), html.decode_entities) == list(cases.values())
 
@@ -87,6 +102,8 @@ def test_article_text_prefers_the_article(column):
 def test_unclosed_markup_is_linear(column):
     page = "<nav><a " * 20_000 + "<p" * 20_000
     assert column([page], html.html_to_text) == [""]
+    page = "<nav>x" * 50_000 + "<div class='ad'>" * 500 + "y"
+    assert column([page], html.html_to_text) == [" ".join("x" * 50_000) + " y"]
 
 
 def test_anchors_inside_a_class(column):
