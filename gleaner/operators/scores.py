@@ -83,27 +83,33 @@ def _averages(scores: DataFrame, by: list[str]) -> DataFrame:
 
 
 def classification_report(predictions: DataFrame) -> DataFrame:
-    """Rows per class, then ``macro avg``, ``weighted avg`` and ``accuracy``."""
-    scores = class_scores(predictions)
-    per_class = scores.select(F.col("class").cast("string").alias("name"), "precision", "recall", "f1", "support")
+    """Rows per class, then ``macro avg``, ``weighted avg`` and ``accuracy``, from
+    one pass: the summary is the grand total of a rollup over the classes."""
 
-    def row(name, precision, recall, f1):
-        return F.struct(
-            F.lit(name).alias("name"), precision.alias("precision"), recall.alias("recall"),
-            f1.alias("f1"), F.col("support").alias("support"),
-        )
+    def weighted(name):
+        return _ratio(F.sum(F.col(name) * F.col("support")), F.sum("support"))
+
+    names = ("precision", "recall", "f1")
+    levels = class_scores(predictions).rollup("class").agg(
+        F.grouping("class").alias("total"),
+        *[F.avg(m).alias(m) for m in names],
+        *[weighted(m).alias(f"weighted_{m}") for m in names],
+        _ratio(F.sum("hits"), F.sum("support")).alias("accuracy"),
+        F.sum("support").alias("support"),
+    )
+
+    def row(name, *values):
+        return F.struct(name.alias("name"), *[v.alias(m) for m, v in zip(names, values, strict=True)], F.col("support").alias("support"))
 
     c = F.col
-    summary = _averages(scores, []).select(
-        F.inline(
-            F.array(
-                row("macro avg", c("macro_precision"), c("macro_recall"), c("macro_f1")),
-                row("weighted avg", c("weighted_precision"), c("weighted_recall"), c("weighted_f1")),
-                row("accuracy", c("accuracy"), c("accuracy"), c("accuracy")),
-            )
-        )
+    summary = F.array(
+        row(F.lit("macro avg"), *map(c, names)),
+        row(F.lit("weighted avg"), *[c(f"weighted_{m}") for m in names]),
+        row(F.lit("accuracy"), *[c("accuracy")] * 3),
     )
-    return per_class.unionByName(summary)
+    one = F.array(row(c("class").cast("string"), *map(c, names)))
+    # an empty input has a grand total of nothing, and averages of nothing
+    return levels.select(F.inline(F.when(c("total") == 0, one).otherwise(summary)))
 
 
 def macro_metrics(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -45,9 +45,12 @@ def write_pages_csv(pages: DataFrame, path: str, mode: str = "overwrite") -> Non
 def write_pages(pages: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
     """Cleaned pages as Parquet, optionally one folder per ``by`` value.
 
-    The scan reads one WARC per task, so each folder gets the files of the
-    tasks that hold its rows and nothing is shuffled.
+    With ``by`` the rows are first brought together by it: after a shuffle every
+    task holds rows of every folder, and would write a file into each. Spark
+    splits a large value over several tasks and merges small ones.
     """
+    if by:
+        pages = pages.sparkSession.sql(f"SELECT /*+ REBALANCE(`{by}`) */ * FROM {{pages}}", pages=pages)
     writer = pages.write.mode(mode).option("maxRecordsPerFile", FILE_ROWS)
     (writer.partitionBy(by) if by else writer).parquet(path)
 

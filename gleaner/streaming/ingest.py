@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.language import LanguageModel
 from ..plans.clean_pages import clean_pages, page_texts, with_page_id
+from ..runtime import scratch_scope
 from ..sources import warc
 
 PAGES = "page_id BIGINT, url STRING, html STRING"
@@ -61,8 +62,9 @@ def ingest_clean(
         raise ValueError("min_pages counts over a whole corpus; drop boilerplate from the ingested pages instead")
 
     def clean(batch: DataFrame, number: int) -> None:
-        cleaned = clean_pages(batch, blocklist, model, **options)
-        cleaned.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scratch_scope(batch.sparkSession):
+            cleaned = clean_pages(batch, blocklist, model, **options)
+            cleaned.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
         pages.writeStream.foreachBatch(clean)

@@ -187,3 +187,26 @@ def test_predictions_round_trip(spark, tmp_path):
     tables.write_predictions(run, str(tmp_path / "r"))
     back = spark.read.parquet(str(tmp_path / "r")).select("query_id", "doc_id", "rank", "model", F.col("quality_p").cast("double"), "task")
     assert [tuple(r) for r in back.collect()] == [("q", "d", 1, "m", 0.96, "t")]
+
+
+def test_pages_by_folder_come_together_before_the_write(spark, tmp_path):
+    rows = spark.range(2000).select(
+        F.concat(F.lit("http://h/"), "id").alias("url"), F.repeat(F.lit("x"), 50).alias("text"),
+        F.concat(F.lit("w"), F.col("id") % 20).alias("warc_file"),
+    )
+    tables.write_pages(rows.repartition(8), str(tmp_path / "out"), by="warc_file")
+    assert len(list((tmp_path / "out").glob("warc_file=*/*.parquet"))) == 20
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2000
+
+
+def test_scratch_of_a_scope_is_deleted(spark):
+    from pathlib import Path
+
+    from gleaner import runtime
+
+    with runtime.scratch_scope(spark):
+        inside = runtime.materialise(spark.range(3), "scoped")
+        assert inside.count() == 3
+        path = inside.inputFiles()[0].removeprefix("file:")
+        assert Path(path).exists()
+    assert not Path(path).exists()
