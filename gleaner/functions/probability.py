@@ -57,7 +57,3 @@ def entropy_confidence(values: Column) -> Column:
     classes = F.size(values)
     normalised = F.when(classes > 1, entropy(values) / F.ln(classes.cast("double"))).otherwise(0.0)
     return (1.0 - normalised) * F.array_max(values)
-
-
-def rounded(values: Column, digits: int = 6) -> Column:
-    return F.transform(values, lambda x: F.round(x, digits))

@@ -56,7 +56,7 @@ def fit_bigrams(docs: DataFrame, text: str = "text") -> NgramModel:
 
     ln p splits into ln(n(u,t) + 1), zero for unseen pairs, and
     -ln(1 + n(u)/V) - ln V, constant for unseen contexts. Pairs and contexts
-    share one weight table, so documents meet a single join.
+    share one weight table, which each occurrence looks up by both keys.
     """
     pairs = materialise(_count(_pairs(docs, text)), "bigrams")
     roles = pairs.select(
