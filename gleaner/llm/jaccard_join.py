@@ -1,6 +1,6 @@
 """N-gram Jaccard join by vertical partitioning.
 
-Word n-grams have a global order: by a hash, frequent ones last. The order is cut
+Word n-grams have a global order: by a hash, those of many texts last. The order is cut
 into fragments and each text's set into segments; overlaps are counted in each
 fragment by itself and summed per pair.
 
@@ -29,18 +29,18 @@ from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, materialise
 from .components import components, local_roots
-from .hot import frequent, is_in
+from .hot import NOWHERE, Widespread, widespread
 from .words import cut, mixed, slices
 
 SHINGLE, PERCENT = 4, 85
-FREQUENT = 0.002  # share of texts from which an n-gram comes late in the order
-CHUNK = 256  # sets in a chunk of a block, about
+FREQUENT, AT_LEAST = 0.00003, 8  # share and number of texts from which an n-gram comes last in the order
+CHUNK = 1024  # sets in a chunk of a block, about
 SLAB = 2048  # columns of a matrix product
 FRAGMENT_BITS = 3
 _HOT = np.uint64(1 << 63)
 
 
-def shingle_sets(column: pa.Array, hot: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(column: pa.Array, hot: Widespread, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """The sets of all texts in one array, each sorted by the global order, and
     their bounds. A text of fewer than ``n`` words has its whole sequence."""
     words = cut(column, lower=True)
@@ -53,7 +53,8 @@ def shingle_sets(column: pa.Array, hot: np.ndarray, n: int = SHINGLE) -> tuple[n
             grams[at] = mixed(words.grams(short, hashes)[0][at] ^ np.uint64(short))
             inside[at] = True
     grams = grams[inside]
-    keys = (grams >> np.uint64(1)) | np.where(is_in(grams, hot), _HOT, np.uint64(0))
+    keys = grams >> np.uint64(1)
+    keys |= np.where(hot.has(keys), _HOT, np.uint64(0))
     bounds = np.concatenate([[0], np.cumsum(inside)])[words.first]
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         keys[a:b].sort()
@@ -63,14 +64,6 @@ def shingle_sets(column: pa.Array, hot: np.ndarray, n: int = SHINGLE) -> tuple[n
     return keys[first], np.concatenate([[0], np.cumsum(first)])[bounds]
 
 
-def _distinct_grams(n: int):
-    def grams(column):
-        keys, _ = shingle_sets(column, np.zeros(0, np.uint64), n)
-        return keys << np.uint64(1)  # the place of the hash's last bit is free
-
-    return grams
-
-
 def nodes(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A 64-bit sum over each set that does not depend on the order; with the
     set's size it names the set."""
@@ -96,7 +89,7 @@ _PASSED = "bucket long, block binary, key long, hash long, n long, node string,
 _NAMES = ["bucket", "block", "key", "hash", "n", "node", "root"]
 
 
-def _candidates(rows: DataFrame, hot: np.ndarray, n: int, percent: int, buckets: int) -> DataFrame:
+def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets: int) -> DataFrame:
     """Per text ``key``, ``hash``, ``n`` and ``node``; per tied set ``node`` and ``root``."""
 
     def send(batches):
@@ -208,7 +201,11 @@ def _dealt(members: DataFrame) -> DataFrame:
     span = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
     own, k = F.col("s"), F.col("k")
     groups = F.concat(
-        F.transform(span(F.col("m")), lambda x: group(own, F.least(k, x), own, F.greatest(k, x))),
+        # a chunk that is the only one of its size is compared with itself wherever it meets a neighbour
+        F.when(
+            (F.col("m") > 1) | (F.col("above") + F.col("below") == 0),
+            F.transform(span(F.col("m")), lambda x: group(own, F.least(k, x), own, F.greatest(k, x))),
+        ).otherwise(F.array().cast("array<bigint>")),
         F.transform(span(F.col("above")), lambda x: group(own, k, own + 1, x)),
         F.transform(span(F.col("below")), lambda x: group(own - 1, x, own, k)),
     )
@@ -229,6 +226,17 @@ def _runs(batches, keys: int):
         yield held
 
 
+def _narrow(keys: np.ndarray) -> bytes:
+    """The 48 bits after those that tell the fragment, six bytes each."""
+    return ((keys << np.uint64(FRAGMENT_BITS)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _widened(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """How many elements each two sets have in common; the sizes in the diagonal."""
     total = np.zeros((len(sets), len(sets)), np.float32)
@@ -251,7 +259,19 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _links(dealt: DataFrame, hot: np.ndarray, n: int, percent: int, parts: int) -> DataFrame:
+def possible(partial: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The upper half of a fragment's overlaps, without pairs that cannot link
+    any more: were all the rest of the smaller one shared, it would not be
+    enough, or their sizes differ too much. Leaving them out lowers their sum."""
+    rest = sizes - np.diag(partial)
+    need = needed(np.maximum(sizes[:, None], sizes[None, :]), percent)
+    good = partial + np.minimum(rest[:, None], rest[None, :]) >= need
+    good &= np.minimum(sizes[:, None], sizes[None, :]) >= need
+    np.fill_diagonal(good, True)
+    return np.triu(np.where(good, partial, 0)).astype(np.int32)
+
+
+def _links(dealt: DataFrame, hot: Widespread, n: int, percent: int, parts: int) -> DataFrame:
     """``u``, ``v``: stars of the links in each group. ``dealt`` has ``node``,
     ``_text`` and the groups ``gs`` of each set."""
 
@@ -264,15 +284,17 @@ def _links(dealt: DataFrame, hot: np.ndarray, n: int, percent: int, parts: int)
                     own = keys[bounds[i] : bounds[i + 1]]
                     fragment = own >> np.uint64(64 - FRAGMENT_BITS)
                     for piece in np.split(np.arange(len(own)), np.flatnonzero(np.diff(fragment)) + 1):
-                        blob = own[piece].tobytes()
-                        out += [(g, int(fragment[piece[0]]), node, blob) for g in groups]
+                        blob = _narrow(own[piece])
+                        out += [(g, int(fragment[piece[0]]), node, len(own), blob) for g in groups]
                 if out:
-                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "f", "node", "segment"])
+                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "f", "node", "n", "segment"]
+                    )
 
     def partial(batches):
         for rows in _runs(batches, 2):
-            matrix = overlaps([np.frombuffer(r[3], np.uint64) for r in rows])
+            matrix = possible(overlaps([_widened(r[4]) for r in rows]), np.array([r[3] for r in rows]), percent)
             blob = zstandard.ZstdCompressor(level=1).compress(matrix.tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([rows[0][0]], pa.int64()), pa.array([[r[2] for r in rows]], pa.list_(pa.string())), pa.array([blob], pa.binary())], ["g", "nodes", "matrix"]
@@ -286,7 +308,8 @@ def _links(dealt: DataFrame, hot: np.ndarray, n: int, percent: int, parts: int)
             for _, own, blob in rows:
                 at = np.array([place[x] for x in own])
                 total[np.ix_(at, at)] += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).reshape(len(at), len(at))
-            size = np.diag(total)
+            size = np.diag(total).copy()
+            total = total + total.T  # a pair's counts may lie on either side: the order differs between fragments
             link = 100 * total >= percent * (size[:, None] + size[None, :] - total)
             a, b = np.nonzero(np.triu(link, 1))
             roots = local_roots(len(names), a, b)
@@ -294,7 +317,7 @@ def _links(dealt: DataFrame, hot: np.ndarray, n: int, percent: int, parts: int)
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in other]), pa.array([names[i] for i in roots[other]])], ["u", "v"])
 
-    cut_up = dealt.mapInArrow(segments, "g long, f int, node string, segment binary")
+    cut_up = dealt.mapInArrow(segments, "g long, f int, node string, n long, segment binary")
     cut_up = cut_up.repartition(parts, "g", "f").sortWithinPartitions("g", "f")
     counted = cut_up.mapInArrow(partial, "g long, nodes array<string>, matrix binary")
     counted = counted.repartition(parts, "g").sortWithinPartitions("g")
@@ -307,7 +330,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SH
     rows = _keyed(docs, key, text)
     spark = docs.sparkSession
     parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hot = frequent(rows, "_text", _distinct_grams(n), FREQUENT, "texts")
+    many = max(AT_LEAST, FREQUENT * rows.count())
+    hot = widespread(rows, "_text", lambda column: shingle_sets(column, NOWHERE, n)[0], many, 4 * parts, parts)
     passed = materialise(_candidates(rows, hot, n, percent, 4 * parts), "candidates")
     texts = passed.where("root IS NULL").select("key", "hash", "n", "node")
     blocks = materialise(components(passed.where("root IS NOT NULL").select(F.col("node").alias("u"), F.col("root").alias("v"))), "blocks")

@@ -206,7 +206,9 @@ def test_one_of_each(docs, rows, no_docs):
     assert jaccard_join.one_of_each(no_docs).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("limit", [300_000, 20, 3])
+def test_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(components, "EDGES", limit)
     edges = [(str(i), str(i + 1)) for i in range(100, 140)] + [("900", "901"), ("905", "901"), ("7", "7")]
     found = components.components(spark.createDataFrame(edges, "u STRING, v STRING")).collect()
     labels = {r["node"]: r["label"] for r in found}
@@ -218,3 +220,17 @@ def test_components(spark):
 def test_overlaps():
     sets = [np.array(x, np.uint64) for x in ([1, 2, 3], [2, 3, 4], [9], [])]
     assert jaccard_join.overlaps(sets).tolist() == [[3, 2, 0, 0], [2, 3, 0, 0], [0, 0, 1, 0], [0, 0, 0, 0]]
+
+
+def test_possible_pairs_stay():
+    partial = np.array([[10, 9, 1], [9, 10, 0], [1, 0, 10]])
+    kept = jaccard_join.possible(partial, np.array([40, 40, 40]), 85)
+    assert kept.tolist() == [[10, 9, 0], [0, 10, 0], [0, 0, 10]]
+    assert jaccard_join.possible(partial, np.array([40, 20, 40]), 85)[0, 1] == 0
+
+
+def test_narrow_keys():
+    keys = words.mixed(np.arange(100, dtype=np.uint64))
+    assert len(jaccard_join._narrow(keys)) == 600
+    back = jaccard_join._widened(jaccard_join._narrow(keys))
+    assert back.tolist() == [((int(k) << 3) & (2**64 - 1)) >> 16 for k in keys]
