@@ -77,32 +77,41 @@ def _codes(strings: list[str], width: int) -> np.ndarray:
 def _kernel_block(strings: list[str], landmarks: np.ndarray) -> np.ndarray:
     """Unnormalised kernel of strings of about equal length to all landmarks.
 
-    ``near[i][b]`` sums, over the common subsequences of ``i`` characters of the
-    string so far and the first ``b`` characters of a landmark, the decay from
-    where they start to here.
+    A common subsequence weighs the decay to its two spans, that is to its last
+    places less its first ones. The first characters carry the one part, the last
+    the other, and between them ``near[i][b]`` merely sums over the common
+    subsequences of ``i + 1`` characters in the string so far and the first ``b``
+    characters of a landmark.
     """
     width = max(map(len, strings))
     s = _codes(strings, width)
     size, length = landmarks.shape
     shape = (len(strings), size)
-    near = [[np.zeros(shape, np.float32) for _ in range(length + 1)] for _ in range(ORDER - 1)]
+    table = np.where(landmarks == 0, np.uint32(0xFFFFFFFF), landmarks)
+    near = np.zeros((ORDER - 1, length + 1, *shape), np.float32)
     total = np.zeros(shape, np.float32)
-    square = np.float32(DECAY * DECAY)
+    run, step = np.empty(shape, np.float32), np.empty(shape, np.float32)
     for a in range(width):
-        char = s[:, a : a + 1]
-        same = [(char == landmarks[None, :, b]) & (char != 0) for b in range(length)]
-        hits = [bool(x.any()) for x in same]
-        for b in range(length):  # the last character of a subsequence
-            if hits[b] and b >= ORDER - 1:
-                total += same[b] * near[ORDER - 2][b] * square
+        same = [s[:, a : a + 1] == table[None, :, b] for b in range(length)]
+        hits = [b for b in range(length) if same[b].any()]
+        if not hits:
+            continue
+        match = {b: same[b].astype(np.float32) for b in hits}
+        for b in hits:  # the last character of a subsequence
+            if b >= ORDER - 1:
+                np.multiply(match[b], near[ORDER - 2, b], out=step)
+                step *= np.float32(DECAY ** (a + b + 2))
+                total += step
         for i in range(ORDER - 2, -1, -1):
-            run = np.zeros(shape, np.float32)
-            for b in range(length):
-                run *= DECAY
-                if hits[b]:
-                    run += same[b] * square if i == 0 else same[b] * near[i - 1][b] * square
-                near[i][b + 1] *= DECAY
-                near[i][b + 1] += run
+            run[:] = 0
+            for b in range(hits[0], length):
+                if b in match:
+                    if i == 0:
+                        np.multiply(match[b], np.float32(DECAY ** -(a + b)), out=step)
+                    else:
+                        np.multiply(match[b], near[i - 1, b], out=step)
+                    run += step
+                near[i, b + 1] += run
     return total
 
 
@@ -353,10 +362,12 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class _Scorer:
-    """Margins of tokens; those seen lately are kept."""
+    """Margins of tokens; those seen lately are kept, and those of their strings,
+    which differ less."""
 
     def __init__(self, machine: Machine):
         self._machine, self._known, self._old = machine, {}, {}
+        self._margins: dict[str, float] = {}
 
     def learn(self, wanted: set[str]) -> dict[str, float]:
         """A table with the margins of all ``wanted`` tokens."""
@@ -371,8 +382,11 @@ class _Scorer:
                 else:
                     fresh.append(token)
         parts = [(t, units(t)) for t in fresh]
-        every = sorted({u for _, us in parts for u in us})
-        margin = dict(zip(every, self._machine.margins(every).tolist(), strict=True)) if every else {}
+        if len(self._margins) > CACHED:
+            self._margins = {}
+        margin = self._margins
+        every = sorted({u for _, us in parts for u in us if u not in margin})
+        margin.update(zip(every, self._machine.margins(every).tolist(), strict=True))
         lowest = self._machine.bias
         for token, own in parts:
             known[token] = max([lowest, *(margin[u] for u in own)])
