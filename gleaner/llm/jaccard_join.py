@@ -180,11 +180,14 @@ def _tied(blocks: list[bytes], percent: int):
         )
 
 
-def _dealt(members: DataFrame) -> DataFrame:
+def _dealt(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``members`` (``node``, ``block``, ``n``) with the groups ``g`` that a set is
     compared in: its block, or for a large block the pairs of its chunk with the
-    chunks of the same and the neighbouring sizes."""
-    sized = members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int"))
+    chunks of the same and the neighbouring sizes. Sets that link are at most
+    one size class apart; classes are a trifle wider than the greatest ratio, so
+    that rounding cannot put two between."""
+    width = math.log(100 / min(percent, 99)) * (1 + 1e-9)
+    sized = members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
     counts = materialise(sized.groupBy("block", "s").agg(F.count("*").alias("c")), "block-sizes")
     totals = counts.groupBy("block").agg(F.sum("c").alias("total"))
     small = sized.join(totals, "block").where(F.col("total") <= CHUNK)
@@ -339,7 +342,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SH
     members = texts.join(blocks.select("node", F.col("label").alias("block")), "node")
     members = members.groupBy("node", "block", "n").agg(F.min("hash").alias("hash"))
     members = materialise(members, "block-members")
-    groups = _dealt(members).groupBy("node").agg(F.collect_list("g").alias("gs"))
+    groups = _dealt(members, percent).groupBy("node").agg(F.collect_list("g").alias("gs"))
     chosen = materialise(members.select("node", "hash").join(groups, "node"), "dealt-sets")
     known = _one_text_each(rows, chosen)
     links = _links(known, hot, n, percent, parts)

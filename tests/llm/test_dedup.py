@@ -194,6 +194,34 @@ def test_jaccard_join_of_many_near_copies(spark, monkeypatch):
     assert len({r["component_id"] for r in got}) > 1
 
 
+def alike_groups(rows, n, percent):
+    """Ids of the components of texts whose ``n``-word sets are alike enough."""
+    cut = {k: WORD.findall(t.translate(LOWER)) for k, t in rows}
+    sets = {k: {tuple(own[i : i + n]) for i in range(max(1, len(own) - n + 1))} for k, own in cut.items()}
+    least = {k: k for k in sets}
+    for _ in sets:  # at most as many rounds as there are texts
+        links = [(a, b) for a in sets for b in sets if least[a] < least[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        if not links:
+            break
+        for a, b in links:
+            least[b] = min(least[a], least[b])
+    return least
+
+
+def test_sizes_far_apart_in_a_large_block(spark, monkeypatch):
+    """80 and 95 n-grams link at 80 percent; under classes for 85 they would be two apart."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 1)
+    rnd = random.Random(12)
+    rows = []
+    for i in range(8):
+        base = [f"b{i}w{rnd.randrange(10**6)}" for _ in range(99)]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join(base[:84])), (10 * i + 2, " ".join(base[:66]))]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(4)
+    want = alike_groups(rows, 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, n=5, percent=80).collect()}
+    assert got == want and want[1] == 0 and want[2] == 2
+
+
 def test_one_of_each(docs, rows, no_docs):
     kept = jaccard_join.one_of_each(docs)
     assert kept.columns == docs.columns
