@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from gleaner.llm import byte_bpe, jaccard_join, mixing, pii, quality_rules
 from gleaner.runtime import materialise
 
+NEAR_WORDS, NEAR_PERCENT = 5, 80  # of near copies; op10 has numbers of its own
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -23,8 +25,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component of near copies."""
-    return jaccard_join.one_of_each(docs)
+    """The document with the smallest id of each component of near copies: texts
+    whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return jaccard_join.one_of_each(docs, n=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from gleaner.llm import mixing, queries, sql
 from gleaner.llm.bytelevel import read_ranks
 from gleaner.runtime import materialise
 
-from .test_dedup import jaccard_groups
+from .test_dedup import alike_groups, jaccard_groups
 from .test_models import exact_spans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -74,6 +74,21 @@ def test_stages_one_by_one(spark):
         assert r["n_tokens"] == len(own.encode_ordinary(texts[r["doc_id"]])) == len(r["ids"]) // 4
 
 
+def test_near_copies_share_five_word_shingles(spark):
+    """The stage takes 0.8 of five-word sets: one changed word of 51 is a near copy
+    (42 of 52 sets of five, 44 of 52 sets of four); one of 46 is not."""
+    rows = []
+    for i, n in enumerate((51, 46, 60, 200)):
+        base = [f"t{i}w{j}" for j in range(n)]
+        rows += [(10 * i, " ".join(base)), (10 * i + 1, " ".join([*base[: n // 2], "changed", *base[n // 2 + 1 :]]))]
+    want = alike_groups(rows, 5, 80)
+    assert want[1] == 0 and want[11] == 11 and alike_groups(rows, 4, 85)[1] == 1
+    full = [(k, t, "en", "a", len(t)) for k, t in rows]
+    docs = spark.createDataFrame(full, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    found = dict(corpus_pipeline.STAGES)["near_copies"](spark, docs, FOLDER)
+    assert sorted(r["doc_id"] for r in found.collect()) == sorted(set(want.values()))
+
+
 def test_run(spark):
     found = corpus_pipeline.run(spark, FOLDER)
     assert found.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"] and found.count() > 50
