@@ -30,10 +30,19 @@ MIN_ROWS = 100  # smaller groups use the estimate of their language, or of all
 TAIL = 1e-9  # share of a normal population beyond the cut
 # Smallest standard deviation of each statistic. Most clean texts have none of a
 # defect at all; without it the first symbol would be infinitely far away.
-FLOORS = {"length": 0.08, "symbols": 0.06, "lines": 0.2, "repeats": 0.2, "upper": 0.05}
-VECTOR = tuple(FLOORS)
-_SIZE = len(VECTOR)
-_PAIRS = [(i, j) for i in range(_SIZE) for j in range(i, _SIZE)]
+# A floor also bounds what its statistic can add to a distance, (range / floor)^2:
+# repeated lines and neighbours alone go beyond the cut. Repeated windows cannot, as
+# clean texts have them up to the base limit, which rejects the others.
+FLOORS = {"length": 0.08, "symbols": 0.06, "lines": 0.1, "repeats": 0.2, "upper": 0.05}
+ALL_FLOORS = FLOORS | {"neighbours": 0.07}
+VECTOR = tuple(ALL_FLOORS)
+
+
+def _pairs(size: int) -> list[tuple[int, int]]:
+    return [(i, j) for i in range(size) for j in range(i, size)]
+
+
+_PAIRS = _pairs(len(FLOORS))
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -55,6 +64,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                     "lines": np.sqrt(c["n_dup_lines"] / np.maximum(c["n_lines"], 1)),
                     "repeats": np.sqrt(c["n_repeat_words"] / n),
                     "upper": np.sqrt(c["upper"] / letters),
+                    "neighbours": np.sqrt(c["stutter"] / n),
                 }
                 arrays = [pa.array(c[k], pa.int64()) for k in BASE] + [pa.array(vector[k], pa.float64()) for k in VECTOR]
                 stats = pa.StructArray.from_arrays(arrays, [*BASE, *VECTOR])
@@ -77,20 +87,20 @@ def _groups(lang: Column, source: Column) -> list[Column]:
     ]
 
 
-def _quantile(p: float) -> float:
+def _quantile(p: float, size: int = len(VECTOR)) -> float:
     """Of the chi-square distribution with as many degrees of freedom as the
     vector has entries (Wilson-Hilferty; ``TAIL`` is far out, where the
     approximation is good to a few percent)."""
     from statistics import NormalDist
 
-    k = 2 / (9 * _SIZE)
-    return _SIZE * (1 - k + NormalDist().inv_cdf(p) * math.sqrt(k)) ** 3
+    k = 2 / (9 * size)
+    return size * (1 - k + NormalDist().inv_cdf(p) * math.sqrt(k)) ** 3
 
 
-def _distance() -> Column:
+def _distance(size: int = len(VECTOR)) -> Column:
     """Squared Mahalanobis distance of ``x`` under ``centre`` and ``inverse``."""
     total = F.lit(0.0)
-    for n, (i, j) in enumerate(_PAIRS):
+    for n, (i, j) in enumerate(_pairs(size)):
         left, right = (F.col("x")[k] - F.col("centre")[k] for k in (i, j))
         total = total + F.col("inverse")[n] * left * right * (1.0 if i == j else 2.0)
     return total
@@ -101,7 +111,7 @@ def _class(distance: Column) -> Column:
     return F.floor(16 * F.log2(1 + 64 * F.greatest(distance, F.lit(0.0)))).cast("int")
 
 
-def _start(rows: DataFrame) -> DataFrame:
+def _start(rows: DataFrame, floors: dict[str, float]) -> DataFrame:
     """Medians and median absolute deviations, from counts on a grid."""
     cells = rows.select("grp", F.posexplode(F.transform("x", lambda v: F.round(v * 256).cast("int"))).alias("dim", "cell"))
     cells = materialise(cells.groupBy("grp", "dim", "cell").agg(F.count("*").alias("n")), "mcd-grid")
@@ -116,33 +126,34 @@ def _start(rows: DataFrame) -> DataFrame:
     away = cells.join(centre, ["grp", "dim"]).withColumn("away", F.abs(F.col("cell") - F.col("middle")))
     spread = median(away.drop("middle"), "away").withColumnRenamed("middle", "spread")
     both = centre.join(spread, ["grp", "dim"])
-    floors = F.array(*[F.lit(v) for v in FLOORS.values()])
-    deviation = F.greatest(F.col("spread") * 1.4826 / 256, F.element_at(floors, F.col("dim") + 1))
+    least = F.array(*[F.lit(v) for v in floors.values()])
+    deviation = F.greatest(F.col("spread") * 1.4826 / 256, F.element_at(least, F.col("dim") + 1))
     per_group = both.groupBy("grp").agg(
         F.array_sort(F.collect_list(F.struct("dim", (F.col("middle") / 256).alias("m"), (1 / deviation**2).alias("v")))).alias("e")
     )
-    inverse = F.array(*[F.col("e")[i]["v"] if i == j else F.lit(0.0) for i, j in _PAIRS])
+    inverse = F.array(*[F.col("e")[i]["v"] if i == j else F.lit(0.0) for i, j in _pairs(len(floors))])
     return per_group.select("grp", F.transform("e", lambda e: e["m"]).alias("centre"), inverse.alias("inverse"), F.lit(1.0).alias("scale"))
 
 
-def _estimate(sums: DataFrame) -> DataFrame:
+def _estimate(sums: DataFrame, floors: dict[str, float]) -> DataFrame:
     """Centre and inverse scatter from moments; singular scatter cannot occur,
     as the squared floors are added to the variances."""
-    floors = np.diag(np.square(list(FLOORS.values())))
+    size, pairs = len(floors), _pairs(len(floors))
+    least = np.diag(np.square(list(floors.values())))
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             n = batch.column("n").to_numpy(zero_copy_only=False).astype(float)
-            s = np.array(batch.column("s").to_pylist(), float).reshape(-1, _SIZE)
-            q = np.array(batch.column("q").to_pylist(), float).reshape(-1, len(_PAIRS))
+            s = np.array(batch.column("s").to_pylist(), float).reshape(-1, size)
+            q = np.array(batch.column("q").to_pylist(), float).reshape(-1, len(pairs))
             centre = s / n[:, None]
-            scatter = np.zeros((len(n), _SIZE, _SIZE))
-            for k, (i, j) in enumerate(_PAIRS):
+            scatter = np.zeros((len(n), size, size))
+            for k, (i, j) in enumerate(pairs):
                 scatter[:, i, j] = scatter[:, j, i] = q[:, k] / n - centre[:, i] * centre[:, j]
-            inverse = np.linalg.inv(scatter + floors)
-            flat = np.stack([inverse[:, i, j] for i, j in _PAIRS], axis=1)
+            inverse = np.linalg.inv(scatter + least)
+            flat = np.stack([inverse[:, i, j] for i, j in pairs], axis=1)
             # sums come in any order; rounding makes reruns agree
             yield pa.RecordBatch.from_arrays(
                 [
@@ -157,10 +168,11 @@ def _estimate(sums: DataFrame) -> DataFrame:
     return sums.mapInArrow(run, "grp string, centre array<double>, inverse array<double>, scale double")
 
 
-def _step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
-    near = rows.join(broadcast_if_small_model(model), "grp").withColumn("d", _class(_distance()))
-    moments = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(_SIZE)]
-    moments += [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i, j in _PAIRS]
+def _step(rows: DataFrame, model: DataFrame, share: float, floors: dict[str, float]) -> DataFrame:
+    size, pairs = len(floors), _pairs(len(floors))
+    near = rows.join(broadcast_if_small_model(model), "grp").withColumn("d", _class(_distance(size)))
+    moments = [F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(size)]
+    moments += [F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"q{i}_{j}") for i, j in pairs]
     classes = near.groupBy("grp", "d").agg(F.count("*").alias("n"), *moments)
     before = Window.partitionBy("grp").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
     ranked = classes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -170,12 +182,12 @@ def _step(rows: DataFrame, model: DataFrame, share: float) -> DataFrame:
     total = lambda name: F.sum(F.when(inside, F.col(name)))
     sums = ranked.groupBy("grp").agg(
         total("n").alias("n"),
-        F.array(*[total(f"s{i}") for i in range(_SIZE)]).alias("s"),
-        F.array(*[total(f"q{i}_{j}") for i, j in _PAIRS]).alias("q"),
+        F.array(*[total(f"s{i}") for i in range(size)]).alias("s"),
+        F.array(*[total(f"q{i}_{j}") for i, j in pairs]).alias("q"),
         # the scatter of the nearest rows is too small for all rows: scaled so that the median distance is that of a normal population
-        F.greatest(F.lit(1.0), (F.pow(2.0, (middle + 1) / 16) - 1) / 64 / _quantile(0.5)).alias("scale"),
+        F.greatest(F.lit(1.0), (F.pow(2.0, (middle + 1) / 16) - 1) / 64 / _quantile(0.5, size)).alias("scale"),
     )
-    return _estimate(sums)
+    return _estimate(sums, floors)
 
 
 def broadcast_if_small_model(model: DataFrame) -> DataFrame:
@@ -183,8 +195,9 @@ def broadcast_if_small_model(model: DataFrame) -> DataFrame:
     return F.broadcast(model) if model.count() <= 200_000 else model
 
 
-def fit(vectors: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS) -> DataFrame:
-    """Estimates from rows of ``lang``, ``source`` and ``x``.
+def fit(vectors: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows: int = MIN_ROWS, floors: dict[str, float] = FLOORS) -> DataFrame:
+    """Estimates from rows of ``lang``, ``source`` and ``x``, whose entries are
+    the statistics of ``floors``.
 
     Returns ``lang``, ``source``, ``grp`` (the group whose estimate holds),
     ``centre``, ``inverse`` and ``scale``, one row per language and source.
@@ -197,9 +210,9 @@ def fit(vectors: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows:
     needed = broadcast_if_small(chosen.select("grp").distinct())
     rows = vectors.select(F.explode(F.array(own, language, everything)).alias("grp"), "x")
     rows = materialise(rows.join(needed, "grp", "left_semi"), "mcd-rows")
-    model = materialise(_start(rows), "mcd-start")
+    model = materialise(_start(rows, floors), "mcd-start")
     for _ in range(steps):
-        model = materialise(_step(rows, model, share), "mcd-step")
+        model = materialise(_step(rows, model, share, floors), "mcd-step")
     return chosen.join(model, "grp")
 
 
@@ -234,7 +247,7 @@ def quality_rules(docs: DataFrame, key="doc_id", text="text", lang="lang", sourc
     names = {key: "_key", text: "_text", lang: "lang", source: "source"}
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in names.items()])
     stats = materialise(statistics(rows, "_text").drop("_text"), "text-statistics")
-    judged = judge(stats, fit(_vectors(stats)))
+    judged = judge(stats, fit(_vectors(stats), floors=ALL_FLOORS))
     return judged.select(F.col("_key").alias(key), *[F.col(f"_stats.{n}") for n in BASE], "base_failed", "distance", "kept")
 
 
@@ -247,5 +260,5 @@ def keep_good(docs: DataFrame, text="text", lang="lang", source="source") -> Dat
         F.struct(*own).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source")
     )
     narrow = materialise(statistics(rows.drop("_row"), "_text").drop("_text"), "text-statistics")
-    judged = judge(statistics(rows, "_text"), fit(_vectors(narrow)))
+    judged = judge(statistics(rows, "_text"), fit(_vectors(narrow), floors=ALL_FLOORS))
     return judged.where("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

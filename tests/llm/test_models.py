@@ -52,6 +52,30 @@ def test_outliers_of_a_language_and_source(spark):
     assert kept == {i for i in range(400) if i % 10} | {1000 + i for i in range(150)}
 
 
+def test_each_statistic_alone_rejects(spark):
+    """One planted text per statistic among clean ones; repeated windows are the
+    base limit's, below which clean texts have them too."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    passage = line(14)
+    planted = {
+        "length": " ".join(word() * 12 for _ in range(60)),
+        "symbols": " ".join(word() + "###" for _ in range(60)),
+        "lines": "\n".join(f"{line(4)}\nmore\nnext\ntop" for _ in range(15)),
+        "repeats": f"{passage}\n{line(32)}\n{passage}",
+        "upper": line(60).upper(),
+        "neighbours": " ".join(f"{w} {w}" for w in line(30).split()),
+    }
+    clean = f"{passage}\n{line(36)}\n{line(40)}\n{passage}"  # a quarter of its lines and words
+    rows = [(i, "\n".join(line(20) for _ in range(4)), "en", "a") for i in range(300)] + [(-1, clean, "en", "a")]
+    rows += [(1000 + i, t, "en", "a") for i, t in enumerate(planted.values())]
+    found = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING")).collect()
+    assert [r["doc_id"] for r in found if r["kept"] and r["doc_id"] >= 1000] == []
+    assert [r["doc_id"] for r in found if r["base_failed"]] == [1000 + list(planted).index("repeats")]
+    assert {r["doc_id"] for r in found if r["kept"]} == {-1, *range(300)}
+
+
 def brute_mcd(x, share, steps):
     """The same concentration steps with exact quantiles."""
     floors = np.array(list(quality_rules.FLOORS.values()))
