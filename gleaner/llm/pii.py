@@ -40,9 +40,10 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Candidates: addresses with the signs spelled out, and digits in groups.
 _SPELLED = re.compile(
-    r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*(?:@| ?[(\[](?:at|AT)[)\]] ?)[A-Za-z0-9-]+"
-    r"(?:(?:\.| ?[(\[](?:dot|DOT)[)\]] ?)[A-Za-z0-9-]+)+"
+    r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*(?:@| ?[(\[](?i:at)[)\]] ?)[A-Za-z0-9-]+"
+    r"(?:(?:\.| ?[(\[](?i:dot)[)\]] ?)[A-Za-z0-9-]+)+"
 )
+_SIGN = re.compile(r"[(\[](?i:at|dot)[)\]]")  # without one, no match of _SPELLED has a space
 _DIGITS = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().\[\]/-]{0,3}[0-9])+(?![A-Za-z0-9])")
 
 # Gazetteers, fixed values.
@@ -119,10 +120,10 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
     """``(kind, start, end, votes, features)`` of the base spans and of looser
     matches; votes and features are packed numbers."""
     found = {(k, *span) for i, k in enumerate(KINDS) for span in base[k]}
-    if "@" in text:
-        found |= {("email", *m.span()) for m in _around_at(text, _SPELLED)}
-    if any(sign in text for sign in ("(at)", "[at]", "(AT)", "[AT]")):
+    if _SIGN.search(text):
         found |= {("email", *m.span()) for m in _SPELLED.finditer(text)}
+    elif "@" in text:
+        found |= {("email", *m.span()) for m in _around_at(text, _SPELLED)}
     if _ANY_DIGIT.search(text):
         for m in _DIGITS.finditer(text):
             n = len(_digits(m.group())) if m.end() - m.start() >= 7 else 0

@@ -223,6 +223,14 @@ def test_base_spans():
         assert pii.base_spans(text) == exact_spans(text)
 
 
+@pytest.mark.parametrize("span", ["jo@example (dot) com", "jo@example[DOT]com", "jo (At) example (Dot) com", "jo[aT]example.com", "jo@mail.example.com"])
+@pytest.mark.parametrize("rest", ["", " or (at) noon", " (dot)", " at noon"])
+def test_spelled_addresses_do_not_depend_on_the_rest(span, rest):
+    text = f"write to {span} now{rest}"
+    found = {text[a:b] for _, a, b, *_ in pii.candidates(text, pii.base_spans(text))}
+    assert span in found
+
+
 def test_personal_data(docs, rows, no_docs):
     found = pii.personal_data(docs).collect()
     want = []
