@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, jaccard_join, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from . import byte_bpe, fingerprints, jaccard_join, language_crf, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT = 512
@@ -89,3 +89,12 @@ def op8_toxic_strings(spark, folder):
 @query
 def op10_fragment_join(spark, folder):
     return jaccard_join.jaccard_components(documents(spark, folder, "doc_id", "text"))
+
+
+@query
+def op12_language_chain(spark, folder):
+    docs = documents(spark, folder, "doc_id", "text", "lang")
+    held_out = language_crf.held_out(F.col("doc_id"))
+    model = language_crf.fit(docs.where(~held_out))
+    found = language_crf.predicted(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
