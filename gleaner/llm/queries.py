@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, jaccard_join, language_crf, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from . import byte_bpe, conversation_repair, fingerprints, jaccard_join, language_crf, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT = 512
@@ -98,3 +98,9 @@ def op12_language_chain(spark, folder):
     model = language_crf.fit(docs.where(~held_out))
     found = language_crf.predicted(docs, model)
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_conversation_repair(spark, folder):
+    messages = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return conversation_repair.repair_report(conversation_repair.damaged(messages), every=messages)
