@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, conversation_repair, fingerprints, jaccard_join, language_crf, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
+from . import byte_bpe, conversation_repair, fingerprints, hard_negatives, jaccard_join, language_crf, mixing, pii, quality_classifier, quality_rules, substring_dedup, token_counts, toxicity
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TOKEN_LIMIT = 512
@@ -91,6 +91,13 @@ def op10_fragment_join(spark, folder):
     return jaccard_join.jaccard_components(documents(spark, folder, "doc_id", "text"))
 
 
+@query
+def op11_box_negatives(spark, folder):
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", moved))
+
+
 @query
 def op12_language_chain(spark, folder):
     docs = documents(spark, folder, "doc_id", "text", "lang")
