@@ -97,21 +97,30 @@ class Adjacency:
 
 class Recent(dict):
     """A memo of ``make(key)`` for the keys seen lately: once ``size`` keys are
-    held, the older half is dropped. Look up with ``self[key]``."""
+    held, the older half is dropped; keys of more than ``longest`` characters are
+    not kept. Look up with ``self[key]``."""
 
-    def __init__(self, make, size: int = 200_000):
+    def __init__(self, make, size: int = 200_000, longest: int | None = None):
         super().__init__()
-        self._make, self._size, self._old = make, size, {}
+        self._make, self._size, self._longest, self._old = make, size, longest, {}
 
     def __missing__(self, key):
+        if self._longest is not None and len(key) > self._longest:
+            return self._make(key)
         value = self._old.get(key)
         if value is None:
             value = self._make(key)
+        self.keep(key, value)
+        return value
+
+    def has(self, key) -> bool:
+        return key in self or key in self._old
+
+    def keep(self, key, value) -> None:
         if len(self) >= self._size:
             self._old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def newer_characters(known: Callable[[str], bool]) -> tuple[re.Pattern | None, dict[int, str]]:

@@ -273,11 +273,18 @@ def fit_chain(pieces: list[str], labels: list[str], seed: int = 1) -> Chain:
 
 def sample_pieces(docs: DataFrame, key="doc_id", text="text", lang="lang") -> DataFrame:
     """``(lang, piece)``: at most ``PIECE`` consecutive words, from a place that a
-    hash of the key draws, of at most ``PER_LANGUAGE`` documents of a language."""
+    hash of the key draws, of at most ``PER_LANGUAGE`` documents of each of the
+    ``LANGUAGES`` most frequent languages."""
     known = docs.select(*(F.col(f"`{c}`").alias(f"_{n}") for n, c in (("key", key), ("text", text), ("lang", lang))))
     known = known.where("_key is not null and _text is not null and _lang is not null")
+    most = known.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
+    # about twice as many as wanted are ranked, so that no task ranks a whole language
+    share = {r["_lang"]: min(2**63 - 1, 2**64 * PER_LANGUAGE // r["count"]) for r in most}
+    limit = F.create_map(*(F.lit(x) for pair in share.items() for x in pair)) if share else F.create_map().cast("map<string,long>")
     place = Window.partitionBy("_lang").orderBy("_hash", "_key")
-    drawn = known.select("_key", "_lang", F.xxhash64("_key").alias("_hash")).withColumn("_place", F.row_number().over(place))
+    hashed = known.select("_key", "_lang", F.xxhash64("_key").alias("_hash"))
+    near = hashed.where(F.col("_hash").bitwiseAND(F.lit(2**63 - 1)) <= F.try_element_at(limit, "_lang"))
+    drawn = near.withColumn("_place", F.row_number().over(place))
     drawn = F.broadcast(drawn.where(F.col("_place") <= PER_LANGUAGE).select("_key", "_lang", "_hash").distinct())
     rows = known.join(drawn, ["_key", "_lang"]).select("_lang", "_hash", "_text")
 
@@ -300,8 +307,7 @@ def fit(docs: DataFrame, **columns: str) -> Chain:
     """Fit on the labelled documents ``docs``; rows without key, text or language
     are left out, a key that occurs twice counts with each of its texts."""
     found = sample_pieces(docs, **columns).toPandas()
-    ranked = found.groupby("lang").size().reset_index(name="n").sort_values(["n", "lang"], ascending=[False, True])
-    found = found[found["lang"].isin(ranked["lang"][:LANGUAGES])].sort_values(["lang", "piece"])
+    found = found.sort_values(["lang", "piece"])
     return fit_chain(found["piece"].tolist(), found["lang"].tolist())
 
 

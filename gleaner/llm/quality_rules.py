@@ -204,7 +204,8 @@ def fit(vectors: DataFrame, share: float = SHARE, steps: int = STEPS, min_rows:
     """
     own, language, everything = _groups(F.col("lang"), F.col("source"))
     sizes = vectors.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    sizes = sizes.withColumn("in_lang", F.sum("n").over(Window.partitionBy("lang")))
+    languages = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("in_lang"))
+    sizes = sizes.join(languages, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
     chosen = F.when(F.col("n") >= min_rows, own).when(F.col("in_lang") >= min_rows, language).otherwise(everything)
     chosen = materialise(sizes.select("lang", "source", chosen.alias("grp")), "mcd-groups")
     needed = broadcast_if_small(chosen.select("grp").distinct())
@@ -255,10 +256,9 @@ def keep_good(docs: DataFrame, text="text", lang="lang", source="source") -> Dat
     """The rows of ``docs``, all columns, that the rules keep. The statistics are
     computed once for the estimates and again, in place, for the verdict: texts
     are never shuffled."""
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(
-        F.struct(*own).alias("_row"), F.col(f"`{text}`").alias("_text"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source")
-    )
-    narrow = materialise(statistics(rows.drop("_row"), "_text").drop("_text"), "text-statistics")
-    judged = judge(statistics(rows, "_text"), fit(_vectors(narrow), floors=ALL_FLOORS))
-    return judged.where("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*own, F.col(f"`{lang}`").alias("lang"), F.col(f"`{source}`").alias("source"))
+    whole = f"c{docs.columns.index(text)}"
+    narrow = materialise(statistics(rows.select(whole, "lang", "source"), whole).drop(whole), "text-statistics")
+    judged = judge(statistics(rows, whole), fit(_vectors(narrow), floors=ALL_FLOORS))
+    return judged.where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -41,7 +41,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the n + 1 offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column, "")
+    column = pc.fill_null(column, b"" if pa.types.is_binary(column.type) else "")
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
     offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     if len(offsets) == 0:

@@ -85,6 +85,72 @@ def test_transducer_with_other_ranks():
             assert transducer.encode(text.encode()) == own.encode_ordinary(text)
 
 
+@given(st.lists(st.integers(0, 255), max_size=12), st.integers(1, 5))
+@settings(max_examples=300, deadline=None)
+def test_stream_decoder_in_chunks(data, size):
+    decoder = byte_bpe.StreamDecoder({i: bytes([i]) for i in range(256)})
+    parts = [data[i : i + size] for i in range(0, len(data), size)]
+    assert "".join(map(decoder.feed, parts)) + decoder.finish() == bytes(data).decode("utf-8", "replace")
+
+
+@given(st.lists(st.text(st.sampled_from("abé日 1-."), min_size=1, max_size=60), min_size=1, max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_pieces_read_together(pieces):
+    codec = byte_bpe.codec(RANKS, public_tokenizers.PATTERN)
+    data = [p.encode() for p in pieces]
+    tokens, offsets, read = codec._lanes.encode(data)
+    for i, piece in enumerate(data):
+        if read[i]:
+            assert tokens[offsets[i] : offsets[i + 1]].tolist() == codec._transducer.encode(piece)
+
+
+def test_states_that_are_too_wide_are_left(monkeypatch):
+    from gleaner.llm import lanes
+
+    own = byte_bpe.Transducer(read_ranks(RANKS))
+    together = lanes.Lanes(own.trie, own.ending, own.adjacent)
+    pieces = [b" " * 90, b"abc", b"-" * 60]
+    tokens, offsets, read = together.encode(pieces)
+    assert read[1] and not read.all()
+    assert all(tokens[offsets[i] : offsets[i + 1]].tolist() == own.encode(p) for i, p in enumerate(pieces) if read[i])
+    monkeypatch.setattr(lanes, "STATES", 0)  # begins anew for each batch
+    tokens, offsets, read = together.encode([b"hello", b" world"])
+    assert read.all() and np.split(tokens, offsets[1:-1])[1].tolist() == TIKTOKEN.encode_ordinary(" world")
+
+
+def test_table_of_numbers():
+    from gleaner.llm.lanes import IntMap
+
+    draw = np.random.default_rng(0)
+    keys = np.unique(draw.integers(0, 1 << 60, 5000))
+    table = IntMap(4)
+    for part in np.array_split(draw.permutation(keys), 7):
+        table.put(part, (part % 1000).astype(np.int32))
+    assert (table.get(keys) == keys % 1000).all() and (table.get(keys + 1)[~np.isin(keys + 1, keys)] == -1).all()
+
+
+def test_long_pieces(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "STATES", 300)
+    monkeypatch.setattr(byte_bpe, "PART", 7)
+    codec = byte_bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    draw = np.random.default_rng(1)
+    for size in (30, 200, 20_000):
+        text = "".join(draw.choice(list("abcdeéß日"), size))
+        ids = codec.encode(text)
+        assert ids.tolist() == TIKTOKEN.encode_ordinary(text) and "".join(codec.decode(ids)) == text
+    assert len(codec._transducer._states) <= 320
+    codec.clear()
+    assert codec._lanes._state.size == 1 and len(codec._ids) == 0
+
+
+def test_pattern_for_ascii():
+    fast = byte_bpe.ascii_pattern(public_tokenizers.PATTERN)
+    text = " it's 12 3.4!? \x1c \x85 \x0b tab\t\n\n  x's'll\x7f_"
+    plain = "".join(c for c in text if c.isascii())
+    assert fast.findall(plain) == byte_bpe.codec(RANKS, public_tokenizers.PATTERN)._pattern.findall(plain)
+    assert byte_bpe.ascii_pattern(r"\p{Lu}+") is None
+
+
 def test_round_trip(docs, rows, no_docs):
     found = byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, ids=True)
     got = sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], bytes(r["ids"])) for r in found.collect())
