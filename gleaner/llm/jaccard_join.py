@@ -5,9 +5,13 @@ into fragments and each text's set into segments; overlaps are counted in each
 fragment by itself and summed per pair.
 
 1. Candidates. Of two sets alike enough, each has one of the other's n-grams
-   among its first few of the order. These alone are dealt out; texts that share
-   one, and are close enough in size, are tied together. What is tied falls
-   into blocks. Most texts share none and are done.
+   among its first few of the order. These alone are dealt out, with their places.
+   Two sets that share one are a candidate pair if they are close enough in size
+   and what follows the n-gram in either could be enough (it is, at the first that
+   they share). A pair is tied if the sets' histograms over hash classes could
+   overlap enough: chance pairs fail this, so blocks do not grow together by
+   chance. The sets of a long list are tied without it. What is tied falls into
+   blocks. Most texts are in none and are done.
 2. Counts. The sets of a block (large blocks by chunks of close sizes, against each
    other) are cut into segments. A task counts the overlaps of one fragment, as a
    matrix over the chunk's sets; the matrices are summed, and pairs beyond the
@@ -37,6 +41,8 @@ FREQUENT, AT_LEAST = 0.00003, 8  # share and number of texts from which an n-gra
 CHUNK = 1024  # sets in a chunk of a block, about
 SLAB = 2048  # columns of a matrix product
 FRAGMENT_BITS = 3
+LIST = 64  # sets with one n-gram whose pairs are looked at one by one
+CLASS = 8  # elements a class of a histogram, at least
 _HOT = np.uint64(1 << 63)
 
 
@@ -85,12 +91,35 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(own.alias("_key"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_hash"), F.col(f"`{text}`").alias("_text"))
 
 
-_PASSED = "bucket long, block binary, key long, hash long, n long, node string, root string"
-_NAMES = ["bucket", "block", "key", "hash", "n", "node", "root"]
+def histograms(keys: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Elements of each set by the low bits of their hash, a byte a class (255:
+    that many or more). The number of classes is a power of two that grows with
+    the set: a chance pair's classes differ by more than links allow."""
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        classes = 1 << min(10, max(4, ((b - a) // CLASS).bit_length() - 1))
+        counts = np.bincount((keys[a:b] & np.uint64(classes - 1)).astype(np.int64), minlength=classes)
+        out.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+    return out
+
+
+def may_link(one: bytes, other: bytes, sizes: tuple[int, int], percent: int) -> bool:
+    """Whether sets with these histograms could overlap enough."""
+    a, b = np.frombuffer(one, np.uint8), np.frombuffer(other, np.uint8)
+    if a.max() == 255 or b.max() == 255:
+        return True
+    classes = min(len(a), len(b))
+    most = np.minimum(a.reshape(-1, classes).sum(0), b.reshape(-1, classes).sum(0)).sum()
+    return (100 + percent) * int(most) >= percent * sum(sizes)
+
+
+_PASSED = "bucket long, block binary, key long, hash long, n long, node string, root string, sketch binary, sure boolean"
+_NAMES = ["bucket", "block", "key", "hash", "n", "node", "root", "sketch", "sure"]
 
 
 def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets: int) -> DataFrame:
-    """Per text ``key``, ``hash``, ``n`` and ``node``; per tied set ``node`` and ``root``."""
+    """Per text ``key``, ``hash``, ``n``, ``node`` and ``sketch``; per candidate
+    pair, or surely tied set, ``node`` and ``root``."""
 
     def send(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -104,8 +133,12 @@ def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets:
                 place = mixed(part.column(1).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(buckets)
                 none, nothing = pa.nulls(m, pa.binary()), pa.nulls(m, pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(place.astype(np.int64)), none, part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(names, pa.string()), nothing], _NAMES
-                )
+                    [
+                        pa.array(place.astype(np.int64)), none, part.column(0), part.column(1), pa.array(size, pa.int64()),
+                        pa.array(names, pa.string()), nothing, pa.array(histograms(keys, bounds), pa.binary()), pa.nulls(m, pa.bool_()),
+                    ],
+                    _NAMES,
+                )
                 # the first n-grams of each different set
                 alone = np.unique(np.stack([node, size.astype(np.uint64)], 1), axis=0, return_index=True)[1] if m else np.zeros(0, np.int64)
                 alone = alone[size[alone] > 0]
@@ -115,17 +148,17 @@ def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets:
                 gram = keys[bounds[row] + step]
                 bucket = (mixed(gram) % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
-                row, gram, bucket = row[order], gram[order], bucket[order]
+                row, gram, bucket, step = row[order], gram[order], bucket[order], step[order].astype(np.int32)
                 out, at = [], []
                 for piece in np.split(np.arange(len(row)), np.flatnonzero(np.diff(bucket)) + 1):
                     if len(piece):
                         own = row[piece]
-                        raw = np.int64(len(piece)).tobytes() + gram[piece].tobytes() + node[own].tobytes() + size[own].astype(np.int32).tobytes()
+                        raw = np.int64(len(piece)).tobytes() + gram[piece].tobytes() + node[own].tobytes() + size[own].astype(np.int32).tobytes() + step[piece].tobytes()
                         out.append(press.compress(raw))
                         at.append(int(bucket[piece[0]]))
                 k = len(out)
                 longs, words = pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary()), longs, longs, longs, words, words], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary()), longs, longs, longs, words, words, pa.nulls(k, pa.binary()), pa.nulls(k, pa.bool_())], _NAMES)
 
     def receive(batches):
         held, bucket = [], None
@@ -149,35 +182,72 @@ def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets:
 
 
 def _tied(blocks: list[bytes], percent: int):
-    """Sets of one bucket that share an n-gram, through sets of close size, as
-    stars. In the order of size, two sets close enough have only such between them."""
-    grams, names, sizes = [], [], []
+    """Candidate pairs of one bucket: sets that share an n-gram, close in size,
+    with enough after it. The sets of a long list are tied as stars through sets of
+    close size: in the order of size, two sets close enough have only such between them."""
+    columns = [[], [], [], []]
     for block in blocks:
         raw = zstandard.ZstdDecompressor().decompress(block)
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        grams.append(np.frombuffer(raw, np.uint64, n, 8))
-        names.append(np.frombuffer(raw, np.uint64, n, 8 + 8 * n))
-        sizes.append(np.frombuffer(raw, np.int32, n, 8 + 16 * n))
-    gram, node, size = np.concatenate(grams), np.concatenate(names), np.concatenate(sizes).astype(np.int64)
+        for column, kind, at in zip(columns, (np.uint64, np.uint64, np.int32, np.int32), (8, 8 + 8 * n, 8 + 16 * n, 8 + 20 * n), strict=True):
+            column.append(np.frombuffer(raw, kind, n, at))
+    gram, node = (np.concatenate(c) for c in columns[:2])
+    size, step = (np.concatenate(c).astype(np.int64) for c in columns[2:])
     order = np.lexsort((node, size, gram))
-    gram, node, size = gram[order], node[order], size[order]
-    pair = (gram[1:] == gram[:-1]) & (100 * size[:-1] >= percent * size[1:]) & ((node[1:] != node[:-1]) | (size[1:] != size[:-1]))
-    at = np.flatnonzero(pair)
-    if not len(at):
+    gram, node, size, step = gram[order], node[order], size[order], step[order]
+    starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    length = np.diff(np.append(starts, len(gram)))
+    short = np.repeat(length <= LIST, length)
+    ends = np.repeat(starts + length, length)
+    left, right = [], []
+    for apart in range(1, min(LIST, int(length.max(initial=0)))):
+        a = np.flatnonzero(short & (np.arange(len(gram)) + apart < ends))
+        if not len(a):
+            break
+        b = a + apart
+        need = percent * (size[a] + size[b])
+        rest = np.minimum(size[a] - step[a], size[b] - step[b])
+        close = (100 * size[a] >= percent * size[b]) & ((100 + percent) * rest >= need) & ((node[a] != node[b]) | (size[a] != size[b]))
+        left.append(a[close])
+        right.append(b[close])
+    long = ~short[1:] & (gram[1:] == gram[:-1]) & (100 * size[:-1] >= percent * size[1:]) & ((node[1:] != node[:-1]) | (size[1:] != size[:-1]))
+    at = np.flatnonzero(long)
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
+    used = np.unique(np.concatenate([a, b, at, at + 1]))
+    if not len(used):
         return
-    used = np.unique(np.concatenate([at, at + 1]))
     both, index = np.unique(np.stack([node[used], size[used].astype(np.uint64)], 1), axis=0, return_inverse=True)
     place = np.zeros(len(node), np.int64)
     place[used] = index.ravel()
+    named = np.array(_named(both[:, 0], both[:, 1]))
+    pairs = np.unique(np.sort(np.stack([place[a], place[b]], 1), axis=1), axis=0)
     roots = local_roots(len(both), place[at], place[at + 1])
-    named = _named(both[:, 0], both[:, 1])
     other = np.flatnonzero(roots != np.arange(len(both)))
-    k = len(other)
-    if k:
-        empty = pa.nulls(k, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [empty, empty, empty, pa.array([named[i] for i in other]), pa.array([named[i] for i in roots[other]])], _NAMES[2:]
-        )
+    for u, v, sure in ((pairs[:, 0], pairs[:, 1], False), (other, roots[other], True)):
+        k = len(u)
+        if k:
+            empty = pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [empty, empty, empty, pa.array(named[u].tolist()), pa.array(named[v].tolist()), pa.nulls(k, pa.binary()), pa.array([sure] * k)], _NAMES[2:]
+            )
+
+
+def _ties(passed: DataFrame, percent: int) -> DataFrame:
+    """``u``, ``v``: candidate pairs whose histograms allow a link, and sure ties."""
+    names = [F.least("node", "root").alias("u"), F.greatest("node", "root").alias("v")]
+    pairs = passed.where("root IS NOT NULL AND NOT sure").select(*names).distinct()
+    sketches = passed.where("root IS NULL AND n > 0").groupBy("node").agg(F.min("sketch").alias("sketch"))
+    sketches = materialise(sketches, "sketches")
+    for end in ("u", "v"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(end), F.col("sketch").alias(f"s_{end}")), end)
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("u", "v", "s_u", "s_v")), strict=True)
+            kept = [may_link(x, y, (int(u[16:], 16), int(v[16:], 16)), percent) for u, v, x, y in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
+
+    return pairs.mapInArrow(run, "u string, v string").union(passed.where("sure").select(*names))
 
 
 def _dealt(members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -337,7 +407,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SH
     hot = widespread(rows, "_text", lambda column: shingle_sets(column, NOWHERE, n)[0], many, 4 * parts, parts)
     passed = materialise(_candidates(rows, hot, n, percent, 4 * parts), "candidates")
     texts = passed.where("root IS NULL").select("key", "hash", "n", "node")
-    blocks = materialise(components(passed.where("root IS NOT NULL").select(F.col("node").alias("u"), F.col("root").alias("v"))), "blocks")
+    blocks = materialise(components(_ties(passed, percent)), "blocks")
     # one text for each set of a block
     members = texts.join(blocks.select("node", F.col("label").alias("block")), "node")
     members = members.groupBy("node", "block", "n").agg(F.min("hash").alias("hash"))
@@ -389,16 +459,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     first = rows.groupBy("label").agg(F.min(F.struct("place", "hash")).alias("first"))
     drop = rows.where("n > 0").join(first, "label").where(F.struct("place", "hash") != F.col("first")).select("place", "hash").distinct()
     drop = broadcast_if_small(materialise(drop.select(F.col("place").alias("__p"), F.col("hash").alias("__h")), "dropped"))
-    marked = docs.withColumns(
-        {
-            "__place": F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1)),
-            "__hash": F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))),
-        }
-    )
-    kept = marked.join(drop, (F.col("__place") == F.col("__p")) & (F.col("__hash") == F.col("__h")), "left_anti")
+    own = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]  # whatever the names, none of them clashes
+    place = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit((1 << 63) - 1))
+    marked = docs.select(*own, place.alias("_place"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("_hash"))
+    same = (F.col("_place") == F.col("__p")) & (F.col("_hash") == F.col("__h"))
+    kept = marked.join(drop, same, "left_anti")
     twice = rows.where("n > 0").groupBy("place", "hash").agg(F.count("*").alias("c")).where("c > 1")
     if not twice.isEmpty():  # rows equal in key and text: only those are dealt out
         twice = broadcast_if_small(materialise(twice.select(F.col("place").alias("__p"), F.col("hash").alias("__h")), "twice"))
-        same = (F.col("__place") == F.col("__p")) & (F.col("__hash") == F.col("__h"))
-        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["__place", "__hash"]))
-    return kept.drop("__place", "__hash")
+        kept = kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["_place", "_hash"]))
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -208,6 +208,56 @@ def alike_groups(rows, n, percent):
     return least
 
 
+def test_histograms_let_all_links_pass():
+    rnd = random.Random(3)
+    passed = 0
+    for _ in range(400):
+        size = rnd.randrange(1, 900)
+        base = [rnd.getrandbits(63) for _ in range(size + 200)]
+        one, other = set(base[:size]), set(base[rnd.randrange(0, max(1, size // 5)) : size + rnd.randrange(0, 60)])
+        if not other:
+            continue
+        flat = [np.sort(np.array(list(s), np.uint64)) for s in (one, other)]
+        sketches = jaccard_join.histograms(np.concatenate(flat), np.array([0, len(one), len(one) + len(other)]))
+        for percent in (80, 85):
+            if 100 * len(one & other) >= percent * len(one | other):
+                assert jaccard_join.may_link(*sketches, (len(one), len(other)), percent)
+                passed += 1
+    assert passed > 50
+    # a class of 255 or more tells nothing
+    assert jaccard_join.may_link(bytes([255] * 16), bytes([0] * 16), (9000, 9000), 85)
+
+
+@pytest.mark.parametrize("limit", [2, 64])
+def test_chance_ties_make_no_blocks(spark, monkeypatch, limit):
+    """Texts of common words share n-grams with many others; pairs of them are
+    candidates and go, while the near copies among them link."""
+    monkeypatch.setattr(jaccard_join, "LIST", limit)
+    rnd = random.Random(21)
+    stock = [" ".join(f"s{rnd.randrange(30)}" for _ in range(4)) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(stock) for _ in range(25))) for i in range(200)]
+    for i in range(0, 200, 10):
+        own = rows[i][1].split(" ")
+        own[50] = "changed"
+        rows.append((1000 + i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(6)
+    want, _ = jaccard_groups(rows)
+    got = jaccard_join.jaccard_components(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == sorted(want)
+    hot = jaccard_join.NOWHERE
+    passed = jaccard_join._candidates(jaccard_join._keyed(docs, "doc_id", "text"), hot, 4, 85, 16).cache()
+    if limit == 64:
+        assert passed.where("root IS NOT NULL").select("node", "root").distinct().count() > 40
+        assert jaccard_join._ties(passed, 85).distinct().count() <= 25
+    passed.unpersist()
+
+
+def test_one_of_each_takes_any_names(spark):
+    rows = [(1, "a b c d e f", 5, "x", "p", 7), (2, "a b c d e f", 6, "y", "q", 8), (3, "other words", 7, "z", "r", 9)]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, __place INT, __hash STRING, c0 STRING, _hash INT")
+    assert sorted(tuple(r) for r in jaccard_join.one_of_each(docs).collect()) == [rows[0], rows[2]]
+
+
 def test_sizes_far_apart_in_a_large_block(spark, monkeypatch):
     """80 and 95 n-grams link at 80 percent; under classes for 85 they would be two apart."""
     monkeypatch.setattr(jaccard_join, "CHUNK", 1)

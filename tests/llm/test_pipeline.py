@@ -12,7 +12,7 @@ from gleaner.llm import mixing, queries, sql
 from gleaner.llm.bytelevel import read_ranks
 from gleaner.runtime import materialise
 
-from .test_dedup import alike_groups, jaccard_groups
+from .test_dedup import alike_groups
 from .test_models import exact_spans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -21,7 +21,7 @@ FOLDER = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(sql.statements()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "labels"):
+    for table in ("documents", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     want = con.sql(sql.statements()[name]).to_arrow_table()
     got = queries.REGISTRY[name](spark, FOLDER).toArrow()
@@ -31,7 +31,7 @@ def test_sql(spark, name):
 
 
 def test_names():
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.REGISTRY} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in queries.REGISTRY} == set(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "near_copies", "personal_data", "source_mix", "byte_bpe"]
 
 
@@ -53,8 +53,8 @@ def test_stages_one_by_one(spark):
 
     single = after("near_copies", good)
     rows = [(r["doc_id"], r["text"]) for r in good.collect()]
-    want, _ = jaccard_groups(rows)
-    assert sorted(str(r["doc_id"]) for r in single.collect()) == sorted({c for _, _, c in want})
+    least = alike_groups(rows, corpus_pipeline.NEAR_WORDS, corpus_pipeline.NEAR_PERCENT)
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(set(least.values()))
 
     masked = after("personal_data", single)
     for r in masked.collect():
