@@ -10,7 +10,7 @@ fragment by itself and summed per pair.
    and what follows the n-gram in either could be enough (it is, at the first that
    they share). A pair is tied if the sets' histograms over hash classes could
    overlap enough: chance pairs fail this, so blocks do not grow together by
-   chance. The sets of a long list are tied without it. What is tied falls into
+   chance. The sets of a long list, or one of a widespread n-gram, are tied without it. What is tied falls into
    blocks. Most texts are in none and are done.
 2. Counts. The sets of a block (large blocks by chunks of close sizes, against each
    other) are cut into segments. A task counts the overlaps of one fragment, as a
@@ -197,7 +197,8 @@ def _tied(blocks: list[bytes], percent: int):
     gram, node, size, step = gram[order], node[order], size[order], step[order]
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     length = np.diff(np.append(starts, len(gram)))
-    short = np.repeat(length <= LIST, length)
+    # widespread n-grams are what large groups of near copies share: a star does for them
+    short = np.repeat((length <= LIST) & (gram[starts] < _HOT), length)
     ends = np.repeat(starts + length, length)
     left, right = [], []
     for apart in range(1, min(LIST, int(length.max(initial=0)))):
@@ -224,11 +225,12 @@ def _tied(blocks: list[bytes], percent: int):
     roots = local_roots(len(both), place[at], place[at + 1])
     other = np.flatnonzero(roots != np.arange(len(both)))
     for u, v, sure in ((pairs[:, 0], pairs[:, 1], False), (other, roots[other], True)):
-        k = len(u)
-        if k:
+        for at in range(0, len(u), 50_000):
+            one, two = named[u[at : at + 50_000]], named[v[at : at + 50_000]]
+            k = len(one)
             empty = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [empty, empty, empty, pa.array(named[u].tolist()), pa.array(named[v].tolist()), pa.nulls(k, pa.binary()), pa.array([sure] * k)], _NAMES[2:]
+                [empty, empty, empty, pa.array(one.tolist()), pa.array(two.tolist()), pa.nulls(k, pa.binary()), pa.array([sure] * k)], _NAMES[2:]
             )
 
 
