@@ -20,7 +20,11 @@ def fit_language(spark, a):
 
 
 def clean_warcs(spark, a):
-    paths = lines.listed_files(spark, a.list, a.warcs, a.first, a.last) if a.list else a.warcs
+    paths, missing = lines.listed_files(spark, a.list, a.warcs, a.first, a.last) if a.list else (a.warcs, [])
+    if missing:
+        print(f"listed files that are not there: {len(missing)}", *missing[:10], sep="\n  ")
+    if not paths:
+        raise SystemExit("no listed file is there")
     curated = tables.read_curated(spark, a.curated, "url") if a.curated else None
     pages = clean_pages.clean_warc(
         warc.read_warc(spark, paths),
@@ -70,7 +74,7 @@ def train(spark, a):
     trained = train_probe.train_quality_probe(sample, a.features)
     trained.scores.show()
     trained.report.show()
-    probe.save_model(trained.model, a.model)
+    probe.save_model(spark, trained.model, a.model)
 
 
 def rerank_runs(spark, a):

@@ -67,6 +67,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def file_exists(spark: SparkSession, name: str) -> bool:
+    """Whether a file or folder is there, on whatever file system it names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _delete(spark: SparkSession, name: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

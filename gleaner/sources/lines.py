@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text, urls
+from ..runtime import file_exists
 
 
 def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -30,14 +31,20 @@ def path_slice(paths: list[str], first: int = 0, last: int | None = None) -> lis
     return paths[first:] if last is None else paths[first : last + 1]
 
 
-def listed_files(spark: SparkSession, list_file: str, folder: str, first: int = 0, last: int | None = None) -> list[str]:
-    """Local names in ``folder`` of a path-list file, or of a slice of it.
+def listed_files(
+    spark: SparkSession, list_file: str, folder: str, first: int = 0, last: int | None = None
+) -> tuple[list[str], list[str]]:
+    """Local names in ``folder`` of a path-list file, or of a slice of it: those
+    that are there, and those that are not. A listed file that was not fetched is
+    no reason to stop; the caller reports it.
 
     File names are metadata the scan needs before it starts; the list has one
     line per crawl file and is read in file order.
     """
     listed = [row["path"] for row in path_list(read_lines(spark, list_file).coalesce(1)).collect()]
-    return [f"{folder.rstrip('/')}/{path.rsplit('/', 1)[-1]}" for path in path_slice(listed, first, last)]
+    names = [f"{folder.rstrip('/')}/{path.rsplit('/', 1)[-1]}" for path in path_slice(listed, first, last)]
+    here = {name for name in names if file_exists(spark, name)}
+    return [n for n in names if n in here], [n for n in names if n not in here]
 
 
 def article_list(lines: DataFrame, base: str = "https://en.wikipedia.org") -> DataFrame:

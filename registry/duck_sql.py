@@ -10,6 +10,7 @@ from html import entities as standard_names
 
 from gleaner.functions.text import WHITESPACE
 
+from . import duck_probe
 from .fixtures import BAD_HOSTS, NAV
 
 ANCHOR = r"(?i)<a\s"
@@ -386,4 +387,4 @@ def statements() -> dict[str, str]:
               AND url NOT IN (SELECT url FROM blocked)), {language_ctes('clean', 'page_id')}
             SELECT url, text FROM clean SEMI JOIN (SELECT page_id FROM best WHERE lang = 'en' AND p > 0.6) USING (page_id)
             WHERE length(text) > 0""",
-    }
+    } | duck_probe.statements(order, held_out)

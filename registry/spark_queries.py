@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -469,7 +468,7 @@ def _texts_with_label(spark, d):
 def text_features(spark, d):
     docs = _texts_with_label(spark, d)
     made = probe.text_features().fit(docs).transform(docs)
-    values = vector_to_array("features")
+    values = F.col("features.x")
     return made.select(
         "doc_id", F.size(F.filter(values, lambda x: x > 0)).alias("n_features"),
         r6(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), 3).alias("weight"),
@@ -484,8 +483,7 @@ def _vectors_with_label(spark, d):
 @query
 def linear_probe(spark, d):
     rows = _vectors_with_label(spark, d)
-    fitted = probe.linear_probe().fit(rows)
-    return fitted.transform(rows).select("vec_id", r6("logit", 4).alias("logit"))
+    return probe.with_logit(rows, probe.linear_probe(rows)).select("vec_id", r6("logit", 4).alias("logit"))
 
 
 @query
@@ -493,18 +491,32 @@ def probe_gradient(spark, d):
     """At the least-squares fit the residuals are orthogonal to every feature
     and to the constant: the sums below vanish."""
     rows = _vectors_with_label(spark, d)
-    fitted = probe.linear_probe().fit(rows).transform(rows)
-    values = F.array_append(vector_to_array("features"), F.lit(1.0))
-    terms = fitted.select(F.col("label"), F.col("logit"), F.posexplode(values).alias("feature", "x"))
+    fitted = probe.with_logit(rows, probe.linear_probe(rows))
+    terms = fitted.select(F.col("label"), F.col("logit"), F.posexplode(F.array_append("features", F.lit(1.0))).alias("feature", "x"))
     gap = F.abs(F.sum((F.col("label") - F.col("logit")) * F.col("x")))
     return terms.groupBy("feature").agg(r6(gap).alias("gradient"), F.count("*").alias("n"))
 
 
+@query
+def grid_gradient(spark, d):
+    """For each penalty of the grid, the gradient of the penalised squared error
+    along every feature and the constant at its fit: all vanish."""
+    rows = _vectors_with_label(spark, d)
+    probes = probe.probe_grid(rows, (0.0, 0.01, 0.1))
+    outputs = F.array(*[F.struct(F.lit(p.penalty).alias("reg"), p.output().alias("logit")) for p in probes])
+    terms = rows.select("label", "features", F.inline(outputs))
+    terms = terms.select("reg", "label", "logit", F.posexplode(F.array_append("features", F.lit(1.0))).alias("feature", "x"))
+    pull = terms.groupBy("reg", "feature").agg(F.avg((F.col("label") - F.col("logit")) * F.col("x")).alias("pull"), F.count("*").alias("n"))
+    weights = F.create_map(*[x for p in probes for x in (F.lit(p.penalty), F.lit([float(w) * p.penalty for w in p.coefficients] + [0.0]))])
+    held = F.get(F.element_at(weights, F.col("reg")), F.col("feature"))
+    return pull.select("reg", "feature", r6(F.abs(F.col("pull") - held)).alias("gradient"), "n")
+
+
 @query
 def best_probe(spark, d):
     rows = materialise(sampling.train_test_split(_vectors_with_label(spark, d), "vec_id"), "vectors")
     _, _, found = probe.best_probe(rows.where("split = 'train'"), rows.where("split = 'test'"))
-    return found
+    return found.select("reg", *[r6(c).alias(c) for c in ("precision", "recall", "f1_macro", "accuracy")])
 
 
 @query
@@ -512,13 +524,16 @@ def train_quality(spark, d):
     """Good and bad samples to a trained text probe; its held-out report."""
     docs = fx.labelled_documents(spark, d)
     sample = train_probe.labelled_sample(docs.where("quality = 1"), docs.where("quality = 0"), "doc_id", 500)
-    return train_probe.train_quality_probe(sample).report
+    found = train_probe.train_quality_probe(sample).report
+    return found.select("name", *[r6(c).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
 @query
 def score_corpus(spark, d):
-    model = probe.text_probe(_texts_with_label(spark, d))
-    scored = probe.score_corpus(fx.documents(spark, d, "doc_id", "text"), model)
+    """Scores of a probe that was saved and loaded again."""
+    path = scratch_path(spark, "probe")
+    probe.save_model(spark, probe.text_probe(_texts_with_label(spark, d)), path)
+    scored = probe.score_corpus(fx.documents(spark, d, "doc_id", "text"), probe.load_model(spark, path))
     return scored.select("doc_id", r6("score", 4).alias("score"))
 
 
@@ -526,15 +541,14 @@ def score_corpus(spark, d):
 def domain_classify(spark, d):
     rows = fx.embeddings(spark, d)
     centroids = pooling.mean_pool(rows, "label", "embedding")
-    found = probe.centroid_domains(rows, centroids)
-    return found.select("vec_id", "domain", r6(F.array_max("probabilities")).alias("p"))
+    return probe.centroid_domains(rows, centroids).select("vec_id", "domain", r6("p").alias("p"))
 
 
 @query
 def domain_regression(spark, d):
     rows = probe.vector_features(fx.embeddings(spark, d))
     model = probe.domain_model(rows.select("features", F.col("label").cast("double").alias("domain")))
-    return model.transform(rows).select("vec_id", F.col("class").cast("int").alias("class"))
+    return probe.domains(rows, model).select("vec_id", F.col("class").cast("int").alias("class"))
 
 
 # --- retrieval -------------------------------------------------------------

@@ -13,6 +13,8 @@ def test_clean_warcs(spark, folders, tmp_path, capsys):  # noqa: F811
     (tmp_path / "paths").write_text("x/none.warc.gz\nx/a.warc.gz\n")
     shared = ["--blocklist", str(folders / "lists"), "--model", str(tmp_path / "lid")]
     command.main(["clean-warcs", "--warcs", str(folders / "warc"), "--list", str(tmp_path / "paths"), "--out", str(tmp_path / "clean")] + shared)
+    said = capsys.readouterr().out
+    assert "not there: 1" in said and "none.warc.gz" in said
     got = spark.read.parquet(str(tmp_path / "clean")).collect()
     assert [(r["url"], r["warc_file"]) for r in got] == [("http://ok.example/en", "a")] * 2
     command.main(["clean-warcs", "--warcs", str(folders / "warc"), "--csv", "--out", str(tmp_path / "csv")] + shared)
@@ -37,7 +39,7 @@ def test_train(spark, tmp_path, capsys):
     command.main(["train", "--good", str(tmp_path / "good"), "--bad", str(tmp_path / "bad"), "--model", str(tmp_path / "m"), "--rows", "50", "--features", "64"])
     assert "accuracy" in capsys.readouterr().out
     texts = spark.createDataFrame([("fine careful prose",), ("spam buy",)], "text STRING")
-    good, bad = (r["score"] for r in probe.score_corpus(texts, probe.load_model(str(tmp_path / "m"))).collect())
+    good, bad = (r["score"] for r in probe.score_corpus(texts, probe.load_model(spark, str(tmp_path / "m"))).collect())
     assert good > bad
 
 

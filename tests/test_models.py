@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter
@@ -6,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import boilerplate, language, lookup, perplexity, pooling, probe
+from gleaner.operators import boilerplate, language, lookup, perplexity, pooling, probe, ridge
 from gleaner.operators.scores import macro_metrics
 
 DOCS = [
@@ -160,51 +161,115 @@ def vectors(spark, n=300, size=6):
     return x, y, probe.vector_features(rows).cache()
 
 
-def test_probe_equals_least_squares(spark):
+def test_probe_equals_least_squares(spark, monkeypatch):
     x, y, rows = vectors(spark)
-    model = probe.linear_probe().fit(rows)
     want, *_ = np.linalg.lstsq(np.c_[x, np.ones(len(x))], y, rcond=None)
-    np.testing.assert_allclose([*model.coefficients, model.intercept], want, atol=1e-10)
+    for block in (256, 3):  # products in one block and in several
+        monkeypatch.setattr(ridge, "BLOCK", block)
+        model = probe.linear_probe(rows.repartition(7))
+        np.testing.assert_allclose([*model.coefficients, model.intercept], want, atol=1e-10)
     scored = probe.score_corpus(rows, model).first()
     assert scored["score"] == pytest.approx(1 / (1 + math.exp(-scored["logit"])))
 
 
+@pytest.mark.parametrize("size", [6, 40])
+def test_grid_from_one_pass(spark, size):
+    """Dependent features too: without penalty the fit of smallest norm."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(30, size))
+    x[:, 1], x[:, 2] = 2 * x[:, 0], 0.5
+    y = rng.normal(size=30)
+    rows = spark.createDataFrame([([float(v) for v in a], float(b)) for a, b in zip(x, y)], "features ARRAY<DOUBLE>, label DOUBLE")
+    gap = x - x.mean(0)
+    for found in probe.probe_grid(rows, (0.0, 0.1, 3.0)):
+        if found.penalty:
+            want = np.linalg.solve(gap.T @ gap / 30 + found.penalty * np.eye(size), gap.T @ (y - y.mean()) / 30)
+        else:
+            want = np.linalg.pinv(gap, rcond=1e-9) @ (y - y.mean())
+        np.testing.assert_allclose(found.coefficients, want, atol=1e-8)
+        np.testing.assert_allclose(found.intercept, y.mean() - x.mean(0) @ want, atol=1e-8)
+
+
+def test_grid_of_odd_rows(spark):
+    shape = "features ARRAY<DOUBLE>, label DOUBLE"
+    rows = spark.createDataFrame([([1.0, 2.0], 1.0), (None, 1.0), ([5.0, 5.0], None)], shape)
+    only = probe.linear_probe(rows)
+    assert only.intercept == 1.0 and not only.coefficients.any()
+    with pytest.raises(ValueError, match="no labelled rows"):
+        probe.linear_probe(rows.limit(0), size=2)
+    with pytest.raises(ValueError, match="features"):
+        ridge.products(rows, 5000)
+
+
 def test_best_probe_prefers_the_smaller_penalty_among_ties(spark):
     _, _, rows = vectors(spark)
     train, test = rows.where("id < 200"), rows.where("id >= 200")
     model, reg, found = probe.best_probe(train, test, grid=(1e-9, 0.0, 50.0))
     scores = {r["reg"]: r["f1_macro"] for r in found.collect()}
     assert reg == 0.0 and scores[0.0] == scores[1e-9] >= scores[50.0]
-    decided = probe.decide(model.transform(test)).select(F.col("label").cast("int").alias("label"), "pred")
+    decided = probe.decide(probe.with_logit(test, model)).select(F.col("label").cast("int").alias("label"), "pred")
     assert macro_metrics(decided).first()["f1_macro"] == pytest.approx(scores[0.0])
 
 
 def test_text_probe_survives_saving(spark, docs, tmp_path):
     rows = docs.where("lang IS NOT NULL").withColumn("label", (F.col("lang") == "en").cast("double"))
-    model = probe.text_probe(rows, size=64, reg=0.1)
-    probe.save_model(model, str(tmp_path / "m"))
+    model = probe.text_probe(rows, size=64, penalty=0.1)
+    probe.save_model(spark, model, str(tmp_path / "m"))
     a, b = (
         sorted(probe.score_corpus(docs, m).select("doc_id", "score").collect())
-        for m in (model, probe.load_model(str(tmp_path / "m")))
+        for m in (model, probe.load_model(spark, str(tmp_path / "m")))
     )
     assert a == b and len(a) == len(DOCS)
 
 
+def test_hashed_words(spark):
+    texts = [(1, "The cat, the HAT"), (2, None), (3, ""), (4, "cat cat"), (5, "été 12")]
+    rows = spark.createDataFrame(texts, "id INT, text STRING").repartition(3)
+    made = probe.text_features(size=32).fit(rows)
+    counts = {}
+    for i, t in texts:
+        own = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 32 for w in tokens(t or ""))
+        counts[i] = own
+    seen = Counter(b for own in counts.values() for b in own)
+    for r in made.transform(rows).collect():
+        want = [(b, n * math.log(6 / (seen[b] + 1))) for b, n in sorted(counts[r["id"]].items())]
+        assert r["features"]["at"] == [b for b, _ in want]
+        np.testing.assert_allclose(r["features"]["x"], [x for _, x in want])
+
+
 def test_truncation_is_an_option(spark):
     rows = spark.createDataFrame([(1, "a b c d"), (2, "A b")], "id INT, text STRING")
 
     def used(**options):
         made = probe.text_features(size=1 << 16, **options).fit(rows).transform(rows.union(rows)).orderBy("id").collect()
-        return made[0]["features"].indices.size, made[-1]["features"].indices.size
+        return len(made[0]["features"]["at"]), len(made[-1]["features"]["at"])
 
     assert used() == (4, 2) and used(max_tokens=2) == (2, 2)
     assert probe.text_features().fit(rows).transform(rows).columns == ["id", "text", "features"]
 
 
-def test_domains_by_centroid(spark):
+@pytest.mark.parametrize("block", [1 << 20, 16])
+def test_domains_by_centroid(spark, block):
     rows = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.8, 0.2], "x"), (3, [0.0, 1.0], "y")], "id INT, embedding ARRAY<FLOAT>, label STRING")
     centroids = pooling.mean_pool(rows, "label", "embedding")
-    got = probe.centroid_domains(rows, centroids).orderBy("id").collect()
+    got = probe.centroid_domains(rows, centroids, "id", block_bytes=block).orderBy("id").collect()
     assert [r["domain"] for r in got] == ["x", "x", "y"]
-    e = np.exp([0.9, 0.1])
-    np.testing.assert_allclose(got[0]["probabilities"], [e[0] / (e[0] + math.exp(0)), math.exp(0) / (e[0] + math.exp(0))], atol=1e-7)
+    assert got[0]["p"] == pytest.approx(math.exp(0.9) / (math.exp(0.9) + 1))
+    assert probe.centroid_domains(rows, centroids.limit(0), "id").count() == 0
+
+
+def test_thousands_of_domains(spark):
+    """More classes than one block holds, against a plain softmax; ties by name."""
+    rng = np.random.default_rng(5)
+    classes, points = rng.normal(size=(5000, 8)), rng.normal(size=(40, 8))
+    points[0], classes[3] = 5 * classes[3], 3 * classes[3]
+    classes[17] = classes[3]
+    centroids = spark.createDataFrame([(f"c{i:04d}", [float(v) for v in c]) for i, c in enumerate(classes)], "label STRING, embedding ARRAY<DOUBLE>")
+    rows = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "vec_id INT, embedding ARRAY<DOUBLE>")
+    sims = points @ classes.T
+    share = np.exp(sims - sims.max(1, keepdims=True))
+    share /= share.sum(1, keepdims=True)
+    for r in probe.centroid_domains(rows, centroids, block_bytes=64_000).collect():
+        i = r["vec_id"]
+        assert r["domain"] == f"c{sims[i].argmax():04d}" and r["p"] == pytest.approx(share[i].max())
+    assert sims[0].argmax() == 3

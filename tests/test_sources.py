@@ -86,10 +86,12 @@ def test_path_list(spark, tmp_path):
         lines.path_list(values(spark, rows), "regex")
     with gzip.open(tmp_path / "paths.gz", "wt") as f:
         f.write("".join(f"crawl/x/{i}.warc.gz\n" for i in range(8)))
-    listed = lines.listed_files(spark, str(tmp_path / "paths.gz"), "/data/")
-    assert listed == [f"/data/{i}.warc.gz" for i in range(8)]
-    some = lines.listed_files(spark, str(tmp_path / "paths.gz"), "/data/", first=1, last=5)
-    assert some == [f"/data/{i}.warc.gz" for i in range(1, 6)]
+    for i in range(7):
+        (tmp_path / f"{i}.warc.gz").write_text("")
+    folder = str(tmp_path)
+    here, missing = lines.listed_files(spark, str(tmp_path / "paths.gz"), folder + "/")
+    assert here == [f"{folder}/{i}.warc.gz" for i in range(7)] and missing == [f"{folder}/7.warc.gz"]
+    assert lines.listed_files(spark, str(tmp_path / "paths.gz"), folder, first=1, last=5) == ([f"{folder}/{i}.warc.gz" for i in range(1, 6)], [])
 
 
 def test_article_list(spark):
