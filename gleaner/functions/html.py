@@ -168,6 +168,74 @@ def article_text(html: Column) -> Column:
     return html_to_text(F.when(F.size(bodies) > 0, F.array_join(bodies, "\n")).otherwise(html))
 
 
+# Main block: what a block is worth, in characters.
+BLOCK_COST = 20  # of a block with text, which must hold more than this to count for a run
+LINK_COST = 3  # of each character inside a link
+GOOD_HINT, BAD_HINT = 25, -75  # of a class, an id or an element that tells
+GOOD_WORDS = "article|content|entry|main|post|story|text"
+BAD_WORDS = "nav|menu|footer|sidebar|comment|promo|share|related|sponsor"
+SECTIONS = ["nav", "footer", "aside", "header", "form", "button", "select"]
+BLOCK_TAG = r"(?i)(</?(?:" + "|".join([*BREAKING, *SECTIONS]) + r")(?:\s[^>]*)?/?>)"
+BLOCK_MARK = "\u0001"
+_SPACES = r"[ \t\r\f\n]+"
+
+
+def _scored_block(piece: Column) -> Column:
+    """Text (entities as they are) and score of a block with its opening tag."""
+    tag = F.regexp_extract(piece, r"^<[^>]*>", 0)
+    body = F.substring(piece, F.char_length(tag) + 1, F.char_length(piece))
+    unlinked = F.regexp_replace(body, r"(?is)<a(?:\s[^>]*)?>.*?(?:</a\s*>|\z)", " ")
+    text, plain = (F.btrim(F.regexp_replace(strip_tags(x), _SPACES, " ")) for x in (body, unlinked))
+    named = r"(?i)\s(?:class|id)\s*=[^>]*(?:{})"
+    hint = (
+        F.when(tag.rlike(named.format(BAD_WORDS)) | tag.rlike(rf"(?i)^<(?:{'|'.join(SECTIONS)})[\s>]"), BAD_HINT)
+        .when(tag.rlike(named.format(GOOD_WORDS)), GOOD_HINT)
+        .otherwise(0)
+    )
+    free = F.char_length(plain)
+    score = free - LINK_COST * F.greatest(F.char_length(text) - free, F.lit(0)) - F.when(text != "", BLOCK_COST).otherwise(0) + hint
+    return F.struct(text.alias("text"), score.alias("score"))
+
+
+def _best_run(blocks: Column) -> Column:
+    """``begin`` and ``end`` of the consecutive blocks with the largest sum of
+    scores; the first that ends, then the longest. Without a positive sum it is empty."""
+    zero = F.struct(*[F.lit(0).alias(n) for n in ("best", "begin", "end", "sum", "start", "at")])
+
+    def step(a: Column, block: Column) -> Column:
+        anew = a["sum"] < 0
+        total = F.when(anew, block["score"]).otherwise(a["sum"] + block["score"])
+        start = F.when(anew, a["at"]).otherwise(a["start"])
+        better = total > a["best"]
+        return F.struct(
+            F.when(better, total).otherwise(a["best"]).alias("best"),
+            F.when(better, start).otherwise(a["begin"]).alias("begin"),
+            F.when(better, a["at"] + 1).otherwise(a["end"]).alias("end"),
+            total.alias("sum"), start.alias("start"), (a["at"] + 1).alias("at"),
+        )
+
+    return F.aggregate(blocks, zero, step)
+
+
+def main_block(html: Column) -> Column:
+    """Text of the page's main part, a block per line.
+
+    The page is cut where block elements begin or end. A block is worth its text
+    outside links, less its text in links and a fixed cost, more or less what its
+    tag tells; the main part is the run of blocks with the largest sum. A page
+    without a run worth anything has an empty text.
+    """
+    page = F.regexp_replace(html, SILENT_PATTERN, " ")
+    pieces = F.split(F.regexp_replace(page, BLOCK_TAG, f"{BLOCK_MARK}$1"), BLOCK_MARK)
+
+    def chosen(blocks: Column) -> Column:
+        return let(_best_run(blocks), lambda run: F.slice(blocks["text"], run["begin"] + 1, run["end"] - run["begin"]))
+
+    lines = let(F.transform(pieces, _scored_block), chosen)
+    text = decode_entities(F.array_join(F.filter(lines, lambda x: x != ""), "\n"))
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"[ \t\r\f]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n"))
+
+
 def blocks(text: Column) -> Column:
     """The lines of extracted text, in order."""
     return F.split(text, "\n")

@@ -15,15 +15,18 @@ from ..sources import blocklist as bl
 from ..sources import warc
 
 
-def page_texts(pages: DataFrame, blocklist: DataFrame, match_parents: bool = False, article: bool = False) -> DataFrame:
-    """url, html pages to url, text pages: blocklist, extraction, empty filter.
+EXTRACTS = {"page": html.html_to_text, "article": html.article_text, "main": html.main_block}
+
+
+def page_texts(pages: DataFrame, blocklist: DataFrame, match_parents: bool = False, extract: str = "page") -> DataFrame:
+    """url, html pages to url, text pages: blocklist, extraction (one of
+    ``EXTRACTS``), empty filter.
 
     Row-local apart from the blocklist join, so it also runs on a stream. The
     blocklist comes first: extraction is the costly step.
     """
     allowed = drop_blocked(pages, bl.domains(blocklist), bl.blocked_urls(blocklist), match_parents)
-    extract = html.article_text if article else html.html_to_text
-    texts = computed(allowed, "text", extract(F.col("html"))).drop("html")
+    texts = computed(allowed, "text", EXTRACTS[extract](F.col("html"))).drop("html")
     return texts.where(has_text(F.col("text")))
 
 
@@ -36,6 +39,7 @@ def clean_pages(
     curated_urls: DataFrame | None = None,
     min_pages: int | None = None,
     page_id: str = "page_id",
+    extract: str = "page",
 ) -> DataFrame:
     """url, html pages to url, text pages in one language.
 
@@ -47,7 +51,7 @@ def clean_pages(
         pages = anti_join(pages, curated_urls, "url")
     # Later steps read the texts or their URLs again; reading and extracting
     # the raw pages twice would cost far more than this table.
-    texts = materialise(page_texts(pages, blocklist), "page-texts")
+    texts = materialise(page_texts(pages, blocklist, extract=extract), "page-texts")
     if min_pages is not None:
         texts = drop_boilerplate(texts, min_pages, page_id)
     return keep_language(texts, model, language, above, page_id)

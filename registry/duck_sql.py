@@ -107,6 +107,37 @@ def to_text(x: str) -> str:
     return f"trim({x}, ' ' || chr(10))"
 
 
+SILENT = r"(?is)<(script(\s[^>]*)?(>|$).*?(</script\s*>|$)|style(\s[^>]*)?(>|$).*?(</style\s*>|$)|!--.*?(-->|$)|title(\s[^>]*)?>[^<]*(</title\s*>)?)"
+
+
+def main_block() -> str:
+    """Scores of all blocks, sums of all runs by differences of running sums, the
+    best run of each page."""
+    elements = (
+        "p|br|h[1-6]|div|section|article|main|ul|ol|li|dl|dt|dd|table|tr|td|th|blockquote|pre|hr|title|nav|footer|aside|header|form|button|select"
+    )
+    marked = sub(sub("html", SILENT, "' '"), rf"(?i)(</?(?:{elements})(?:\s[^>]*)?/?>)", "chr(1) || '\\1'")
+    body = "substr(piece, length(tag) + 1)"
+    unlinked = sub(body, r"(?is)<a(\s[^>]*)?>.*?(</a\s*>|$)", "' '")
+    text, plain = (f"trim({sub(tags(x), '[ ' + chr(92) + 't' + chr(92) + 'r' + chr(92) + 'f' + chr(92) + 'n]+', chr(39) + ' ' + chr(39))})" for x in (body, unlinked))
+    decoded = sub(sub(entities("lines"), r"[ \t\r\f]+", "' '"), r" ?\n[ \n]*", "chr(10)")
+    return f"""WITH cut AS (SELECT page_id, string_split({marked}, chr(1)) AS pieces FROM pages),
+        pieces AS (SELECT page_id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM cut),
+        tagged AS (SELECT *, regexp_extract(piece, '^<[^>]*>') AS tag FROM pieces),
+        texts AS (SELECT page_id, i, tag, {text} AS text, length({plain}) AS free FROM tagged),
+        scores AS (SELECT page_id, i, text, free - 3 * greatest(length(text) - free, 0) - CASE WHEN text = '' THEN 0 ELSE 20 END
+          + CASE WHEN regexp_matches(tag, '(?i)\\s(class|id)\\s*=[^>]*(nav|menu|footer|sidebar|comment|promo|share|related|sponsor)')
+                   OR regexp_matches(tag, '(?i)^<(nav|footer|aside|header|form|button|select)[\\s>]') THEN -75
+                 WHEN regexp_matches(tag, '(?i)\\s(class|id)\\s*=[^>]*(article|content|entry|main|post|story|text)') THEN 25 ELSE 0 END AS score FROM texts),
+        sums AS (SELECT page_id, i, score, sum(score) OVER (PARTITION BY page_id ORDER BY i) AS s FROM scores),
+        runs AS (SELECT a.page_id, a.i AS first, b.i AS last FROM sums a JOIN sums b ON a.page_id = b.page_id AND a.i <= b.i
+          WHERE b.s - a.s + a.score > 0
+          QUALIFY row_number() OVER (PARTITION BY a.page_id ORDER BY b.s - a.s + a.score DESC, b.i, a.i) = 1),
+        found AS (SELECT page_id, string_agg(text, chr(10) ORDER BY i) AS lines FROM scores JOIN runs USING (page_id)
+          WHERE i BETWEEN first AND last AND text <> '' GROUP BY page_id)
+        SELECT page_id, trim({decoded}, ' ' || chr(10)) AS text FROM (SELECT page_id, coalesce(lines, '') AS lines FROM pages LEFT JOIN found USING (page_id))"""
+
+
 def authority(x: str) -> str:
     return f"regexp_extract({x}, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)"
 
@@ -265,6 +296,7 @@ def statements() -> dict[str, str]:
             SELECT page_id, url, text FROM clean SEMI JOIN (SELECT page_id FROM best WHERE lang = 'en' AND p > 0.6) USING (page_id)
             WHERE length(text) > 0""",
         "extract_text": f"WITH {TEXTS} SELECT page_id, text FROM texts",
+        "main_block": main_block(),
         "article_text": f"""WITH a AS (SELECT page_id, html, regexp_extract_all(html, {lit(ARTICLE)}, 1) AS parts FROM pages),
             b AS (SELECT page_id, CASE WHEN len(parts) > 0 THEN array_to_string(parts, {NL}) ELSE html END AS html FROM a)
             SELECT page_id, {to_text('html')} AS text FROM b""",

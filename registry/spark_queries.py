@@ -150,6 +150,11 @@ def extract_text(spark, d):
     return fx.page_texts(spark, d).select("page_id", "text")
 
 
+@query
+def main_block(spark, d):
+    return fx.pages(spark, d, "page_id", "html").select("page_id", html.main_block(F.col("html")).alias("text"))
+
+
 @query
 def article_text(spark, d):
     return fx.pages(spark, d, "page_id", "html").select("page_id", html.article_text(F.col("html")).alias("text"))

@@ -140,3 +140,36 @@ def test_probabilities_equal_numpy(column):
 
 def test_sigmoid_does_not_overflow(column):
     assert column([-1000.0, 0.0, 1000.0], probability.sigmoid, "DOUBLE") == [0.0, 0.5, 1.0]
+
+
+def test_main_block(column):
+    story = "The main story goes on for a good while, and then some more text follows here."
+    page = (
+        "<html><head><title>t</title></head><body><nav><a href='/'>Home</a><a href='/x'>News and many other things to read</a></nav>"
+        f"<div class='teaser'><a href='/y'>A long teaser that is nothing but a link to something else</a></div>"
+        f"<div class=\"content\"><h1>Head &amp; line</h1><p>{story}<p>Read <a href='/z'>this</a> too, as it is well worth the time it takes.</div>"
+        "<footer>Copyright, imprint and other legal text that nobody reads</footer></body></html>"
+    )
+    want = f"Head & line\n{story}\nRead this too, as it is well worth the time it takes."
+    nothing = "<nav><a href='/'>only links</a></nav><p>short"
+    tie = "<p>" + "a" * 30 + "<p><a href=x>" + "l" * 60 + "</a><p>" + "b" * 30
+    plain = "no tags at all, but a text that is long enough to count"
+    got = column([page, nothing, tie, plain, "", None], html.main_block)
+    assert got == [want, "", "a" * 30, plain, "", None]
+    scores = column(["<nav><p>" + "x" * 40 + "</p></nav>"], html.main_block)
+    assert scores == ["x" * 40]  # a hint is about its own block
+    assert column(["<nav>" + "x" * 90 + "<p>yy"], html.main_block) == [""]
+
+
+def test_best_run_is_the_first_of_equal_ones(column):
+    from pyspark.sql import functions as F
+
+    def run(scores):
+        blocks = F.transform(F.split(scores, " "), lambda s: F.struct(F.lit("").alias("text"), s.cast("int").alias("score")))
+        return F.to_json(F.struct(html._best_run(blocks)["begin"], html._best_run(blocks)["end"]))
+
+    cases = {"1 -2 1": (0, 1), "-1 -2": (0, 0), "0 3 0": (0, 2), "-1 2 -1 3 -9 4": (1, 4), "2 -2 2": (0, 1), "-3 1 -1 1": (1, 2)}
+    for scores, (begin, end) in cases.items():
+        best = max(((sum(map(int, scores.split()[a:b])), -b, -a) for a in range(7) for b in range(a + 1, 7) if b <= len(scores.split())), default=None)
+        assert best[0] <= 0 or (-best[2], -best[1]) == (begin, end)
+        assert list(__import__("json").loads(column([scores], run)[0]).values()) == [begin, end]
