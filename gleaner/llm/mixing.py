@@ -92,7 +92,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap=CAP, seed=SEED, key="doc_id", text
     ``mix_plan`` says. Columns of ``docs`` may have any names."""
     sizes = docs.select(F.col(f"`{source}`").alias("source"), word_count(F.col(f"`{text}`")).alias("size"))
     rates = source_targets(sizes, weights, cap).select(F.col("source").alias("__mix_source"), F.col("rate").alias("__mix_rate"))
-    joined = docs.join(broadcast_if_small(rates), docs[f"`{source}`"].eqNullSafe(F.col("__mix_source")))
-    times = copies(F.col("__mix_rate"), F.col(f"`{key}`"), seed).cast("int")
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])  # none of them clashes
+    place = {c: F.col(f"c{i}") for i, c in enumerate(docs.columns)}
+    joined = own.join(broadcast_if_small(rates), place[source].eqNullSafe(F.col("__mix_source")))
+    times = copies(F.col("__mix_rate"), place[key], seed).cast("int")
     repeated = F.explode(F.array_repeat(F.lit(True), times)).alias("__mix_copy")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], repeated).drop("__mix_copy")
+    return joined.select(*place.values(), repeated).select(*[c.alias(name) for name, c in place.items()])

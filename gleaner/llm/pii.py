@@ -17,6 +17,8 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import ipaddress
+import itertools
 import re
 from dataclasses import dataclass
 
@@ -43,8 +45,12 @@ _SPELLED = re.compile(
     r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*(?:@| ?[(\[](?i:at)[)\]] ?)[A-Za-z0-9-]+"
     r"(?:(?:\.| ?[(\[](?i:dot)[)\]] ?)[A-Za-z0-9-]+)+"
 )
+_SPACED = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)* ?@ ?[A-Za-z0-9-]+(?: ?\. ?[A-Za-z0-9-]{2,})+")
+_COLONS = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![\w:])")
 _SIGN = re.compile(r"[(\[](?i:at|dot)[)\]]")  # without one, no match of _SPELLED has a space
-_DIGITS = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().\[\]/-]{0,3}[0-9])+(?![A-Za-z0-9])")
+_DIGITS = re.compile(r"(?<![A-Za-z0-9])[+(]?[0-9](?:[ ().\[\]/-]{0,3}[0-9])+(?: ?(?:ext|x)\.? ?[0-9]{1,5})?(?![A-Za-z0-9])")
+# Dates and numbers of books: what looks like personal numbers and is not.
+_CALENDAR = re.compile(r"(?:19|20)[0-9]{2}[-./][0-9]{1,2}[-./][0-9]{1,2}|[0-9]{1,2}[-./][0-9]{1,2}[-./](?:19|20)?[0-9]{2}|97[89][- ]?[0-9][0-9 -]+")
 
 # Gazetteers, fixed values.
 MAIL_WORDS = frozenset("mail email smtp gmail hotmail outlook yahoo example com org net edu info de fr es uk".split())
@@ -57,8 +63,8 @@ CONTEXT = {
     "phone": frozenset("phone tel telephone call mobile fax cell telefon telefono".split()),
 }
 AGAINST = frozenset("version isbn issn page pages year doi article section figure table serial id order".split())
-LABELERS = ("base", "shape", "gazetteer", "check", "context", "against", "length")
-FEATURES = ("digits", "groups", "plus", "parens", "dots", "at", "spelled", "check", "context", "against")
+LABELERS = ("base", "shape", "gazetteer", "check", "context", "against", "length", "calendar")
+FEATURES = ("digits", "groups", "plus", "parens", "dots", "at", "spelled", "check", "context", "against", "calendar", "colons")
 
 
 def luhn(digits: str) -> bool:
@@ -71,6 +77,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_version_six(span: str) -> bool:
+    try:
+        ipaddress.IPv6Address(span)
+    except ValueError:
+        return False
+    return True
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -124,13 +138,18 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
         found |= {("email", *m.span()) for m in _SPELLED.finditer(text)}
     elif "@" in text:
         found |= {("email", *m.span()) for m in _around_at(text, _SPELLED)}
+    if " @" in text or "@ " in text or " . " in text:
+        found |= {("email", *m.span()) for m in _SPACED.finditer(text) if "@" in m.group()}
+    if ":" in text:
+        found |= {("ip", *m.span()) for m in _COLONS.finditer(text)}
     if _ANY_DIGIT.search(text):
         for m in _DIGITS.finditer(text):
             n = len(_digits(m.group())) if m.end() - m.start() >= 7 else 0
             if 7 <= n <= 19:
                 span = m.group()
-                kind = "card" if n >= 13 and "." not in span and "+" not in span else "ip" if span.count(".") == 3 and "(" not in span else "phone"
-                found.add((kind, *m.span()))
+                parts = re.findall(r"[0-9]+", span)
+                four = len(parts) == 4 and max(map(len, parts)) <= 3 and span.count(".") == 3
+                found.add(("ip" if four and "(" not in span else "card" if n >= 13 and not span.startswith(("+", "(", "00")) and "x" not in span else "phone", *m.span()))
     exact = {(k, *span) for k in KINDS for span in base[k]}
     out = []
     for kind, start, end in sorted(found):
@@ -139,21 +158,26 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
         context, against = any(w in CONTEXT[kind] for w in before), any(w in AGAINST for w in before)
         if kind == "email":
             words = re.findall(r"[A-Za-z]+", span.lower())
-            check, shape, listed = True, "." in span, any(w in MAIL_WORDS for w in words[1:])
+            check, shape, listed = True, "." in span or "dot" in span.lower(), any(w in MAIL_WORDS for w in words[1:])
             length = 6 <= len(span) <= 80
+        elif kind == "ip" and ":" in span:
+            check, shape, listed = _is_version_six(span), "::" in span or span.count(":") == 7, len(span) > 8
+            length = 8 <= len(span) <= 39
         elif kind == "ip":
             check, shape, listed = span.count(".") == 3 and _parts_ok(re.sub(r"[^0-9.]", "", span)), span.count(".") == 3, digits[:1] != "0"
             length = 4 <= len(digits) <= 12
         elif kind == "card":
-            check, shape, listed = luhn(digits), re.fullmatch(r"(?:[0-9]{4}[ -]?){3}[0-9]{1,7}", span) is not None, CARD_ISSUERS.match(digits) is not None
+            check, shape, listed = luhn(digits), re.fullmatch(r"(?:[0-9]{4}[ ./-]{0,3}){3}[0-9]{1,7}|[0-9]{4}[ ./-]{0,3}[0-9]{6}[ ./-]{0,3}[0-9]{5}", span) is not None, CARD_ISSUERS.match(digits) is not None
             length = 15 <= len(digits) <= 19
         else:
-            plus = span.startswith("+")
-            local = re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", span) is not None
+            plain = re.sub(r" ?(?:ext|x)\.? ?[0-9]+$", "", span)
+            plus = span.startswith(("+", "00"))
+            local = re.fullmatch(r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}", plain) is not None
             check = plus or local
-            shape = local or re.fullmatch(r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}", span) is not None
-            listed = plus and any(digits.startswith(c) for c in COUNTRY_CODES)
+            shape = local or re.fullmatch(r"(?:\+|00)[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,7}){1,3}", plain) is not None
+            listed = plus and any(digits.lstrip("0").startswith(c) for c in COUNTRY_CODES)
             length = 8 <= len(digits) <= 15
+        odd = kind != "email" and _CALENDAR.fullmatch(span) is not None
         # 0 no vote, 1 against, 2 for
         votes = (
             2 if (kind, start, end) in exact else 0,
@@ -163,11 +187,13 @@ def candidates(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[
             2 if context else 0,
             1 if against else 0,
             2 if length else 1,
+            1 if odd else 0,
         )
         groups = len(re.findall(r"[0-9]+", span))
         values = (
             min(len(digits), 20), min(groups, 6), int("+" in span), int("(" in span), min(span.count("."), 4),
             int("@" in span), int(kind == "email" and "@" not in span), int(check), int(context), int(against),
+            int(odd), min(span.count(":"), 4),
         )
         out.append((KINDS.index(kind), start, end, _pack(votes, 3), _pack(values, 21)))
     return out
@@ -235,7 +261,7 @@ class SpanModel:
 def _design(features: np.ndarray) -> np.ndarray:
     values = _unpack(features, 21, len(FEATURES))
     one_hot = [values[:, i : i + 1] == np.arange(top + 1) for i, top in ((0, 20), (1, 6), (4, 4))]
-    rest = values[:, [2, 3, 5, 6, 7, 8, 9]]
+    rest = values[:, [2, 3, 5, 6, 7, 8, 9, 10, 11]]
     return np.concatenate([np.ones((len(values), 1)), *one_hot, rest], axis=1).astype(float)
 
 
@@ -290,12 +316,14 @@ def chosen(items: list[dict], model: SpanModel, sure: float = SURE) -> tuple[lis
     classifier is sure of it and it overlaps no span chosen before, base ones first."""
     base = [(s["kind"], s["start"], s["end"]) for s in items if s["base"]]
     taken, added = sorted((a, b) for _, a, b in base), []
+    reach = list(itertools.accumulate((b for _, b in taken), max))  # the largest end so far
     for s in sorted((s for s in items if not s["base"]), key=lambda s: (s["start"], -s["end"], s["kind"])):
         if model.probability(s["kind"], s["features"]) >= sure:
-            at = bisect.bisect_left(taken, (s["start"], s["end"]))
-            near = taken[max(0, at - 4) : at + 1]
-            if all(b <= s["start"] or s["end"] <= a for a, b in near):
-                bisect.insort(taken, (s["start"], s["end"]))
+            at = bisect.bisect_left(taken, (s["end"],))  # those that start before its end
+            if at == 0 or reach[at - 1] <= s["start"]:
+                taken.insert(at, (s["start"], s["end"]))
+                reach[at:] = itertools.accumulate((b for _, b in taken[at:]), max, initial=reach[at - 1] if at else 0)
+                reach.pop(at)
                 added.append((s["kind"], s["start"], s["end"]))
     return sorted(base), sorted(base + added)
 
@@ -335,13 +363,16 @@ def personal_data(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs``, all columns, with each span of ``text`` replaced by its kind in
     angle brackets. Spans are searched once for the model and again where they
-    are replaced; texts are not shuffled. A null text stays null."""
+    are replaced; texts are not shuffled. A null text stays null, of spans that
+    overlap the first is written, repeated rows are masked alike, an empty table
+    gives no rows, and columns may have any names."""
     model = fit(materialise(found_spans(docs.select(F.col(f"`{text}`").alias("_text")), "_text").drop("_text"), "spans"))
-    schema, names = docs.schema, docs.columns
+    names, at = docs.columns, docs.columns.index(text)
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])  # whatever the names, none of them clashes
+    schema = own.schema
 
     def run(batches):
         for batch in batches:
-            at = names.index(text)
             out = []
             for value, items in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 whole = value.as_py()
@@ -356,6 +387,7 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append(whole)
             columns = list(batch.columns[: len(names)])
             columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
-    return found_spans(docs, text).mapInArrow(run, schema)
+    masked_rows = found_spans(own, f"c{at}").mapInArrow(run, schema)
+    return masked_rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

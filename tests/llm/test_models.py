@@ -257,6 +257,78 @@ def test_reliabilities_and_added_spans(spark):
     assert not any(found[i]["spans"] for i in range(200, 280))
 
 
+def planted(rnd):
+    """Texts with forms that the base patterns miss, by kind, with the form; texts
+    with base forms; and texts of neither kind that look alike."""
+    digits = lambda n: "".join(str(rnd.randrange(10)) for _ in range(n))
+    name = lambda: "".join(rnd.choice("abcdefghik") for _ in range(6))
+    fill = lambda n: " ".join("".join(rnd.choice("lmnoprstuv") for _ in range(5)) for _ in range(n))
+
+    def card(n, start):
+        body = start + digits(n - len(start) - 1)
+        return next(body + str(d) for d in range(10) if pii.luhn(body + str(d)))
+
+    hidden, plain, clean = [], [], []
+    for _ in range(60):
+        c, a = card(16, "4"), card(15, "37")
+        six = ":".join("%x" % rnd.randrange(1, 65536) for _ in range(8))
+        hidden += [
+            ("email", f"{name()} [at] {name()} [dot] com"), ("email", f"{name()} (at) mail.{name()}.org"), ("email", f"{name()} @ {name()} . com"),
+            ("ip", six), ("ip", f"fe80::{rnd.randrange(1, 9999):x}:{rnd.randrange(1, 9999):x}"),
+            ("card", f"{c[:4]}.{c[4:8]}.{c[8:12]}.{c[12:]}"), ("card", f"{c[:4]}  {c[4:8]}  {c[8:12]}  {c[12:]}"), ("card", f"{a[:4]} {a[4:10]} {a[10:]}"),
+            ("phone", f"({digits(3)}) {rnd.randrange(200, 999)}-{digits(4)}"), ("phone", f"{rnd.randrange(200, 999)}.{digits(3)}.{digits(4)}"),
+            ("phone", f"00{rnd.choice(['49', '33', '44'])} {rnd.randrange(20, 99)} {rnd.randrange(10**6, 10**7)}"),
+            ("phone", f"({rnd.randrange(200, 999)}) {digits(3)}-{digits(4)} ext. {digits(2)}"),
+        ]
+        plain += [f"{name()}@{name()}.com", f"10.{rnd.randrange(256)}.3.{rnd.randrange(256)}", f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}", f"+1 ({rnd.randrange(200, 999)}) 555-{digits(4)}"]
+        bad = next(x for x in (f"{rnd.randrange(1000, 1999)}{digits(12)}" for _ in range(99)) if not pii.luhn(x))
+        clean += [
+            f"at {rnd.randrange(24)}:{rnd.randrange(10, 60)}:{rnd.randrange(10, 60)} sharp", ":".join(f"{rnd.randrange(256):02x}" for _ in range(6)),
+            f"order {bad[:4]} {bad[4:8]} {bad[8:12]} {bad[12:]}", f"isbn 978-3-{digits(2)}-{digits(6)}-{digits(1)}", f"on 20{digits(2)}-0{rnd.randrange(1, 10)}-1{digits(1)}",
+            f"serial {digits(11)}", f"@{name()} said", f"pages {rnd.randrange(100, 999)}-{digits(4)}", f"{rnd.randrange(10, 28)}.0{rnd.randrange(1, 10)}.2019",
+        ]
+    words = {"email": "mail to", "ip": "server", "card": "card", "phone": "call"}
+    texts = [(f"{fill(4)} {words[k] if i % 2 else 'see'} {form} {fill(3)}", k, form) for i, (k, form) in enumerate(hidden)]
+    return texts, [f"{fill(4)} {form} {fill(3)}" for form in plain], [f"{fill(4)} {form} {fill(3)}" for form in clean]
+
+
+def test_added_spans_of_planted_forms(spark, capsys):
+    hidden, plain, clean = planted(random.Random(9))
+    texts = [t for t, *_ in hidden] + plain + clean
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    hit, total = {}, {}
+    for i, (text, kind, form) in enumerate(hidden):
+        at = text.index(form)
+        total[kind] = total.get(kind, 0) + 1
+        hit[kind] = hit.get(kind, 0) + any(
+            k == kind and int(a) < at + len(form) and at < int(b) and int(b) - int(a) >= 0.8 * len(form) for k, a, b in (x.split(":") for x in spans[i].split(",") if x)
+        )
+    model = pii.fit(pii.found_spans(docs))
+    with capsys.disabled():
+        print("\nrecall of forms that the base patterns miss:", {k: round(hit[k] / total[k], 3) for k in total})
+        for kind, table in sorted(model.reliability.items()):
+            print(pii.KINDS[kind], {n: [round(float(table[j, c, 2]), 2) for c in (1, 0)] for j, n in enumerate(pii.LABELERS)}, "(votes for, of personal and other spans)")
+    assert all(hit[k] >= 0.9 * total[k] for k in total), hit
+    first = len(hidden)
+    assert all(len(spans[first + i].split(",")) == 1 and spans[first + i] for i in range(len(plain)))
+    wrong = [texts[i] for i in range(first + len(plain), len(texts)) if spans[i]]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
+def test_long_base_spans_are_not_overlapped():
+    model = pii.SpanModel({}, {3: np.full(len(pii._design(np.array([0]))[0]), 9.0)})
+    item = lambda a, b, base: {"kind": 3, "start": a, "end": b, "features": 0, "base": base}
+    items = [item(0, 100, True), *[item(i, i + 2, True) for i in range(5, 60, 5)], item(90, 95, False), item(101, 105, False), item(104, 109, False)]
+    assert pii.chosen(items, model)[1][-1] == (3, 101, 105) and len(pii.chosen(items, model)[1]) == len(items) - 2
+
+
+def test_masking_takes_any_names(spark):
+    rows = [(1, "mail jo@mail.example.com", "s", 3)]
+    docs = spark.createDataFrame(rows, "_spans INT, text STRING, _text STRING, c0 INT")
+    assert [tuple(r) for r in pii.masked(docs).collect()] == [(1, "mail <email>", "s", 3)]
+
+
 def test_masking(docs, rows, no_docs):
     masked = pii.masked(docs)
     assert masked.columns == docs.columns
