@@ -11,7 +11,7 @@ from .operators import language, probe, retrieval
 from .operators.links import link_stats
 from .plans import clean_pages, crawl_picks, rerank_eval, train_probe
 from .runtime import clear_scratch
-from .sources import blocklist, lines, responses, tables, warc
+from .sources import blocklist, lines, responses, tables, warc_files
 from .streaming import ingest
 
 
@@ -27,7 +27,7 @@ def clean_warcs(spark, a):
         raise SystemExit("no listed file is there")
     curated = tables.read_curated(spark, a.curated, "url") if a.curated else None
     pages = clean_pages.clean_warc(
-        warc.read_warc(spark, paths),
+        warc_files.read_files(spark, paths),
         blocklist.read_blocklist(spark, a.blocklist),
         language.load_language_model(spark, a.model),
         curated_urls=curated,

@@ -25,6 +25,7 @@ _NEVER = 62  # no key occurs 2^62 times
 class SplitWeights:
     head: DataFrame
     tail: DataFrame | None
+    below: int = 1  # keys of the tail occur less often than this
 
 
 def split_weights(weights: DataFrame, budget: int = BROADCAST_BYTES) -> SplitWeights:
@@ -47,7 +48,7 @@ def split_weights(weights: DataFrame, budget: int = BROADCAST_BYTES) -> SplitWei
     if lowest <= min(histogram, default=lowest):
         return SplitWeights(weights.drop("n"), None)
     frequent = F.col("n") >= F.lit(1 << lowest)
-    return SplitWeights(weights.where(frequent).drop("n"), weights.where(~frequent).drop("n"))
+    return SplitWeights(weights.where(frequent).drop("n"), weights.where(~frequent).drop("n"), 1 << lowest)
 
 
 def lookup_sums(

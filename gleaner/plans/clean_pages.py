@@ -65,6 +65,7 @@ def with_page_id(pages: DataFrame) -> DataFrame:
 
 
 def clean_warc(records: DataFrame, blocklist: DataFrame, model: LanguageModel, **options) -> DataFrame:
-    """WARC records to clean pages."""
-    pages = with_page_id(warc.responses(warc.parse_records(records)))
+    """WARC records, parsed or as text (``value``), to clean pages."""
+    parsed = warc.parse_records(records) if "value" in records.columns else records
+    pages = with_page_id(warc.responses(parsed))
     return clean_pages(pages, blocklist, model, **options).drop("page_id")

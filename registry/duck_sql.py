@@ -272,6 +272,8 @@ def statements() -> dict[str, str]:
     return {
         "path_list": f"""WITH {PATHS} SELECT path, 'suffix' AS match FROM paths WHERE path LIKE '%.gz'
             UNION ALL SELECT path, 'contains' FROM paths WHERE contains(path, '.gz')""",
+        "warc_files": f"WITH {WARC} SELECT rec_type, url, content_length, payload, reject FROM warc",
+        "picked_pages": f"WITH {WARC} SELECT url, html FROM warc WHERE rec_type = 'response' AND reject IS NULL AND contains(url, '/en/')",
         "warc_records": f"WITH {WARC} SELECT rec_type, url, content_length, payload, reject FROM warc",
         "http_body": f"WITH {WARC} SELECT url, html FROM warc WHERE rec_type = 'response' AND reject IS NULL",
         "cdx_parse": f"""WITH {INDEX} SELECT CASE WHEN reject IS NULL THEN page_url END AS url,

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import uuid
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +102,34 @@ def warc_records(spark, folder) -> DataFrame:
     return scan.select(F.explode(F.array(request, response)).alias("value"), F.lit("crawl.warc.gz").alias("warc_file"))
 
 
+def warc_files(spark, folder, out: str) -> DataFrame:
+    """The records above as gzipped WARC files of several members, in turn of
+    version 1.0 and 1.1, and their index: url, filename, offset, length."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId()
+        name = f"part-{number:05d}.warc.gz"
+        system, root = pa.fs.FileSystem.from_uri(out)
+        system.create_dir(root)
+        rows, at = [], 0
+        with system.open_output_stream(f"{root}/{name}.{uuid.uuid4().hex}") as stream:
+            made = stream
+            for batch in batches:
+                for url, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    data = gzip.compress(f"WARC/1.{number % 2}{CRLF}{value}{CRLF}{CRLF}".encode(), 1, mtime=0)
+                    made.write(data)
+                    rows.append((url, name, at, len(data)))
+                    at += len(data)
+        for info in system.get_file_info(pa.fs.FileSelector(root)):  # a retry leaves one file as well
+            if info.base_name.startswith(f"{name}."):
+                system.move(info.path, f"{root}/{name}")
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["url", "filename", "offset", "length"])
+
+    records = warc_records(spark, folder).select(F.regexp_extract("value", r"WARC-Target-URI: ([^\r\n]*)", 1).alias("url"), "value")
+    return records.repartition(4, "value").mapInArrow(run, "url string, filename string, offset long, length long")
+
+
 def blocklist_lines(spark, folder) -> DataFrame:
     """Domains of the bad hosts by kind of host, and the '#top' URLs."""
     bad = F.regexp_extract("url", BAD_HOSTS, 1)

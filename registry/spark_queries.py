@@ -14,6 +14,7 @@ from gleaner.plans import crawl_picks, rerank_eval, train_probe
 from gleaner.runtime import materialise, scratch_path
 from gleaner.sources import blocklist as bl
 from gleaner.sources import crawl_index, lines, responses, tables, warc
+from gleaner.sources import warc_files as warc_files_source
 from gleaner.streaming import ingest
 
 from . import fixtures as fx
@@ -46,6 +47,23 @@ def warc_records(spark, d):
     return parsed.select("rec_type", "url", "content_length", "payload", "reject")
 
 
+@query
+def warc_files(spark, d):
+    """The same records, written as files and framed by their lengths."""
+    folder = scratch_path(spark, "warc-files")
+    materialise(fx.warc_files(spark, d, folder), "warc-index")
+    return warc_files_source.read_files(spark, folder).select("rec_type", "url", "content_length", "payload", "reject")
+
+
+@query
+def picked_pages(spark, d):
+    """Pages of the English picks, read from the places the index names."""
+    folder = scratch_path(spark, "warc-files")
+    index = materialise(fx.warc_files(spark, d, folder), "warc-index")
+    picks = index.where(F.col("url").contains("/en/"))
+    return warc.responses(warc_files_source.read_records(picks, folder)).select("url", "html")
+
+
 @query
 def http_body(spark, d):
     return warc.responses(warc.parse_records(fx.warc_records(spark, d))).select("url", "html")

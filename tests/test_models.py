@@ -83,6 +83,44 @@ def test_language_filter(docs):
     assert strict == {i for i in english if top[i][1] > limit} != english
 
 
+@pytest.mark.parametrize("budget", [1 << 28, 400, 150, 0])
+@pytest.mark.parametrize("above", [0.6, 0.34, None])
+def test_verdict_where_the_text_lies(spark, docs, budget, above):
+    """Whatever part of the tokens the tasks hold, the rows are those of all scores;
+    without rare tokens nothing moves, and with them only texts they decide."""
+    model = language.fit_language_model(docs)
+    top = {r["doc_id"]: (r["lang"], r["p"]) for r in language.top_language(docs, model).collect()}
+    for lang in ("en", "fr", "xx"):
+        want = sorted(i for i, (l, p) in top.items() if l == lang and (above is None or p > above))
+        kept = language.keep_language(docs, model, lang, above, budget=budget)
+        assert sorted(r["doc_id"] for r in kept.collect()) == want and kept.columns == docs.columns
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        if budget == 1 << 28:
+            assert "Exchange" not in plan
+        assert "SortMergeJoin" not in plan
+
+
+def test_bounds_decide_most_rows(spark):
+    from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+    rng = np.random.default_rng(1)
+    stock = {l: [f"{l}{i}".translate(str.maketrans("0123456789", "abcdefghij")) for i in range(400)] for l in ("en", "fr")}
+    rows = [(i, " ".join(rng.choice(stock[l], 60, p=np.arange(400, 0, -1) / 80200)), l) for i, l in enumerate(["en", "fr"] * 60)]
+    rows += [(200 + i, " ".join([*rng.choice(stock["en"], 6), *rng.choice(stock["fr"], 6)]), None) for i in range(20)]
+    docs = spark.createDataFrame(rows, StructType([StructField("doc_id", IntegerType()), StructField("text", StringType()), StructField("lang", StringType())]))
+    model = language.fit_language_model(docs)
+    weights = model.tokens.select("key", "n", *[F.ln(F.col(f"c{i}") + 1.0).alias(f"w{i}") for i in range(2)])
+    split = lookup.split_weights(weights, 62_000)
+    judge = language._Verdict(split.head.toArrow(), model, "en", 0.6, split.below)
+    import pyarrow as pa
+
+    found = judge.verdicts(*judge.sums(pa.array([tokens(t) for _, t, _ in rows])))
+    assert split.tail.count() > 20 and (found[:120] >= 0).mean() > 0.8
+    top = {r["doc_id"]: (r["lang"], r["p"]) for r in language.top_language(docs, model).collect()}
+    for (i, _, _), v in zip(rows, found):
+        assert v == -1 or v == (top[i][0] == "en" and top[i][1] > 0.6)
+
+
 def test_language_model_survives_saving(spark, docs, tmp_path):
     model = language.fit_language_model(docs)
     model.save(str(tmp_path / "m"))
