@@ -35,6 +35,7 @@ VARIANTS = 6  # of a sure string, with a character put in
 SURE_LIFT = 8.0  # log-likelihood gain over the classes' common rate
 UNIT = 24  # longer strings are cut into overlapping windows
 CACHED = 400_000
+BLOCK = 256  # strings whose kernels are worked out together; their tables fit a cache
 THRESHOLD = 0.5
 
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -56,9 +57,13 @@ def units(token: str) -> list[str]:
     """The strings that a token is judged by: without signs at its ends, without
     signs at all, long ones in windows that overlap by half. Angle brackets mark
     start and end, so that these count in the kernel like characters."""
-    plain = _EDGES.sub("", token)
+    if token.isalnum():  # most are, and have no signs
+        strings = {token}
+    else:
+        plain = _EDGES.sub("", token)
+        strings = {plain, _INNER.sub("", plain)}
     out = []
-    for string in {plain, _INNER.sub("", plain)}:
+    for string in strings:
         if len(string) < ORDER - 1:
             continue
         string = f"<{string}>"
@@ -123,8 +128,8 @@ def kernel(strings: list[str], landmarks: list[str]) -> np.ndarray:
     own = np.array([_own(t) for t in landmarks], np.float32)
     out = np.zeros((len(strings), len(landmarks)), np.float32)
     order = sorted(range(len(strings)), key=lambda i: len(strings[i]))
-    for start in range(0, len(order), 2048):
-        at = order[start : start + 2048]
+    for start in range(0, len(order), BLOCK):
+        at = order[start : start + BLOCK]
         part = [strings[i] for i in at]
         norm = np.sqrt(_own_block(part)[:, None] * own[None, :])
         out[at] = _kernel_block(part, table) / np.maximum(norm, 1e-9)
