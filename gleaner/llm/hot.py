@@ -88,7 +88,7 @@ def widespread(docs: DataFrame, text: str, grams: Callable, texts: float, bucket
 
     def send(batches):
         for batch in batches:
-            for part in slices(batch, text, 4 * SLICE_BYTES):
+            for part in slices(batch, text, 2 * SLICE_BYTES):
                 codes = np.concatenate([grams(p.column(p.schema.get_field_index(text))) for p in slices(part, text)])
                 codes = np.sort(_codes(codes, buckets))
                 bounds = np.searchsorted(codes, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
