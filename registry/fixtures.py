@@ -150,16 +150,16 @@ def blocklist(spark, folder) -> DataFrame:
     return blocklist_entries(blocklist_lines(spark, folder))
 
 
-def responses(spark, folder) -> DataFrame:
-    """One API response per page: its nav links and its own URL. Cut short for
-    URLs that end in '/'."""
+def responses(spark, folder, listed=None) -> DataFrame:
+    """One API response per page: its nav links and its own URL (with ``listed``
+    only where this condition holds). Cut short for URLs that end in '/'."""
     links = F.transform(
         html.anchors(F.col("html"), NAV), lambda a: F.struct(a["anchor"].alias("title"))
     )
     page = F.struct(
         F.concat(F.lit("Page "), F.col("page_id").cast("string")).alias("title"),
         links.alias("links"),
-        F.array(F.struct(F.col("url").alias("*"))).alias("extlinks"),
+        F.filter(F.array(F.struct(F.col("url").alias("*"))), lambda _: F.lit(True) if listed is None else listed).alias("extlinks"),
     )
     doc = F.to_json(F.struct(F.struct(F.create_map(F.col("page_id").cast("string"), page).alias("pages")).alias("query")))
     return pages(spark, folder, "page_id", "url", "html").select(

@@ -373,9 +373,9 @@ def crawl_pick(spark, d):
 @query
 def crawl_curation(spark, d):
     """From saved API responses to crawl picks."""
-    found = materialise(crawl_picks.links_from_responses(fx.responses(spark, d)), "links")
-    listed = found.where(F.col("value").contains("?page=") | F.col("value").contains("#top"))
-    return crawl_picks.pick_crawl_urls(fx.index_lines(spark, d), listed)
+    some = F.col("url").contains("?page=") | F.col("url").contains("#top")
+    found = materialise(crawl_picks.links_from_responses(fx.responses(spark, d, some)), "links")
+    return crawl_picks.pick_crawl_urls(fx.index_lines(spark, d), found)
 
 
 @query
