@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as txt
 from ..runtime import BROADCAST_BYTES, computed, materialise
 from .lookup import lookup_sums
+from .packing import BUCKET_TEXT, counted
 
 START = "<s>"
 
@@ -58,7 +59,9 @@ def fit_bigrams(docs: DataFrame, text: str = "text") -> NgramModel:
     -ln(1 + n(u)/V) - ln V, constant for unseen contexts. Pairs and contexts
     share one weight table, which each occurrence looks up by both keys.
     """
-    pairs = materialise(_count(_pairs(docs, text)), "bigrams")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("bytes")).first()["bytes"]
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_TEXT))
+    pairs = materialise(counted(_pairs(docs, text).select("key"), buckets), "bigrams")
     roles = pairs.select(
         F.inline(
             F.array(

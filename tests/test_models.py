@@ -311,3 +311,42 @@ def test_thousands_of_domains(spark):
         i = r["vec_id"]
         assert r["domain"] == f"c{sims[i].argmax():04d}" and r["p"] == pytest.approx(share[i].max())
     assert sims[0].argmax() == 3
+
+
+def _plan(df, capsys):
+    capsys.readouterr()
+    df.explain()
+    return capsys.readouterr().out
+
+
+@pytest.mark.parametrize("kind", ["BIGINT", "STRING"])
+def test_rare_keys_travel_in_blocks(spark, capsys, kind):
+    rows = [(1, "a"), (1, "a"), (1, "zz"), (2, "b"), (None, "b"), (None, "c"), (2, None), (1, "a"), (3, "new"), (3, "b")]
+    rows = [(r if r is None or kind == "BIGINT" else str(r), k, "b") for r, k in rows]
+    given = {"a": (9, 1.5, 0.25), "b": (2, 0.5, 4.0), "c": (1, 0.125, 8.0)}
+    occurrences = spark.createDataFrame(rows, f"row {kind}, key STRING, other STRING").coalesce(1)
+    weights = spark.createDataFrame([(k, *v) for k, v in given.items()], "key STRING, n BIGINT, w DOUBLE, x DOUBLE")
+    want = {}
+    for row, key, other in rows:
+        n, w, x = want.get(row, (0, 0.0, 0.0))
+        for k in (key, other):
+            w, x = (w + given[k][1], x + given[k][2]) if k in given else (w, x)
+        want[row] = n + 1, w, x
+    for budget in (0, 100, 1 << 20):  # no head, a part, no tail
+        found = lookup.lookup_sums(occurrences, "row", weights, budget, ("key", "other"))
+        assert found.columns == ["row", "n", "w", "x"]
+        assert {r["row"]: (r["n"], r["w"], r["x"]) for r in found.collect()} == want
+        assert not re.search(r"hashpartitioning\([^)]*key#", _plan(found, capsys))
+
+
+def test_bigrams_are_counted_in_blocks(spark, capsys, monkeypatch):
+    from gleaner.operators import packing
+
+    rows = [(i, "a b a b c" if i % 2 else "a b " * 40) for i in range(60)] + [(None, None), (7, "")]
+    made = spark.createDataFrame(rows, "doc_id INT, text STRING")
+    keys = perplexity._pairs(made, "text").select("key")
+    found = packing.counted(keys, 3)
+    assert {r["key"]: r["n"] for r in found.collect()} == {r["key"]: r["n"] for r in perplexity._count(keys).collect()}
+    assert not re.search(r"hashpartitioning\([^)]*key#", _plan(found, capsys))
+    monkeypatch.setattr(packing, "BLOCK_ROWS", 50)
+    assert sum(t.num_rows for t in packing.stretches(keys.toArrow().to_batches(max_chunksize=20), 50)) == keys.count()
