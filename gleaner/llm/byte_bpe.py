@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytelevel import LONG_TEXT, Adjacency, Recent, newer_characters, read_ranks, split_pieces
 from .lanes import Lanes
-from .words import slices
+from .words import slices, thrifty
 
 STATES = 20_000  # held for pieces read by themselves, before the transducer starts anew
 CACHED, LONG_PIECE = 250_000, 64  # pieces that are kept, and up to how many characters
@@ -370,7 +370,7 @@ def _with_codec(docs: DataFrame, path: str, pattern: str, key: str, text: str, m
         finally:  # the worker goes on to other tasks
             own.clear()
 
-    return rows.mapInArrow(run, f"_key {kind}, {schema}").withColumnRenamed("_key", key)
+    return rows.mapInArrow(thrifty(run), f"_key {kind}, {schema}").withColumnRenamed("_key", key)
 
 
 def encoded(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
+from .words import thrifty
 
 EDGES = 300_000  # that one task takes
 
@@ -47,7 +48,7 @@ def _contracted(edges: DataFrame) -> DataFrame:
         other = np.flatnonzero(roots != np.arange(len(names)))
         yield pa.RecordBatch.from_arrays([names.take(pa.array(other)), names.take(pa.array(roots[other]))], ["u", "v"])
 
-    return edges.mapInArrow(run, "u string, v string")
+    return edges.mapInArrow(thrifty(run), "u string, v string")
 
 
 def _labels(stars: DataFrame) -> DataFrame:

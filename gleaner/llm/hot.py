@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
-from .words import SLICE_BYTES, mixed, slices
+from .words import SLICE_BYTES, mixed, slices, thrifty
 
 
 def frequent(docs: DataFrame, text: str, grams: Callable, share: float) -> np.ndarray:
@@ -45,7 +45,7 @@ def frequent(docs: DataFrame, text: str, grams: Callable, share: float) -> np.nd
                 ["gram", "n", "whole"],
             )
 
-    found = docs.select(text).mapInArrow(run, "gram long, n long, whole boolean")
+    found = docs.select(text).mapInArrow(thrifty(run), "gram long, n long, whole boolean")
     sums = found.groupBy("gram", "whole").agg(F.sum("n").alias("n"))
     sums = materialise(sums, "frequent-grams")
     whole = sums.where("whole").agg(F.sum("n")).first()[0] or 0
@@ -116,6 +116,6 @@ def widespread(docs: DataFrame, text: str, grams: Callable, texts: float, bucket
         many = values[first[np.diff(np.append(first, len(values))) >= texts]]
         return pa.RecordBatch.from_arrays([pa.array(bucket << 32 | many.astype(np.int64))], ["code"])
 
-    sent = docs.select(text).mapInArrow(send, "bucket int, low binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = sent.mapInArrow(receive, "code long").toArrow()
+    sent = docs.select(text).mapInArrow(thrifty(send), "bucket int, low binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    found = sent.mapInArrow(thrifty(receive), "code long").toArrow()
     return Widespread(np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64)), buckets)

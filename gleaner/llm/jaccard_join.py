@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ..runtime import broadcast_if_small, materialise
 from .components import components, local_roots
 from .hot import NOWHERE, Widespread, widespread
-from .words import cut, mixed, slices
+from .words import cut, mixed, slices, thrifty
 
 SHINGLE, PERCENT = 4, 85
 FREQUENT, AT_LEAST = 0.00003, 8  # share and number of texts from which an n-gram comes last in the order
@@ -177,8 +177,8 @@ def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets:
             yield from _tied(held, percent)
 
     parts = max(1, -(-buckets // 4))
-    sent = rows.mapInArrow(send, _PASSED).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(receive, _PASSED.split(", ", 2)[2])
+    sent = rows.mapInArrow(thrifty(send), _PASSED).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    return sent.mapInArrow(thrifty(receive), _PASSED.split(", ", 2)[2])
 
 
 def _tied(blocks: list[bytes], percent: int):
@@ -249,7 +249,7 @@ def _ties(passed: DataFrame, percent: int) -> DataFrame:
             kept = [may_link(x, y, (int(u[16:], 16), int(v[16:], 16)), percent) for u, v, x, y in rows]
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.mapInArrow(run, "u string, v string").union(passed.where("sure").select(*names))
+    return pairs.mapInArrow(thrifty(run), "u string, v string").union(passed.where("sure").select(*names))
 
 
 def _dealt(members: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -392,11 +392,11 @@ def _links(dealt: DataFrame, hot: Widespread, n: int, percent: int, parts: int)
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in other]), pa.array([names[i] for i in roots[other]])], ["u", "v"])
 
-    cut_up = dealt.mapInArrow(segments, "g long, f int, node string, n long, segment binary")
+    cut_up = dealt.mapInArrow(thrifty(segments), "g long, f int, node string, n long, segment binary")
     cut_up = cut_up.repartition(parts, "g", "f").sortWithinPartitions("g", "f")
-    counted = cut_up.mapInArrow(partial, "g long, nodes array<string>, matrix binary")
+    counted = cut_up.mapInArrow(thrifty(partial), "g long, nodes array<string>, matrix binary")
     counted = counted.repartition(parts, "g").sortWithinPartitions("g")
-    return counted.mapInArrow(summed, "u string, v string")
+    return counted.mapInArrow(thrifty(summed), "u string, v string")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

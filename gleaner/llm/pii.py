@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..runtime import materialise
+from .words import slices, thrifty
 
 KINDS = ("email", "ip", "card", "phone")
 SURE = 0.9  # probability from which a candidate is added
@@ -216,6 +217,15 @@ def _unpack(codes: np.ndarray, base: int, n: int) -> np.ndarray:
 _ITEM = "array<struct<kind:int,start:int,end:int,votes:bigint,features:bigint,base:boolean>>"
 
 
+def _items(whole: str) -> list[dict]:
+    base = base_spans(whole)
+    exact = {(KINDS.index(k), *s) for k in KINDS for s in base[k]}
+    return [
+        {"kind": c[0], "start": c[1], "end": c[2], "votes": c[3], "features": c[4], "base": c[:3] in exact}
+        for c in candidates(whole, base)
+    ]
+
+
 def found_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``_spans``: the candidates of each text with votes and
     features; base spans are marked. A null text has none."""
@@ -226,21 +236,11 @@ def found_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for value in batch.column(batch.schema.get_field_index(text)):
-                whole = value.as_py() or ""
-                base = base_spans(whole)
-                exact = {(KINDS.index(k), *s) for k in KINDS for s in base[k]}
-                rows.append(
-                    [
-                        {"kind": c[0], "start": c[1], "end": c[2], "votes": c[3], "features": c[4], "base": c[:3] in exact}
-                        for c in candidates(whole, base)
-                    ]
-                )
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, arrow)], [*batch.schema.names, "_spans"])
-
-    return docs.mapInArrow(run, schema)
+        for part in itertools.chain.from_iterable(slices(b, text) for b in batches):
+            rows = [_items(value.as_py() or "") for value in part.column(part.schema.get_field_index(text))]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, arrow)], [*part.schema.names, "_spans"])
+
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 @dataclass
@@ -357,13 +357,14 @@ def personal_data(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["_key", *KINDS, "h", "s"])
 
     schema = f"_key {kind}, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return spans.mapInArrow(run, schema).withColumnRenamed("_key", key)
+    return spans.mapInArrow(thrifty(run), schema).withColumnRenamed("_key", key)
 
 
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs``, all columns, with each span of ``text`` replaced by its kind in
     angle brackets. Spans are searched once for the model and again where they
-    are replaced; texts are not shuffled. A null text stays null, of spans that
+    are replaced, by one function, so that a task needs one Python worker; texts are
+    not shuffled. A null text stays null, of spans that
     overlap the first is written, repeated rows are masked alike, an empty table
     gives no rows, and columns may have any names."""
     model = fit(materialise(found_spans(docs.select(F.col(f"`{text}`").alias("_text")), "_text").drop("_text"), "spans"))
@@ -372,11 +373,11 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = own.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in itertools.chain.from_iterable(slices(b, f"c{at}") for b in batches):
             out = []
-            for value, items in zip(batch.column(at), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for value in batch.column(at):
                 whole = value.as_py()
-                if items:
+                if items := _items(whole or ""):
                     last, parts = 0, []
                     for kind, start, end in sorted(chosen(items, model)[1], key=lambda s: (s[1], s[2])):
                         if end <= last:
@@ -385,9 +386,8 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
                         last = end
                     whole = "".join([*parts, whole[last:]])
                 out.append(whole)
-            columns = list(batch.columns[: len(names)])
+            columns = list(batch.columns)
             columns[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(names))])
 
-    masked_rows = found_spans(own, f"c{at}").mapInArrow(run, schema)
-    return masked_rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return own.mapInArrow(thrifty(run), schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from ..runtime import broadcast_if_small, materialise
 from .textstats import BASE, counts
-from .words import slices
+from .words import slices, thrifty
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -70,7 +70,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
                 stats = pa.StructArray.from_arrays(arrays, [*BASE, *VECTOR])
                 yield pa.RecordBatch.from_arrays([*part.columns, stats], [*part.schema.names, "_stats"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)
 
 
 def base_failed(words: Column, repeats: Column) -> Column:
@@ -165,7 +165,7 @@ def _estimate(sums: DataFrame, floors: dict[str, float]) -> DataFrame:
                 ["grp", "centre", "inverse", "scale"],
             )
 
-    return sums.mapInArrow(run, "grp string, centre array<double>, inverse array<double>, scale double")
+    return sums.mapInArrow(thrifty(run), "grp string, centre array<double>, inverse array<double>, scale double")
 
 
 def _step(rows: DataFrame, model: DataFrame, share: float, floors: dict[str, float]) -> DataFrame:

@@ -7,7 +7,9 @@ longest text and not the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,34 @@ _LOWER[65:91] += 32
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+@functools.cache
+def _trim() -> Callable:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not glibc
+        return lambda keep: 0
+
+
+def give_back() -> None:
+    """Hand to the system what Arrow and the C library keep of freed memory. Python
+    workers outlive their tasks, and idle ones count on their executor too."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def thrifty(run: Callable) -> Callable:
+    """A function of batches for ``mapInArrow`` that gives memory back at its end."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64)."""
     x = x + _GOLD
@@ -63,6 +93,8 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterat
         end = min(max(end, start + 1), batch.num_rows)
         yield batch.slice(start, end - start)
         start = end
+    if batch.nbytes > limit:
+        give_back()
 
 
 def word_counts(column: pa.Array) -> np.ndarray:

@@ -99,3 +99,48 @@ def test_stages_take_an_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, FOLDER), "empty")
         assert docs.count() == 0
+
+
+def test_workers_give_memory_back():
+    import os
+
+    import numpy as np
+
+    from gleaner.llm.words import thrifty
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") / 1e6
+
+    kept = []
+
+    def run(batches):
+        for n in batches:
+            held = [np.ones(12_000, np.uint8) for _ in range(n)]
+            kept.append(held[-1])  # the end of the heap stays in use
+            yield len(held)
+
+    before = resident()
+    assert list(thrifty(run)([20_000])) == [20_000]
+    assert resident() - before < 60  # of 240
+
+
+def test_personal_data_in_bounded_parts(spark, monkeypatch):
+    from gleaner.llm import pii, words
+
+    rows = [(i, f"mail a{i}@b.org " + "word " * 50) for i in range(40)] + [(40, None), (41, "")]
+    docs = spark.createDataFrame(rows, "doc_id INT, text STRING").coalesce(1)
+    sizes = []
+
+    def small(batch, text):
+        for part in words.slices(batch, text, 1000):
+            sizes.append(part.num_rows)
+            yield part
+
+    want = {i: t and t.replace(f"a{i}@b.org", "<email>") for i, t in rows}
+    assert {r["doc_id"]: r["text"] for r in pii.masked(docs).collect()} == want
+    monkeypatch.setattr(pii, "slices", small)
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f) or self.limit(0))
+    pii.found_spans(docs)
+    assert len(list(run[0](docs.toArrow().to_batches()))) == len(sizes) > 5
