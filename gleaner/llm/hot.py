@@ -10,6 +10,7 @@ passed on, summed up, finds all of them, and few others.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -67,8 +68,19 @@ class Widespread:
     codes: np.ndarray
     buckets: int
 
+    @functools.cached_property
+    def _low(self) -> np.ndarray:
+        """Which low bits occur: most n-grams need no search."""
+        low = np.zeros(1 << min(24, max(10, (8 * len(self.codes)).bit_length())), bool)
+        low[self.codes & np.uint64(len(low) - 1)] = True
+        return low
+
     def has(self, grams: np.ndarray) -> np.ndarray:
-        return is_in(_codes(grams, self.buckets), self.codes) if len(self.codes) else np.zeros(len(grams), bool)
+        out = np.zeros(len(grams), bool)
+        if len(self.codes):
+            at = np.flatnonzero(self._low[grams & np.uint64(len(self._low) - 1)])
+            out[at] = is_in(_codes(grams[at], self.buckets), self.codes)
+        return out
 
 
 NOWHERE = Widespread(np.zeros(0, np.uint64), 1)
@@ -78,12 +90,12 @@ def _codes(grams: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(grams) % np.uint64(buckets)) << np.uint64(32) | (grams & np.uint64(0xFFFFFFFF))
 
 
-def widespread(docs: DataFrame, text: str, grams: Callable, texts: float, buckets: int, parts: int) -> Widespread:
+def widespread(docs: DataFrame, text: str, grams: Callable, texts: float, buckets: int, parts: int, most: int | None = None) -> Widespread:
     """The n-grams of at least ``texts`` texts. ``grams(column)`` gives the
     distinct n-grams of each text of a slice, in one array.
 
-    Their number is at most that of all texts' n-grams by ``texts``; with
-    ``texts`` a share of the corpus, it is bounded whatever the corpus.
+    Their number is at most that of all texts' n-grams by ``texts``. If there are
+    more than ``most``, those of at least as many more texts as leave no more than that.
     """
 
     def send(batches):
@@ -113,9 +125,21 @@ def widespread(docs: DataFrame, text: str, grams: Callable, texts: float, bucket
     def count(bucket, held):
         values = np.sort(np.concatenate(held))
         first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
-        many = values[first[np.diff(np.append(first, len(values))) >= texts]]
-        return pa.RecordBatch.from_arrays([pa.array(bucket << 32 | many.astype(np.int64))], ["code"])
+        number = np.diff(np.append(first, len(values)))
+        many = number >= texts
+        return pa.RecordBatch.from_arrays([pa.array(bucket << 32 | values[first[many]].astype(np.int64)), pa.array(number[many])], ["code", "n"])
 
     sent = docs.select(text).mapInArrow(thrifty(send), "bucket int, low binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    found = sent.mapInArrow(thrifty(receive), "code long").toArrow()
+    found = sent.mapInArrow(thrifty(receive), "code long, n long")
+    if most is not None:
+        found = materialise(found, "widespread")
+        levels = found.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("c")).collect()
+        left, texts = 0, (1 << 16) + 1
+        for n, c in sorted(levels, reverse=True):
+            left += c
+            if left > most:
+                break
+            texts = n
+        found = found.where(F.col("n") >= texts)
+    found = found.select("code").toArrow()
     return Widespread(np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64)), buckets)

@@ -10,12 +10,15 @@ fragment by itself and summed per pair.
    and what follows the n-gram in either could be enough (it is, at the first that
    they share). A pair is tied if the sets' histograms over hash classes could
    overlap enough: chance pairs fail this, so blocks do not grow together by
-   chance. The sets of a long list, or one of a widespread n-gram, are tied without it. What is tied falls into
-   blocks. Most texts are in none and are done.
-2. Counts. The sets of a block (large blocks by chunks of close sizes, against each
-   other) are cut into segments. A task counts the overlaps of one fragment, as a
-   matrix over the chunk's sets; the matrices are summed, and pairs beyond the
-   threshold tied. A chunk gives a star of links, not all its pairs.
+   chance. The sets of a long list, or one of a widespread n-gram, are tied without it, those only
+   that can have a partner there. What is tied falls into blocks. Most texts are in none and are done.
+2. Counts. The sets of a block are cut into segments. A task counts the overlaps of
+   one fragment, as a matrix over the block's sets; the matrices are summed, and pairs
+   beyond the threshold tied. A block gives a star of links, not all its pairs. Large
+   blocks go by chunks of close sizes, each together with the block's hubs, its sets
+   of the fewest rare n-grams: originals, which most copies link with. Only what is
+   still apart then is compared across chunks, so a large group of near copies does
+   not cost the square of its size.
 3. Components of these links, and the least key of each.
 
 Equal sets are one node throughout, so copies cost nothing.
@@ -28,7 +31,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import broadcast_if_small, materialise
@@ -37,8 +40,9 @@ from .hot import NOWHERE, Widespread, widespread
 from .words import cut, mixed, slices, thrifty
 
 SHINGLE, PERCENT = 4, 85
-FREQUENT, AT_LEAST = 0.00003, 8  # share and number of texts from which an n-gram comes last in the order
+AT_LEAST, WIDE = 8, 2_000_000  # number of texts from which an n-gram comes last in the order; how many such n-grams at most
 CHUNK = 1024  # sets in a chunk of a block, about
+HUBS = 8  # sets of each size class of a large block that chunks of close sizes are compared with
 SLAB = 2048  # columns of a matrix product
 FRAGMENT_BITS = 3
 LIST = 64  # sets with one n-gram whose pairs are looked at one by one
@@ -113,13 +117,13 @@ def may_link(one: bytes, other: bytes, sizes: tuple[int, int], percent: int) ->
     return (100 + percent) * int(most) >= percent * sum(sizes)
 
 
-_PASSED = "bucket long, block binary, key long, hash long, n long, node string, root string, sketch binary, sure boolean"
-_NAMES = ["bucket", "block", "key", "hash", "n", "node", "root", "sketch", "sure"]
+_PASSED = "bucket long, block binary, key long, hash long, n long, rare long, node string, root string, sketch binary, sure boolean"
+_NAMES = ["bucket", "block", "key", "hash", "n", "rare", "node", "root", "sketch", "sure"]
 
 
 def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets: int) -> DataFrame:
-    """Per text ``key``, ``hash``, ``n``, ``node`` and ``sketch``; per candidate
-    pair, or surely tied set, ``node`` and ``root``."""
+    """Per text ``key``, ``hash``, ``n``, ``rare`` (n-grams that are not widespread),
+    ``node`` and ``sketch``; per candidate pair, or surely tied set, ``node`` and ``root``."""
 
     def send(batches):
         press = zstandard.ZstdCompressor(level=1)
@@ -127,6 +131,7 @@ def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets:
             for part in slices(batch, "_text"):
                 keys, bounds = shingle_sets(part.column(2), hot, n)
                 size = np.diff(bounds)
+                rare = np.diff(np.concatenate([[0], np.cumsum(keys < _HOT)])[bounds])
                 node = nodes(keys, bounds)
                 names = _named(node, size)
                 m = part.num_rows
@@ -135,7 +140,7 @@ def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(place.astype(np.int64)), none, part.column(0), part.column(1), pa.array(size, pa.int64()),
-                        pa.array(names, pa.string()), nothing, pa.array(histograms(keys, bounds), pa.binary()), pa.nulls(m, pa.bool_()),
+                        pa.array(rare, pa.int64()), pa.array(names, pa.string()), nothing, pa.array(histograms(keys, bounds), pa.binary()), pa.nulls(m, pa.bool_()),
                     ],
                     _NAMES,
                 )
@@ -158,7 +163,7 @@ def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets:
                         at.append(int(bucket[piece[0]]))
                 k = len(out)
                 longs, words = pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary()), longs, longs, longs, words, words, pa.nulls(k, pa.binary()), pa.nulls(k, pa.bool_())], _NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(out, pa.binary()), longs, longs, longs, longs, words, words, pa.nulls(k, pa.binary()), pa.nulls(k, pa.bool_())], _NAMES)
 
     def receive(batches):
         held, bucket = [], None
@@ -183,8 +188,11 @@ def _candidates(rows: DataFrame, hot: Widespread, n: int, percent: int, buckets:
 
 def _tied(blocks: list[bytes], percent: int):
     """Candidate pairs of one bucket: sets that share an n-gram, close in size,
-    with enough after it. The sets of a long list are tied as stars through sets of
-    close size: in the order of size, two sets close enough have only such between them."""
+    with enough after it; equal sets count once. The sets of a long list are tied as
+    stars through sets of close size: in the order of size, two sets close enough have
+    only such between them. What follows the n-gram bounds a partner's size: a set that
+    can have no partner of its own size or more is tied to the largest of the others
+    that it may link with, if there is one, as two such sets cannot link."""
     columns = [[], [], [], []]
     for block in blocks:
         raw = zstandard.ZstdDecompressor().decompress(block)
@@ -193,8 +201,10 @@ def _tied(blocks: list[bytes], percent: int):
             column.append(np.frombuffer(raw, kind, n, at))
     gram, node = (np.concatenate(c) for c in columns[:2])
     size, step = (np.concatenate(c).astype(np.int64) for c in columns[2:])
-    order = np.lexsort((node, size, gram))
+    order = np.lexsort((step, node, size, gram))
     gram, node, size, step = gram[order], node[order], size[order], step[order]
+    first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (size[1:] != size[:-1]) | (node[1:] != node[:-1])])
+    gram, node, size, step = gram[first], node[first], size[first], step[first]
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     length = np.diff(np.append(starts, len(gram)))
     # widespread n-grams are what large groups of near copies share: a star does for them
@@ -208,13 +218,20 @@ def _tied(blocks: list[bytes], percent: int):
         b = a + apart
         need = percent * (size[a] + size[b])
         rest = np.minimum(size[a] - step[a], size[b] - step[b])
-        close = (100 * size[a] >= percent * size[b]) & ((100 + percent) * rest >= need) & ((node[a] != node[b]) | (size[a] != size[b]))
+        close = (100 * size[a] >= percent * size[b]) & ((100 + percent) * rest >= need)
         left.append(a[close])
         right.append(b[close])
-    long = ~short[1:] & (gram[1:] == gram[:-1]) & (100 * size[:-1] >= percent * size[1:]) & ((node[1:] != node[:-1]) | (size[1:] != size[:-1]))
-    at = np.flatnonzero(long)
+    reach = (100 + percent) * (size - step) // percent - size  # a partner's size, at most
+    upper = np.flatnonzero(~short & (reach >= size))
+    lower = np.flatnonzero(~short & (reach < size))
+    number = np.repeat(np.arange(len(starts)), length)
+    chain = (number[upper[1:]] == number[upper[:-1]]) & (100 * size[upper[:-1]] >= percent * size[upper[1:]])
+    place = np.searchsorted((number[upper] << 32) + size[upper], (number[lower] << 32) + reach[lower], "right") - 1
+    below = upper[np.maximum(place, 0)] if len(upper) else lower
+    tied = (place >= 0) & (number[below] == number[lower]) & (100 * size[below] >= percent * size[lower])
+    one, two = np.concatenate([upper[:-1][chain], lower[tied]]), np.concatenate([upper[1:][chain], below[tied]])
     a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-    used = np.unique(np.concatenate([a, b, at, at + 1]))
+    used = np.unique(np.concatenate([a, b, one, two]))
     if not len(used):
         return
     both, index = np.unique(np.stack([node[used], size[used].astype(np.uint64)], 1), axis=0, return_inverse=True)
@@ -222,15 +239,15 @@ def _tied(blocks: list[bytes], percent: int):
     place[used] = index.ravel()
     named = np.array(_named(both[:, 0], both[:, 1]))
     pairs = np.unique(np.sort(np.stack([place[a], place[b]], 1), axis=1), axis=0)
-    roots = local_roots(len(both), place[at], place[at + 1])
+    roots = local_roots(len(both), place[one], place[two])
     other = np.flatnonzero(roots != np.arange(len(both)))
     for u, v, sure in ((pairs[:, 0], pairs[:, 1], False), (other, roots[other], True)):
         for at in range(0, len(u), 50_000):
-            one, two = named[u[at : at + 50_000]], named[v[at : at + 50_000]]
-            k = len(one)
+            ends = named[u[at : at + 50_000]], named[v[at : at + 50_000]]
+            k = len(ends[0])
             empty = pa.nulls(k, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [empty, empty, empty, pa.array(one.tolist()), pa.array(two.tolist()), pa.nulls(k, pa.binary()), pa.array([sure] * k)], _NAMES[2:]
+                [empty, empty, empty, empty, pa.array(ends[0].tolist()), pa.array(ends[1].tolist()), pa.nulls(k, pa.binary()), pa.array([sure] * k)], _NAMES[2:]
             )
 
 
@@ -252,39 +269,81 @@ def _ties(passed: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(thrifty(run), "u string, v string").union(passed.where("sure").select(*names))
 
 
-def _dealt(members: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``members`` (``node``, ``block``, ``n``) with the groups ``g`` that a set is
-    compared in: its block, or for a large block the pairs of its chunk with the
-    chunks of the same and the neighbouring sizes. Sets that link are at most
-    one size class apart; classes are a trifle wider than the greatest ratio, so
-    that rounding cannot put two between."""
+def _sized(members: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``members`` with size classes ``s``. Sets that link are at most one class
+    apart; classes are a trifle wider than the greatest ratio, so that rounding
+    cannot put two between."""
     width = math.log(100 / min(percent, 99)) * (1 + 1e-9)
-    sized = members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+    return members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / width).cast("int"))
+
+
+def _span(m):
+    return F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _chunks(sized: DataFrame) -> DataFrame:
+    """``block``, ``s`` and the number ``m`` of chunks, of blocks of more than a chunk."""
     counts = materialise(sized.groupBy("block", "s").agg(F.count("*").alias("c")), "block-sizes")
-    totals = counts.groupBy("block").agg(F.sum("c").alias("total"))
-    small = sized.join(totals, "block").where(F.col("total") <= CHUNK)
-    small = small.select("node", F.xxhash64("block").alias("g"))
-    chunked = counts.join(totals, "block").where(F.col("total") > CHUNK).select("block", "s", F.ceil(F.col("c") / CHUNK).cast("int").alias("m"))
-    up = chunked.select("block", (F.col("s") - 1).alias("s"), F.col("m").alias("above"))
-    down = chunked.select("block", (F.col("s") + 1).alias("s"), F.col("m").alias("below"))
-    around = chunked.join(up, ["block", "s"], "left").join(down, ["block", "s"], "left").na.fill(0, ["above", "below"])
-    large = sized.join(around, ["block", "s"]).withColumn("k", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
-
-    def group(s1, k1, s2, k2):
-        return F.xxhash64("block", s1, k1, s2, k2)
-
-    span = lambda m: F.when(m > 0, F.sequence(F.lit(0), m - 1)).otherwise(F.array().cast("array<int>"))
-    own, k = F.col("s"), F.col("k")
-    groups = F.concat(
-        # a chunk that is the only one of its size is compared with itself wherever it meets a neighbour
-        F.when(
-            (F.col("m") > 1) | (F.col("above") + F.col("below") == 0),
-            F.transform(span(F.col("m")), lambda x: group(own, F.least(k, x), own, F.greatest(k, x))),
-        ).otherwise(F.array().cast("array<bigint>")),
-        F.transform(span(F.col("above")), lambda x: group(own, k, own + 1, x)),
-        F.transform(span(F.col("below")), lambda x: group(own - 1, x, own, k)),
-    )
-    return small.union(large.select("node", F.explode(groups).alias("g")))
+    totals = counts.groupBy("block").agg(F.sum("c").alias("total")).where(F.col("total") > CHUNK)
+    return materialise(counts.join(totals, "block").select("block", "s", F.ceil(F.col("c") / CHUNK).cast("int").alias("m")), "chunks")
+
+
+def _dealt(sized: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``node`` and the groups ``g`` that a set is first compared in: its block, or
+    for a large block its chunk; hubs in all chunks of sizes close to theirs."""
+
+    def group(s, k):
+        return F.xxhash64("block", s, k).alias("g")
+
+    small = sized.join(chunks.select("block").distinct(), "block", "left_anti").select("node", F.xxhash64("block").alias("g"))
+    large = sized.join(chunks, ["block", "s"])
+    own = large.select("node", group("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int")))
+    order = Window.partitionBy("block", "s").orderBy(F.col("rare") / F.col("n"), "node")
+    hubs = large.withColumn("r", F.row_number().over(order)).where(F.col("r") <= HUBS).select("node", "block", F.col("s").alias("of"))
+    near = hubs.select("node", "block", F.explode(F.array(F.col("of") - 1, F.col("of"), F.col("of") + 1)).alias("s")).join(chunks, ["block", "s"])
+    near = near.select("node", "block", "s", F.explode(_span(F.col("m"))).alias("k")).select("node", group("s", "k"))
+    return small.union(own.union(near).distinct()).withColumn("part", F.lit(None).cast("string"))
+
+
+def _dealt_again(sized: DataFrame, chunks: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """``node``, ``g`` and ``part`` of the sets of large blocks that are still more
+    than one component: each set outside the largest one with all sets of close
+    sizes, by chunks. Sets of one ``part`` need no comparison. None if there are none."""
+    large = sized.join(chunks.select("block").distinct(), "block")
+    large = large.join(labels, "node", "left").select("node", "block", "s", F.coalesce("label", "node").alias("part"))
+    large = materialise(large, "block-parts")
+    parts = large.groupBy("block", "part").agg(F.count("*").alias("c")).groupBy("block")
+    parts = parts.agg(F.max(F.struct("c", "part")).alias("most"), F.count("*").alias("apart")).where("apart > 1")
+    large = materialise(large.join(parts.select("block", F.col("most.part").alias("main")), "block").withColumn("other", F.col("part") != F.col("main")), "parts-apart")
+    if large.isEmpty():
+        return None
+    cells = [F.ceil(F.count_if(x) / CHUNK).cast("int").alias(name) for x, name in ((F.col("other"), "o"), (~F.col("other"), "m"))]
+    cells = materialise(large.groupBy("block", "s").agg(*cells), "cells")
+    around = cells
+    for step, name in ((1, "above"), (-1, "below")):
+        around = around.join(cells.select("block", (F.col("s") - step).alias("s"), F.col("o").alias(f"o_{name}"), F.col("m").alias(f"m_{name}")), ["block", "s"], "left")
+    around = around.na.fill(0)
+    s, k, x_of = F.col("s"), F.col("k"), {0: "", 1: "_above", -1: "_below"}
+    large = large.join(around, ["block", "s"]).withColumn("k", F.pmod(F.xxhash64("node"), F.when(F.col("other"), F.col("o")).otherwise(F.col("m"))).cast("int"))
+
+    def group(part, *of):
+        return F.struct(F.xxhash64("block", *of).alias("g"), part.alias("part"))
+
+    def others(step):  # among themselves
+        if step == 0:
+            return lambda x: group(F.col("part"), F.lit("others"), s, F.least(k, x), s, F.greatest(k, x))
+        return lambda x: group(F.col("part"), F.lit("others"), *((s, k, s + 1, x) if step > 0 else (s - 1, x, s, k)))
+
+    def with_main(step):
+        return lambda x: group(F.lit("other"), F.lit("main"), s, k, s + step, x)
+
+    def with_others(step):
+        return lambda x: group(F.lit("main"), F.lit("main"), s + step, x, s, k)
+
+    theirs = [F.transform(_span(F.col(f"{c}{x_of[d]}")), to(d)) for c, to in (("o", others), ("m", with_main)) for d in x_of]
+    mains = [F.transform(_span(F.col(f"o{x_of[d]}")), with_others(d)) for d in x_of]
+    found = large.select("node", F.explode(F.when(F.col("other"), F.concat(*theirs)).otherwise(F.concat(*mains))).alias("at"))
+    return found.select("node", "at.g", "at.part")
 
 
 def _runs(batches, keys: int):
@@ -334,21 +393,24 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def possible(partial: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+def possible(partial: np.ndarray, sizes: np.ndarray, percent: int, parts: np.ndarray | None = None) -> np.ndarray:
     """The upper half of a fragment's overlaps, without pairs that cannot link
     any more: were all the rest of the smaller one shared, it would not be
-    enough, or their sizes differ too much. Leaving them out lowers their sum."""
+    enough, or their sizes differ too much. Leaving them out lowers their sum.
+    Pairs of one of the ``parts`` are left out too."""
     rest = sizes - np.diag(partial)
     need = needed(np.maximum(sizes[:, None], sizes[None, :]), percent)
     good = partial + np.minimum(rest[:, None], rest[None, :]) >= need
     good &= np.minimum(sizes[:, None], sizes[None, :]) >= need
+    if parts is not None:
+        good &= parts[:, None] != parts[None, :]
     np.fill_diagonal(good, True)
     return np.triu(np.where(good, partial, 0)).astype(np.int32)
 
 
 def _links(dealt: DataFrame, hot: Widespread, n: int, percent: int, parts: int) -> DataFrame:
     """``u``, ``v``: stars of the links in each group. ``dealt`` has ``node``,
-    ``_text`` and the groups ``gs`` of each set."""
+    ``_text`` and the groups and parts ``gs`` of each set."""
 
     def segments(batches):
         for batch in batches:
@@ -360,19 +422,28 @@ def _links(dealt: DataFrame, hot: Widespread, n: int, percent: int, parts: int)
                     fragment = own >> np.uint64(64 - FRAGMENT_BITS)
                     for piece in np.split(np.arange(len(own)), np.flatnonzero(np.diff(fragment)) + 1):
                         blob = _narrow(own[piece])
-                        out += [(g, int(fragment[piece[0]]), node, len(own), blob) for g in groups]
+                        out += [(g["g"], int(fragment[piece[0]]), node, len(own), g["part"], blob) for g in groups]
                 if out:
-                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.binary())
+                    kinds = (pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.string(), pa.binary())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "f", "node", "n", "segment"]
+                        [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["g", "f", "node", "n", "part", "segment"]
                     )
 
     def partial(batches):
         for rows in _runs(batches, 2):
-            matrix = possible(overlaps([_widened(r[4]) for r in rows]), np.array([r[3] for r in rows]), percent)
-            blob = zstandard.ZstdCompressor(level=1).compress(matrix.tobytes())
+            parts = None if rows[0][4] is None else np.unique([r[4] for r in rows], return_inverse=True)[1]
+            if parts is not None and parts.max() == 0:
+                continue
+            matrix = possible(overlaps([_widened(r[5]) for r in rows]), np.array([r[3] for r in rows]), percent, parts)
+            np.fill_diagonal(matrix, 0)
+            used = np.flatnonzero(matrix.any(0) | matrix.any(1))
+            if not len(used):
+                continue
+            matrix = matrix[np.ix_(used, used)]
+            kind = next(k for k in (np.uint8, np.uint16, np.int32) if matrix.max() <= np.iinfo(k).max)
+            blob = zstandard.ZstdCompressor(level=1).compress(matrix.astype(kind).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[0][0]], pa.int64()), pa.array([[r[2] for r in rows]], pa.list_(pa.string())), pa.array([blob], pa.binary())], ["g", "nodes", "matrix"]
+                [pa.array([rows[0][0]], pa.int64()), pa.array([[rows[i][2] for i in used]], pa.list_(pa.string())), pa.array([blob], pa.binary())], ["g", "nodes", "matrix"]
             )
 
     def summed(batches):
@@ -382,8 +453,10 @@ def _links(dealt: DataFrame, hot: Widespread, n: int, percent: int, parts: int)
             total = np.zeros((len(names), len(names)), np.int64)
             for _, own, blob in rows:
                 at = np.array([place[x] for x in own])
-                total[np.ix_(at, at)] += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int32).reshape(len(at), len(at))
-            size = np.diag(total).copy()
+                raw = zstandard.ZstdDecompressor().decompress(blob)
+                kind = {1: np.uint8, 2: np.uint16, 4: np.int32}[len(raw) // len(at) ** 2]
+                total[np.ix_(at, at)] += np.frombuffer(raw, kind).reshape(len(at), len(at))
+            size = np.array([int(x[16:], 16) for x in names])
             total = total + total.T  # a pair's counts may lie on either side: the order differs between fragments
             link = 100 * total >= percent * (size[:, None] + size[None, :] - total)
             a, b = np.nonzero(np.triu(link, 1))
@@ -392,7 +465,7 @@ def _links(dealt: DataFrame, hot: Widespread, n: int, percent: int, parts: int)
             if len(other):
                 yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in other]), pa.array([names[i] for i in roots[other]])], ["u", "v"])
 
-    cut_up = dealt.mapInArrow(thrifty(segments), "g long, f int, node string, n long, segment binary")
+    cut_up = dealt.mapInArrow(thrifty(segments), "g long, f int, node string, n long, part string, segment binary")
     cut_up = cut_up.repartition(parts, "g", "f").sortWithinPartitions("g", "f")
     counted = cut_up.mapInArrow(thrifty(partial), "g long, nodes array<string>, matrix binary")
     counted = counted.repartition(parts, "g").sortWithinPartitions("g")
@@ -405,20 +478,27 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SH
     rows = _keyed(docs, key, text)
     spark = docs.sparkSession
     parts = max(rows.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    many = max(AT_LEAST, FREQUENT * rows.count())
-    hot = widespread(rows, "_text", lambda column: shingle_sets(column, NOWHERE, n)[0], many, 4 * parts, parts)
+    hot = widespread(rows, "_text", lambda column: shingle_sets(column, NOWHERE, n)[0], AT_LEAST, 4 * parts, parts, WIDE)
     passed = materialise(_candidates(rows, hot, n, percent, 4 * parts), "candidates")
-    texts = passed.where("root IS NULL").select("key", "hash", "n", "node")
+    texts = passed.where("root IS NULL").select("key", "hash", "n", "rare", "node")
     blocks = materialise(components(_ties(passed, percent)), "blocks")
     # one text for each set of a block
     members = texts.join(blocks.select("node", F.col("label").alias("block")), "node")
-    members = members.groupBy("node", "block", "n").agg(F.min("hash").alias("hash"))
-    members = materialise(members, "block-members")
-    groups = _dealt(members, percent).groupBy("node").agg(F.collect_list("g").alias("gs"))
-    chosen = materialise(members.select("node", "hash").join(groups, "node"), "dealt-sets")
-    known = _one_text_each(rows, chosen)
-    links = _links(known, hot, n, percent, parts)
+    members = members.groupBy("node", "block", "n").agg(F.min("hash").alias("hash"), F.min("rare").alias("rare"))
+    sized = _sized(materialise(members, "block-members"), percent)
+    chunks = _chunks(sized)
+
+    def compared(groups: DataFrame) -> DataFrame:
+        groups = groups.groupBy("node").agg(F.collect_list(F.struct("g", "part")).alias("gs"))
+        chosen = materialise(sized.select("node", "hash").join(groups, "node"), "dealt-sets")
+        return materialise(_links(_one_text_each(rows, chosen), hot, n, percent, parts), "links")
+
+    links = compared(_dealt(sized, chunks))
     labels = components(links)
+    if not chunks.isEmpty():
+        apart = _dealt_again(sized, chunks, labels)
+        if apart is not None:
+            labels = components(links.union(compared(apart)))
     found = texts.join(labels, "node", "left")
     own = F.concat_ws("/", F.lit("empty"), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("hash"))
     return found.select("key", "hash", "n", F.when(F.col("n") == 0, own).otherwise(F.coalesce("label", "node")).alias("label"))

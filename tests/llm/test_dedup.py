@@ -5,7 +5,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from gleaner.llm import components, fingerprints, hot, jaccard_join, substring_dedup, words
 
@@ -252,6 +254,90 @@ def test_chance_ties_make_no_blocks(spark, monkeypatch, limit):
     passed.unpersist()
 
 
+def near_copies(rnd, base, number, changed, cut=0):
+    """Texts with about ``changed`` of the words of ``base`` changed, some without an end."""
+    rows = []
+    for _ in range(number):
+        own = [f"x{rnd.getrandbits(30)}" if rnd.random() < changed / len(base) else w for w in base]
+        rows.append(" ".join(own[: len(own) - rnd.randrange(cut)] if cut and rnd.random() < 0.5 else own))
+    return rows
+
+
+def test_large_groups_cost_no_squares(spark, monkeypatch):
+    """Near copies of one text by far more than a chunk: few are compared more than once."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 8)
+    dealt, links = [], jaccard_join._links
+
+    def counted(known, *rest):
+        dealt.append(known.selectExpr("coalesce(sum(size(gs)), 0)").first()[0])
+        return links(known, *rest)
+
+    monkeypatch.setattr(jaccard_join, "_links", counted)
+    rnd = random.Random(31)
+    texts = near_copies(rnd, [f"b{i}" for i in range(300)], 240, 3)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING").repartition(4)
+    want = alike_groups(list(enumerate(texts)), 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, n=5, percent=80).collect()}
+    assert got == want and list(want.values()).count(0) > 200
+    assert sum(dealt) < 6 * 240  # every chunk with every other is over 20 times each
+
+
+@pytest.mark.parametrize(("hubs", "limit"), [(0, 64), (1, 1), (8, 1)])
+def test_sets_apart_in_large_blocks_are_compared(spark, monkeypatch, hubs, limit):
+    """Chunks of different sizes, with no hubs or few, and lists that are all long."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 6)
+    monkeypatch.setattr(jaccard_join, "HUBS", hubs)
+    monkeypatch.setattr(jaccard_join, "LIST", limit)
+    rnd = random.Random(32)
+    texts = [t for b in range(3) for t in near_copies(rnd, [f"b{b % 2}_{i}" for i in range(150 - 30 * b)], 40, 4, 45)]
+    rnd.shuffle(texts)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id BIGINT, text STRING").repartition(4)
+    want = alike_groups(list(enumerate(texts)), 5, 80)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, n=5, percent=80).collect()}
+    assert got == want and len(set(want.values())) > 5
+
+
+def stars(rows):
+    """The ``_tied`` stars of sets (size, place of their common n-gram), each given twice."""
+    size, step = (np.array(c) for c in zip(*rows, strict=True))
+    node, m = np.arange(len(rows)).astype(np.uint64), len(rows)
+    raw = np.int64(m).tobytes() + np.full(m, 7, np.uint64).tobytes() + node.tobytes() + size.astype(np.int32).tobytes() + step.astype(np.int32).tobytes()
+    block, place = zstandard.ZstdCompressor().compress(raw), {x: i for i, x in enumerate(jaccard_join._named(node, size))}
+    root = list(range(m))
+    for batch in jaccard_join._tied([block, block], 80):
+        for u, v in zip(batch.column("node").to_pylist(), batch.column("root").to_pylist(), strict=True):
+            root[place[u]] = place[v]
+    return root
+
+
+def test_long_lists_tie_what_can_link(monkeypatch):
+    """All pairs that place and size allow end in one star, and sets without a partner in none."""
+    monkeypatch.setattr(jaccard_join, "LIST", 1)
+    rnd = random.Random(33)
+    for _ in range(300):
+        rows = [(rnd.randrange(60, 140), rnd.randrange(12)) for _ in range(rnd.randrange(2, 12))]
+        root = stars(rows)
+        for i, (a, p) in enumerate(rows):
+            for j, (b, q) in enumerate(rows[:i]):
+                if 100 * min(a, b) >= 80 * max(a, b) and 180 * min(a - p, b - q) >= 80 * (a + b):
+                    assert root[i] == root[j]
+    assert stars([(100, 0), (100, 15), (101, 1)]) == [0, 1, 0]  # what follows place 15 is too little
+    assert stars([(100, 0), (100, 15), (90, 1)]) == [0, 0, 0]  # but for the smaller
+
+
+def test_widespread_grams_are_bounded(spark):
+    rows = [(" ".join(f"w{w}" for w in range(i, 40)),) for i in range(40)]  # word w is in w + 1 texts
+    docs = spark.createDataFrame(rows, "text STRING").repartition(3)
+
+    def grams(column):
+        return words.cut(column).hashes()
+
+    assert len(hot.widespread(docs, "text", grams, 11, 4, 2).codes) == 30
+    wide = hot.widespread(docs, "text", grams, 11, 4, 2, 12)
+    kept = wide.has(words.cut(pa.array([rows[0][0]])).hashes())
+    assert kept.tolist() == [False] * 28 + [True] * 12
+
+
 def test_one_of_each_takes_any_names(spark):
     rows = [(1, "a b c d e f", 5, "x", "p", 7), (2, "a b c d e f", 6, "y", "q", 8), (3, "other words", 7, "z", "r", 9)]
     docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, __place INT, __hash STRING, c0 STRING, _hash INT")
